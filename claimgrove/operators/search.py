@@ -66,6 +66,15 @@ def scope_stats(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
+def with_scope_stats(df: DataFrame, terms: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Attach n_blocks and total_len: by scope, or as one scalar subquery."""
+    stats = scope_stats(terms, scope)
+    if scope:
+        return df.join(stats, list(scope))
+    one = stats.select(F.struct("n_blocks", "total_len").alias("s")).scalar()
+    return df.withColumn("__s", one).select(*df.columns, "__s.n_blocks", "__s.total_len")
+
+
 def document_frequency(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Blocks per (scope, term); partial counts collapse before the shuffle."""
     return (
@@ -78,8 +87,7 @@ def document_frequency(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
 def term_stats(blocks: DataFrame, scope: Sequence[str] = (), text: str = "text") -> DataFrame:
     """Per (scope, term): df, plus corpus size and average length of the scope."""
     terms = block_terms(blocks, scope, text)
-    df, stats = document_frequency(terms, scope), scope_stats(terms, scope)
-    joined = df.join(stats, list(scope)) if scope else df.join(F.broadcast(stats))
+    joined = with_scope_stats(document_frequency(terms, scope), terms, scope)
     return joined.withColumn(
         "avg_len", F.col("total_len") / F.greatest(F.lit(1), F.col("n_blocks"))
     ).drop("total_len")
@@ -96,16 +104,13 @@ def bm25_scores(
     """
     scope = list(scope)
     terms = block_terms(blocks, scope, text)
-    stats = scope_stats(terms, scope)
     wanted = queries.select(
         *scope, "query_id", F.explode(F.array_distinct(search_terms(F.col(text)))).alias("term")
     )
     vocabulary = small_side(wanted.select(*scope, "term").distinct())
     frequency = document_frequency(terms, scope).join(vocabulary, [*scope, "term"], "left_semi")
     idf = F.log1p((F.col("n_blocks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # One statistics row exists per scope; without a scope it is a single row.
-    weights = frequency.join(stats, scope) if scope else frequency.join(F.broadcast(stats))
-    weights = weights.select(
+    weights = with_scope_stats(frequency, terms, scope).select(
         *scope,
         "term",
         idf.alias("idf"),
@@ -153,26 +158,29 @@ def bm25(
 CHUNK = 4096
 
 
-def vector_search(
+def chunked_top(
     queries: DataFrame,
-    vectors: DataFrame,
+    targets: DataFrame,
     scope: Sequence[str],
-    k: int = TOP_HITS,
-    exclude_self: bool = False,
+    kernel,
+    query_cols: Sequence[str],
+    target_cols: Sequence[str],
+    k: int,
+    tie: Sequence[str] = ("source_id",),
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Exact cosine top `k` inside a scope: (scope, query_id, source_id, rank, score).
+    """Exact best `k` targets per query inside a scope, without emitting pairs.
 
     Both sides are cut into chunks of bounded size per scope and every pair of
-    chunks is one matrix product in one group, which keeps only its local top
-    `k`. A hot scope therefore becomes many bounded groups, and no pair of rows
-    is ever emitted as a row.
+    chunks is one group that evaluates `kernel(query rows, target rows)` as a
+    matrix of scores (NaN = not eligible) and keeps only its local best `k`. A
+    hot scope becomes many bounded groups. Scores are rounded so that equal
+    inputs tie and `tie` columns decide.
     """
-    scope = list(scope)
+    scope, tie = list(scope), list(tie)
     spread = ["__qc", "__vc"]
 
     def chunked(df: DataFrame, id_col: str, name: str) -> tuple[DataFrame, DataFrame]:
-        # Chunk count from the exact scope size; a hash spreads rows evenly.
         size = df.groupBy(*scope).agg(
             F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(chunk))).cast("int").alias(f"{name}_n")
         )
@@ -181,70 +189,87 @@ def vector_search(
         )
         return keyed, size
 
-    q, q_size = chunked(queries.select(*scope, "query_id", "embedding"), "query_id", "__qc")
-    v, v_size = chunked(vectors.select(*scope, "source_id", "embedding"), "source_id", "__vc")
+    # Fresh aliases keep the two sides apart when both come from one table.
+    q, q_size = chunked(queries.select(*scope, "query_id", *query_cols), "query_id", "__qc")
+    v, v_size = chunked(
+        targets.select(*[F.col(c).alias(c) for c in [*scope, "source_id", *target_cols]]),
+        "source_id",
+        "__vc",
+    )
 
-    def replicate(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        return df.join(other, scope).withColumn(
+    def replicate(df: DataFrame, other: DataFrame, name: str, cols: Sequence[str]) -> DataFrame:
+        met = df.join(other, scope).withColumn(
             name, F.explode(F.sequence(F.lit(0), F.col(f"{name}_n") - 1))
         )
+        return met.select(*[F.col(c).alias(c) for c in [*scope, *spread, *cols]])
 
-    left = replicate(q, v_size, "__vc").select(*scope, *spread, "query_id", "embedding")
-    # Fresh aliases keep the two sides apart when both come from one table.
-    right = replicate(v, q_size, "__qc").select(
-        *[F.col(c).alias(c) for c in [*scope, *spread, "source_id", "embedding"]]
-    )
-    types = {f.name: f.dataType.simpleString() for f in left.schema.fields}
-    source_type = right.schema["source_id"].dataType.simpleString()
-    schema = ", ".join(
-        [f"`{c}` {types[c]}" for c in scope]
-        + [f"query_id {types['query_id']}", f"source_id {source_type}", "score double"]
-    )
-    scope_names = list(scope)
+    left = replicate(q, v_size, "__vc", ["query_id", *query_cols])
+    right = replicate(v, q_size, "__qc", ["source_id", *target_cols])
+    types = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]}
+    carried = [c for c in tie if c != "source_id"]
+    columns = [*scope, "query_id", "source_id", *carried, "score"]
+    schema = ", ".join(f"`{c}` {types.get(c, 'double')}" for c in columns)
 
-    def products(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        columns = [*scope_names, "query_id", "source_id", "score"]
         if a.empty or b.empty:
             return pd.DataFrame(columns=columns)
-
-        def unit(rows):
-            m = np.stack(rows.to_numpy()).astype("float64")
-            norms = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-        ids = b["source_id"].to_numpy()
-        targets = unit(b["embedding"])
+        b = b.sort_values(tie, kind="stable").reset_index(drop=True)
         parts = []
         for start in range(0, len(a), 512):  # bounds the score matrix
             block = a.iloc[start : start + 512]
-            # Rounded so that equal vectors tie and the id decides.
-            scores = np.round(unit(block["embedding"]) @ targets.T, 9)
+            scores = np.round(kernel(block, b), 9)
             for row, query in enumerate(block["query_id"].to_numpy()):
                 s = scores[row]
-                keep = np.ones(len(s), dtype=bool)
-                if exclude_self:
-                    keep &= ids != query
-                cand = np.flatnonzero(keep)
+                cand = np.flatnonzero(~np.isnan(s))
                 if len(cand) > k:
                     cut = np.partition(-s[cand], k - 1)[k - 1]
                     cand = cand[-s[cand] <= cut]
-                    cand = cand[np.lexsort((ids[cand], -s[cand]))][:k]
-                parts.append(
-                    pd.DataFrame({"query_id": query, "source_id": ids[cand], "score": s[cand]})
-                )
+                    cand = cand[np.argsort(-s[cand], kind="stable")][:k]
+                picked = b.iloc[cand][["source_id", *carried]].copy()
+                picked["query_id"], picked["score"] = query, s[cand]
+                parts.append(picked)
         out = pd.concat(parts, ignore_index=True)
-        for name in scope_names:
+        for name in scope:
             out[name] = a[name].iloc[0]
         return out[columns]
 
     local = (
         left.groupBy(*scope, *spread)
         .cogroup(right.groupBy(*scope, *spread))
-        .applyInPandas(products, schema)
+        .applyInPandas(best, schema)
+    )
+    return top_k(local, [*scope, "query_id"], [F.col("score").desc(), *tie], k)
+
+
+def vector_search(
+    queries: DataFrame,
+    vectors: DataFrame,
+    scope: Sequence[str],
+    k: int = TOP_HITS,
+    exclude_self: bool = False,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Exact cosine top `k` inside a scope: (scope, query_id, source_id, rank, score)."""
+
+    def cosine(a: pd.DataFrame, b: pd.DataFrame):
+        import numpy as np
+
+        def unit(rows):
+            m = np.stack(rows.to_numpy()).astype("float64")
+            norms = np.linalg.norm(m, axis=1, keepdims=True)
+            return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+        scores = unit(a["embedding"]) @ unit(b["embedding"]).T
+        if exclude_self:
+            same = a["query_id"].to_numpy()[:, None] == b["source_id"].to_numpy()[None, :]
+            scores[same] = np.nan
+        return scores
+
+    return chunked_top(
+        queries, vectors, scope, cosine, ["embedding"], ["embedding"], k, chunk=chunk
     )
-    return top_k(local, [*scope, "query_id"], [F.col("score").desc(), F.col("source_id")], k)
 
 
 def union_routes(*routes: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def rrf_fusion(spark, folder):
     "vector_topk",
     """
     WITH u AS (
-      SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
     ), s AS (
       SELECT a.label, a.vec_id AS query_id, b.vec_id AS source_id,
              round(list_cosine_similarity(a.e, b.e), 9) AS score
