@@ -32,6 +32,7 @@ def local_session(cores: int | str = 8, app: str = "claimgrove", **conf: str) ->
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in {**RUNTIME, **conf}.items():
