@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimgrove.functions.text import SPACE, strip
+from claimgrove.functions.text import SPACE, let, strip
 
 INTEGER = "decimal(38,0)"
 # --- fixed values: accepted number syntax, missing tokens and amount units ------
@@ -62,11 +62,17 @@ def in_cell_unit(raw: Column) -> Column:
 
 def display(raw: Column) -> Column:
     """Displayed number -> struct<twice, digits>, null when it is not a number."""
-    text = number_text(raw)
-    digits = F.length(F.regexp_extract(text, r"\.([0-9]+)$", 1))
-    whole = F.regexp_replace(text, r"[.+]", "").try_cast(INTEGER)
-    twice = F.try_multiply(whole, F.lit(2).cast(INTEGER)).cast(INTEGER)
-    return F.when(twice.isNotNull(), F.struct(twice.alias("twice"), digits.alias("digits")))
+
+    def parse(text: Column) -> Column:
+        whole = F.regexp_replace(text, r"[.+]", "").try_cast(INTEGER)
+        twice = F.try_multiply(whole, F.lit(2).cast(INTEGER)).cast(INTEGER)
+        return F.struct(
+            twice.alias("twice"), F.length(F.regexp_extract(text, r"\.([0-9]+)$", 1)).alias("digits")
+        )
+
+    return let(
+        let(number_text(raw), parse), lambda n: F.when(n["twice"].isNotNull(), n)
+    )
 
 
 def display_interval(raw: Column, decimals: int = 10) -> Column:
@@ -74,23 +80,30 @@ def display_interval(raw: Column, decimals: int = 10) -> Column:
 
     Null when the number needs more than `decimals` places or 38 digits.
     """
-    number = display(raw)
-    places = number["digits"] + 1
-
-    def bound(step: int) -> Column:
-        # (twice ± 1) / (2 * 10^digits) = 5 * (twice ± 1) / 10^(digits + 1)
-        scaled = times(number["twice"] + F.lit(step), F.lit(5))
-        digits = F.lpad(F.abs(scaled).cast("string"), 39, "0")
-        text = F.concat(
-            F.when(scaled < 0, F.lit("-")).otherwise(F.lit("")),
-            F.substring(digits, F.lit(1), 39 - places),
-            F.lit("."),
-            F.substring(digits, 40 - places, places),
-        )
-        return F.when(places <= decimals, text.try_cast(f"decimal(38,{decimals})"))
 
-    lo, hi = bound(-1), bound(1)
-    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+    def interval(number: Column) -> Column:
+        places = number["digits"] + 1
+
+        def bound(step: int) -> Column:
+            # (twice ± 1) / (2 * 10^digits) = 5 * (twice ± 1) / 10^(digits + 1)
+            def place(scaled: Column) -> Column:
+                digits = F.lpad(F.abs(scaled).cast("string"), 39, "0")
+                return F.concat(
+                    F.when(scaled < 0, F.lit("-")).otherwise(F.lit("")),
+                    F.substring(digits, F.lit(1), 39 - places),
+                    F.lit("."),
+                    F.substring(digits, 40 - places, places),
+                )
+
+            text = let(times(number["twice"] + F.lit(step), F.lit(5)), place)
+            return F.when(places <= decimals, text.try_cast(f"decimal(38,{decimals})"))
+
+        return F.struct(bound(-1).alias("lo"), bound(1).alias("hi"))
+
+    return let(
+        let(display(raw), interval),
+        lambda i: F.when(i["lo"].isNotNull() & i["hi"].isNotNull(), i),
+    )
 
 
 def shift_decimal(text: Column, zeros: Column) -> Column:
@@ -98,20 +111,29 @@ def shift_decimal(text: Column, zeros: Column) -> Column:
 
     Works on the text, so the number of digits is not limited by any type.
     """
-    negative = text.startswith("-")
-    body = F.regexp_replace(text, "^[+-]", "")
-    fraction = F.regexp_extract(body, r"\.([0-9]*)$", 1)
-    digits = F.length(fraction)
-    coefficient = F.concat(F.replace(body, F.lit("."), F.lit("")), F.repeat(F.lit("0"), zeros))
-    cut = F.length(coefficient) - digits
-    whole = F.regexp_replace(F.substring(coefficient, F.lit(1), cut), "^0+(?=[0-9])", "")
-    whole = F.when(whole == "", F.lit("0")).otherwise(whole)
-    tail = F.substring(coefficient, cut + 1, digits)
-    return F.concat(
-        F.when(negative, F.lit("-")).otherwise(F.lit("")),
-        whole,
-        F.when(digits > 0, F.concat(F.lit("."), tail)).otherwise(F.lit("")),
-    )
+    def place(parts: Column) -> Column:
+        coefficient, digits = parts["coefficient"], parts["digits"]
+        cut = F.length(coefficient) - digits
+        whole = F.regexp_replace(F.substring(coefficient, F.lit(1), cut), "^0+(?=[0-9])", "")
+        return F.concat(
+            F.when(parts["negative"], F.lit("-")).otherwise(F.lit("")),
+            F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")),
+            F.when(
+                digits > 0, F.concat(F.lit("."), F.substring(coefficient, cut + 1, digits))
+            ).otherwise(F.lit("")),
+        )
+
+    def split(t: Column) -> Column:
+        body = F.regexp_replace(t, "^[+-]", "")
+        return F.struct(
+            F.concat(
+                F.replace(body, F.lit("."), F.lit("")), F.repeat(F.lit("0"), zeros)
+            ).alias("coefficient"),
+            F.length(F.regexp_extract(body, r"\.([0-9]*)$", 1)).alias("digits"),
+            t.startswith("-").alias("negative"),
+        )
+
+    return let(let(text, split), lambda parts: F.when(parts["coefficient"].isNotNull(), place(parts)))
 
 
 def normalize_value(raw: Column, unit: Column) -> Column:
@@ -119,26 +141,41 @@ def normalize_value(raw: Column, unit: Column) -> Column:
 
     state is value | missing | unreadable | conflict; a missing token is never zero.
     """
-    number, cell_unit = number_text(raw), in_cell_unit(raw)
-    named = F.nullif(unit, F.lit(""))
-    effective = F.coalesce(cell_unit, named)
-    thousand = F.coalesce(effective.startswith("천 "), F.lit(False))
-    canonical = F.when(thousand, strip(F.substring(effective, 3, 1 << 20))).otherwise(effective)
-    multiplier = F.when(thousand, F.lit("1000")).otherwise(F.lit("1"))
-    conflict = F.coalesce(cell_unit != named, F.lit(False))
-    missing = F.upper(strip(raw)).isin(*MISSING_TOKENS)
-    state = (
-        F.when(conflict, F.lit("conflict"))
-        .when(missing, F.lit("missing"))
-        .when(number.isNull(), F.lit("unreadable"))
-        .otherwise(F.lit("value"))
+    parts = F.struct(
+        strip(raw).alias("raw"),
+        number_text(raw).alias("number"),
+        in_cell_unit(raw).alias("cell"),
+        F.nullif(unit, F.lit("")).alias("named"),
     )
-    zeros = F.when(thousand, F.lit(3)).otherwise(F.lit(0))
-    return F.struct(
-        F.when(state == "value", shift_decimal(number, zeros)).alias("value"),
-        F.when(conflict, named).otherwise(canonical).alias("unit"),
-        F.when(conflict, F.lit("1")).otherwise(multiplier).alias("multiplier"),
-        state.alias("state"),
+
+    def decide(p: Column) -> Column:
+        effective = F.coalesce(p["cell"], p["named"])
+        thousand = F.coalesce(effective.startswith("천 "), F.lit(False))
+        conflict = F.coalesce(p["cell"] != p["named"], F.lit(False))
+        state = (
+            F.when(conflict, F.lit("conflict"))
+            .when(F.upper(p["raw"]).isin(*MISSING_TOKENS), F.lit("missing"))
+            .when(p["number"].isNull(), F.lit("unreadable"))
+            .otherwise(F.lit("value"))
+        )
+        canonical = F.when(thousand, strip(F.substring(effective, 3, 1 << 20))).otherwise(effective)
+        return F.struct(
+            F.when(state == "value", p["number"]).alias("number"),
+            F.when(conflict, p["named"]).otherwise(canonical).alias("unit"),
+            F.when(thousand & ~conflict, F.lit("1000")).otherwise(F.lit("1")).alias("multiplier"),
+            state.alias("state"),
+        )
+
+    return let(
+        let(parts, decide),
+        lambda d: F.struct(
+            shift_decimal(
+                d["number"], F.when(d["multiplier"] == "1000", F.lit(3)).otherwise(F.lit(0))
+            ).alias("value"),
+            d["unit"].alias("unit"),
+            d["multiplier"].alias("multiplier"),
+            d["state"].alias("state"),
+        ),
     )
 
 
@@ -148,27 +185,45 @@ def normalize_amount(raw: Column, currency: Column, unit: Column) -> Column:
     state is value | missing | unit_unknown | amount_invalid. Commas go, an
     amount in parentheses is negative, KRW units scale exactly.
     """
-    clean_unit = strip(F.coalesce(unit, F.lit("")))
-    pairs = [x for k, v in KRW_UNIT_ZEROS.items() for x in (F.lit(k), F.lit(v))]
-    scales = F.create_map(*pairs)
-    is_krw = F.upper(currency) == "KRW"
-    zeros = F.when(
-        is_krw, F.coalesce(scales[clean_unit], scales[F.lower(clean_unit)])
-    ).when(clean_unit.isin("") | (F.lower(clean_unit) == F.lower(currency)), F.lit(0))
-    text = strip(raw)
-    plain = F.replace(text, F.lit(","), F.lit(""))
-    inner = F.regexp_extract(plain, r"(?s)^\((.*)\)$", 1)
-    signed = F.when(plain.rlike(r"(?s)^\(.*\)$"), F.concat(F.lit("-"), strip(inner))).otherwise(plain)
-    valid = signed.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$")
-    state = (
-        F.when(zeros.isNull(), F.lit("unit_unknown"))
-        .when(raw.isNull() | text.isin(*MISSING_AMOUNTS), F.lit("missing"))
-        .when(valid, F.lit("value"))
-        .otherwise(F.lit("amount_invalid"))
+    scales = F.create_map(*[x for k, v in KRW_UNIT_ZEROS.items() for x in (F.lit(k), F.lit(v))])
+
+    def zeros_of(clean: Column) -> Column:
+        krw = F.coalesce(F.try_element_at(scales, clean), F.try_element_at(scales, F.lower(clean)))
+        other = F.when((clean == "") | (F.lower(clean) == F.lower(currency)), F.lit(0))
+        return F.when(F.upper(currency) == "KRW", krw).otherwise(other)
+
+    def signed(plain: Column) -> Column:
+        inner = F.regexp_extract(plain, r"(?s)^\((.*)\)$", 1)
+        return F.when(
+            plain.startswith("(") & plain.endswith(")"), F.concat(F.lit("-"), strip(inner))
+        ).otherwise(plain)
+
+    parts = F.struct(
+        strip(raw).alias("text"),
+        let(F.replace(strip(raw), F.lit(","), F.lit("")), signed).alias("signed"),
+        let(strip(F.coalesce(unit, F.lit(""))), zeros_of).alias("zeros"),
     )
-    return F.struct(
-        F.when(state == "value", shift_decimal(signed, zeros)).alias("normalized"),
-        state.alias("state"),
+
+    def decide(p: Column) -> Column:
+        valid = p["signed"].rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$")
+        state = (
+            F.when(p["zeros"].isNull(), F.lit("unit_unknown"))
+            .when(p["text"].isNull() | p["text"].isin(*MISSING_AMOUNTS), F.lit("missing"))
+            .when(valid, F.lit("value"))
+            .otherwise(F.lit("amount_invalid"))
+        )
+        return F.struct(
+            F.when(state == "value", p["signed"]).alias("signed"),
+            p["zeros"].alias("zeros"),
+            state.alias("state"),
+        )
+
+    return let(
+        let(parts, decide),
+        lambda d: F.struct(
+            shift_decimal(d["signed"], F.coalesce(d["zeros"], F.lit(0))).alias("normalized"),
+            d["state"].alias("state"),
+        ),
     )
 
 

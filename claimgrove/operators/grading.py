@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrove.functions.text import is_blank
+from claimgrove.functions.text import is_blank, let
 from claimgrove.operators import rulebook as R
 
 _STRINGS = "array<string>"
@@ -64,6 +64,11 @@ def state_of(name: str, facts: Column | None = None) -> Column:
     return F.coalesce(F.try_element_at(facts, F.lit(name)), F.lit("unknown"))
 
 
+def _column(name: str) -> Column:
+    """State of a fact inside `grade`, which looks every fact up once per row."""
+    return F.col(f"__s_{name}")
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -182,68 +187,66 @@ def without_exceptions(claims: DataFrame) -> DataFrame:
 
 def _effective(name: str, track: str) -> Column:
     """State of a fact after the ordinal qualification of performance claims."""
-    state = state_of(name)
+    state = _column(name)
     if track == "performance" and name in R.ELEMENTS["performance"]["P1"]:
         return F.coalesce(F.col("effect.ordinal_state"), state)
     return state
 
 
 def _outcomes(track: str) -> Column:
-    """Distinct struct<grade, id> over every completion of the unknown ladder facts."""
-    names = R.ladder_facts(track)
-    states = {n: _effective(n, track) for n in names}
-    known = [states[n].isin("present", "absent") for n in names]
-    unknown = F.array_compact(
-        F.array(*[F.when(~k, F.lit(n)) for n, k in zip(names, known)])
-    )
-    completions = F.sequence(F.lit(0), F.pow(F.lit(2), F.size(unknown)).cast("int") - 1)
+    """Distinct struct<grade, id> over every completion of the unknown ladder facts.
 
-    def select(mask: Column) -> Column:
-        def holds(name: str) -> Column:
-            bit = F.array_position(unknown, name) - 1
-            chosen = F.expr("true") & (
-                F.floor(mask / F.pow(F.lit(2), bit)).cast("int") % 2 == 1
-            )
-            return F.when(bit >= 0, chosen).otherwise(states[name] == "present")
+    Facts are bits: `known` holds the present ones, `open` the undecided ones. A
+    completion is `known` plus any subset of `open`, and a branch is two masks.
+    """
+    names = R.ladder_facts(track)
+    bit = {n: 1 << i for i, n in enumerate(names)}
 
-        values = {n: holds(n) for n in names}
-        values["exception_applies"] = (
-            values["target_metric"] & values["transition_plan"]
-            if track == "goal"
-            else F.lit(False)
+    def total(test) -> Column:
+        return reduce(
+            lambda a, b: a + b,
+            [F.when(test(_effective(n, track)), F.lit(bit[n])).otherwise(0) for n in names],
         )
 
-        def matches(branch: R.Branch) -> Column:
-            return _all(
-                [values[n] if expected else ~values[n] for n, expected in branch.when.items()]
-            )
+    bits = F.struct(
+        total(lambda s: s == "present").alias("known"),
+        total(lambda s: ~s.isin("present", "absent")).alias("open"),
+    )
 
-        capped = None
-        for branch in R.BRANCHES[track]:
-            if branch.cap:
-                hit = F.when(
-                    matches(branch),
-                    F.struct(F.lit(branch.grade).alias("grade"), F.lit(branch.id).alias("id")),
-                )
-                capped = hit if capped is None else F.coalesce(capped, hit)
-        open_hits = F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        matches(b),
-                        F.struct(F.lit(b.grade).alias("grade"), F.lit(b.id).alias("id")),
-                    )
-                    for b in R.BRANCHES[track]
-                    if not b.cap
-                ]
-            )
+    def completions(b: Column) -> Column:
+        every = F.sequence(F.lit(0), F.lit((1 << len(names)) - 1))
+        subsets = F.filter(every, lambda m: m.bitwiseAND(b["open"]) == m)
+        return F.when(b["open"] == 0, F.array(b["known"])).otherwise(
+            F.transform(subsets, lambda m: m.bitwiseOR(b["known"]))
         )
-        best = F.when(F.size(open_hits) > 0, F.array_max(open_hits)).otherwise(
-            F.struct(F.lit(None).cast("string").alias("grade"), F.lit("").alias("id"))
+
+    def matches(branch: R.Branch, value: Column) -> Column:
+        listed = {n: e for n, e in branch.when.items() if n != "exception_applies"}
+        mask = sum(bit[n] for n in listed)
+        wanted = sum(bit[n] for n, expected in listed.items() if expected)
+        hit = value.bitwiseAND(F.lit(mask)) == wanted
+        if "exception_applies" in branch.when:
+            both = bit["target_metric"] | bit["transition_plan"]
+            applies = value.bitwiseAND(F.lit(both)) == both
+            hit = hit & (applies if branch.when["exception_applies"] else ~applies)
+        return hit
+
+    def outcome(branch: R.Branch) -> Column:
+        return F.struct(F.lit(branch.grade).alias("grade"), F.lit(branch.id).alias("id"))
+
+    # Cap branches win in file order, then the highest (grade, id).
+    caps = [b for b in R.BRANCHES[track] if b.cap]
+    rest = sorted(
+        (b for b in R.BRANCHES[track] if not b.cap), key=lambda b: (b.grade, b.id), reverse=True
+    )
+
+    def select(value: Column) -> Column:
+        nothing = F.struct(F.lit(None).cast("string").alias("grade"), F.lit("").alias("id"))
+        return F.coalesce(
+            *[F.when(matches(b, value), outcome(b)) for b in [*caps, *rest]], nothing
         )
-        return best if capped is None else F.coalesce(capped, best)
 
-    return F.array_distinct(F.transform(completions, select))
+    return F.array_distinct(F.transform(let(bits, completions), select))
 
 
 def _elements(track: str) -> dict[str, Column]:
@@ -251,11 +254,11 @@ def _elements(track: str) -> dict[str, Column]:
     missing, unresolved, excluded = [], [], []
     for element, names in R.ELEMENTS[track].items():
         trigger = R.TRIGGERS.get(element)
-        off = state_of(trigger) == "absent" if trigger else F.lit(False)
+        off = _column(trigger) == "absent" if trigger else F.lit(False)
         states = [_effective(n, track) for n in names]
         open_ = reduce(lambda a, b: a | b, [~s.isin("present", "absent") for s in states])
         if trigger:
-            open_ = open_ | (state_of(trigger) != "present")
+            open_ = open_ | (_column(trigger) != "present")
         lacking = reduce(lambda a, b: a | b, [s == "absent" for s in states])
         excluded.append(F.when(off, F.lit(element)))
         unresolved.append(F.when(~off & open_, F.lit(element)))
@@ -285,7 +288,9 @@ def grade(claims: DataFrame) -> DataFrame:
     One grade over all completions decides; several block on evidence and
     publish the range; none is a rule gap. Needs `effect` (see `exceptions`).
     """
-    rows = claims.withColumn("__outcomes", _by_track(_outcomes))
+    names = sorted({n for _, n in R.required_facts()})
+    rows = claims.withColumns({f"__s_{n}": state_of(n) for n in names})
+    rows = rows.withColumn("__outcomes", _by_track(_outcomes))
     for name in ("missing_elements", "unresolved_elements", "excluded_elements"):
         rows = rows.withColumn(f"__{name}", _by_track(lambda t, n=name: _elements(t)[n]))
     effect = F.col("effect")
@@ -337,7 +342,7 @@ def grade(claims: DataFrame) -> DataFrame:
         )
         & _all(
             [
-                state_of(n) == "absent"
+                _column(n) == "absent"
                 for e in ("G3", "G4", "G5", "G6")
                 for n in R.ELEMENTS["goal"][e]
             ]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimgrove.functions.arrays import first_reason
 from claimgrove.functions.numbers import INTEGER, display, plus, power10, reduce_fraction, times
 from claimgrove.functions.periods import is_supported_period
-from claimgrove.functions.text import SPACE, axis_cues
+from claimgrove.functions.text import SPACE, axis_cues, let
 from claimgrove.operators.claims import DOC
 
 # --- fixed values: dimensions and kinds --------------------------------------------------
@@ -40,13 +40,15 @@ DIGITS = 9
 
 def aligned(raw: Column, digits: int = DIGITS) -> Column:
     """Displayed number as struct<lo, mid, hi> integers over 2 * 10^digits."""
-    number = display(raw)
-    scale = power10(F.when(number["digits"] <= digits, F.lit(digits) - number["digits"]))
-    at = lambda step: times(plus(number["twice"], F.lit(step)), scale)
-    lo, mid, hi = at(-1), at(0), at(1)
-    return F.when(
-        lo.isNotNull() & mid.isNotNull() & hi.isNotNull(),
-        F.struct(lo.alias("lo"), mid.alias("mid"), hi.alias("hi")),
+
+    def scaled(number: Column) -> Column:
+        scale = power10(F.when(number["digits"] <= digits, F.lit(digits) - number["digits"]))
+        at = lambda step: times(plus(number["twice"], F.lit(step)), scale)
+        return F.struct(at(-1).alias("lo"), at(0).alias("mid"), at(1).alias("hi"))
+
+    return let(
+        let(display(raw), scaled),
+        lambda v: F.when(v["lo"].isNotNull() & v["mid"].isNotNull() & v["hi"].isNotNull(), v),
     )
 
 

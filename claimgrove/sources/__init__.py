@@ -1,0 +1,9 @@
+"""Readers, parsers as Spark jobs, validated inputs, and writers."""
+
+from pyspark import cloudpickle
+
+from claimgrove.sources import filings, html_tables
+
+# Functions run in Arrow batches travel by value, so executors need no installed copy.
+for _module in (filings, html_tables):
+    cloudpickle.register_pickle_by_value(_module)

@@ -37,16 +37,10 @@ def sentence_spans(spark, folder):
     )
 
 
-_AMOUNT_TEXT = (
-    "'Lot ' || {k} || ' used ' || {q} || ' MWh and ' || {k} % 7 || '-' || {q} || ' kWh, Scope ' || "
-    "({k} % 3 + 1) || ' in ' || (1995 + {k} % 30) || ', ref ' || {k} || '2020'"
-)
-
-
 @query(
     "quantities",
     """WITH t AS (SELECT l_orderkey, l_linenumber, l_orderkey % 10000 AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
-    SELECT l_orderkey, l_linenumber, k || '' AS lot, q || ' MWh' AS value, 'MWh,kWh' AS units, 'Scope ' || (k % 3 + 1) AS scope,
+    SELECT l_orderkey, l_linenumber, CAST(k AS VARCHAR) AS lot, q || ' MWh' AS value, 'MWh,kWh' AS units, 'Scope ' || (k % 3 + 1) AS scope,
            CAST(1995 + k % 30 AS VARCHAR) AS years FROM t""",
 )
 def quantities(spark, folder):
@@ -59,7 +53,7 @@ def quantities(spark, folder):
     )
     k, q = F.col("k"), F.col("q")
     sentence = F.concat(
-        F.lit("Lot "), k, F.lit(" used "), q, F.lit(" MWh and "), k % 7, F.lit("-"), q,
+        F.lit("Lot "), k + 10000, F.lit(" used "), q, F.lit(" MWh and "), k % 7, F.lit("-"), q,
         F.lit(" kWh, Scope "), k % 3 + 1, F.lit(" in "), 1995 + k % 30, F.lit(", ref "), k, F.lit("2020"),
     )
     rows = rows.withColumn("found", text.quantity_spans(sentence)).withColumn(
@@ -733,14 +727,14 @@ def lineage_closure(spark, folder):
 
 
 _BOXES = """
-b AS (SELECT p_partkey, p_partkey % 20 AS page_num, CAST((p_partkey * 13) % 97 AS DOUBLE) AS x0, CAST((p_partkey * 29) % 89 AS DOUBLE) AS y0,
+b AS (SELECT p_partkey, p_partkey % 20 AS page_num, CAST((p_partkey * 13) % 31 AS DOUBLE) AS x0, CAST((p_partkey * 29) % 23 AS DOUBLE) AS y0,
              CAST(20 + p_size % 5 AS DOUBLE) AS w, CAST(15 + p_size % 3 AS DOUBLE) AS h FROM part)
 """
 
 
 def _boxes(spark, folder):
     key, size = F.col("p_partkey"), F.col("p_size")
-    x0, y0 = ((key * 13) % 97).cast("double"), ((key * 29) % 89).cast("double")
+    x0, y0 = ((key * 13) % 31).cast("double"), ((key * 29) % 23).cast("double")
     w, h = (20 + size % 5).cast("double"), (15 + size % 3).cast("double")
     return read(spark, folder, "part").select(
         F.col("p_partkey").alias("candidate_id"),
