@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrove.functions.text import is_blank, let
+from claimgrove.functions.text import is_blank
 from claimgrove.operators import rulebook as R
 
 _STRINGS = "array<string>"
@@ -64,11 +64,6 @@ def state_of(name: str, facts: Column | None = None) -> Column:
     return F.coalesce(F.try_element_at(facts, F.lit(name)), F.lit("unknown"))
 
 
-def _column(name: str) -> Column:
-    """State of a fact inside `grade`, which looks every fact up once per row."""
-    return F.col(f"__s_{name}")
-
-
 def _all(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -185,100 +180,87 @@ def without_exceptions(claims: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- ladder
 
 
-def _effective(name: str, track: str) -> Column:
-    """State of a fact after the ordinal qualification of performance claims."""
-    state = _column(name)
-    if track == "performance" and name in R.ELEMENTS["performance"]["P1"]:
-        return F.coalesce(F.col("effect.ordinal_state"), state)
-    return state
+# The ladder is stated as SQL text: one parsed expression per rule list is much
+# cheaper to build than the same tree assembled node by node.
 
+_OPEN = "NOT IN ('present', 'absent')"
 
-def _outcomes(track: str) -> Column:
-    """Distinct struct<grade, id> over every completion of the unknown ladder facts.
 
-    Facts are bits: `known` holds the present ones, `open` the undecided ones. A
-    completion is `known` plus any subset of `open`, and a branch is two masks.
-    """
+def _sum(terms: list[str]) -> str:
+    return " + ".join(terms)
+
+
+def _case(build) -> str:
+    """CASE over the tracks with one SQL expression each."""
+    return "CASE track " + " ".join(f"WHEN '{t}' THEN {build(t)}" for t in R.BRANCHES) + " END"
+
+
+def _bits(track: str, test: str) -> str:
     names = R.ladder_facts(track)
-    bit = {n: 1 << i for i, n in enumerate(names)}
+    return _sum([f"IF(__s_{n} {test}, {1 << i}, 0)" for i, n in enumerate(names)])
 
-    def total(test) -> Column:
-        return reduce(
-            lambda a, b: a + b,
-            [F.when(test(_effective(n, track)), F.lit(bit[n])).otherwise(0) for n in names],
-        )
 
-    bits = F.struct(
-        total(lambda s: s == "present").alias("known"),
-        total(lambda s: ~s.isin("present", "absent")).alias("open"),
-    )
+def _outcomes(track: str) -> str:
+    """Distinct struct<grade, id> over every completion of the unknown ladder facts.
 
-    def completions(b: Column) -> Column:
-        every = F.sequence(F.lit(0), F.lit((1 << len(names)) - 1))
-        subsets = F.filter(every, lambda m: m.bitwiseAND(b["open"]) == m)
-        return F.when(b["open"] == 0, F.array(b["known"])).otherwise(
-            F.transform(subsets, lambda m: m.bitwiseOR(b["known"]))
-        )
+    Facts are bits: `__known` holds the present ones, `__open` the undecided
+    ones. A completion is `__known` plus any subset of `__open`, and a branch is
+    two masks. Cap branches win in file order, then the highest (grade, id).
+    """
+    names = R.ladder_facts(track)
+    bit = {n: 1 << i for i, n in enumerate(names)}
 
-    def matches(branch: R.Branch, value: Column) -> Column:
+    def test(branch: R.Branch) -> str:
         listed = {n: e for n, e in branch.when.items() if n != "exception_applies"}
         mask = sum(bit[n] for n in listed)
         wanted = sum(bit[n] for n, expected in listed.items() if expected)
-        hit = value.bitwiseAND(F.lit(mask)) == wanted
+        hit = f"(v & {mask}) = {wanted}"
         if "exception_applies" in branch.when:
             both = bit["target_metric"] | bit["transition_plan"]
-            applies = value.bitwiseAND(F.lit(both)) == both
-            hit = hit & (applies if branch.when["exception_applies"] else ~applies)
+            sign = "=" if branch.when["exception_applies"] else "<>"
+            hit += f" AND (v & {both}) {sign} {both}"
         return hit
 
-    def outcome(branch: R.Branch) -> Column:
-        return F.struct(F.lit(branch.grade).alias("grade"), F.lit(branch.id).alias("id"))
-
-    # Cap branches win in file order, then the highest (grade, id).
     caps = [b for b in R.BRANCHES[track] if b.cap]
-    rest = sorted(
-        (b for b in R.BRANCHES[track] if not b.cap), key=lambda b: (b.grade, b.id), reverse=True
+    rest = [b for b in R.BRANCHES[track] if not b.cap]
+    rest.sort(key=lambda b: (b.grade, b.id), reverse=True)
+    ladder = " ".join(
+        f"WHEN {test(b)} THEN named_struct('grade', '{b.grade}', 'id', '{b.id}')"
+        for b in [*caps, *rest]
     )
-
-    def select(value: Column) -> Column:
-        nothing = F.struct(F.lit(None).cast("string").alias("grade"), F.lit("").alias("id"))
-        return F.coalesce(
-            *[F.when(matches(b, value), outcome(b)) for b in [*caps, *rest]], nothing
-        )
-
-    return F.array_distinct(F.transform(let(bits, completions), select))
+    nothing = "named_struct('grade', CAST(NULL AS STRING), 'id', '')"
+    every = (1 << len(names)) - 1
+    completions = (
+        "IF(__open = 0, array(__known), transform(filter("
+        f"sequence(0, {every}), m -> (m & __open) = m), m -> m | __known))"
+    )
+    return f"array_distinct(transform({completions}, v -> CASE {ladder} ELSE {nothing} END))"
 
 
-def _elements(track: str) -> dict[str, Column]:
-    """missing / unresolved / excluded element ids of a track."""
-    missing, unresolved, excluded = [], [], []
+def _element_lists(track: str) -> dict[str, str]:
+    """missing / unresolved / excluded element ids of a track as SQL."""
+    lists: dict[str, list[str]] = {"missing": [], "unresolved": [], "excluded": []}
     for element, names in R.ELEMENTS[track].items():
         trigger = R.TRIGGERS.get(element)
-        off = _column(trigger) == "absent" if trigger else F.lit(False)
-        states = [_effective(n, track) for n in names]
-        open_ = reduce(lambda a, b: a | b, [~s.isin("present", "absent") for s in states])
+        off = f"__s_{trigger} = 'absent'" if trigger else "false"
+        open_ = " OR ".join(f"__s_{n} {_OPEN}" for n in names)
         if trigger:
-            open_ = open_ | (_column(trigger) != "present")
-        lacking = reduce(lambda a, b: a | b, [s == "absent" for s in states])
-        excluded.append(F.when(off, F.lit(element)))
-        unresolved.append(F.when(~off & open_, F.lit(element)))
-        missing.append(F.when(~off & ~open_ & lacking, F.lit(element)))
-    return {
-        "missing_elements": F.array_compact(F.array(*missing)),
-        "unresolved_elements": F.array_compact(F.array(*unresolved)),
-        "excluded_elements": F.array_compact(F.array(*excluded)),
-    }
-
-
-def _by_track(build) -> Column:
-    out = None
-    for track in R.BRANCHES:
-        value = build(track)
-        out = (
-            F.when(F.col("track") == track, value)
-            if out is None
-            else out.when(F.col("track") == track, value)
-        )
+            open_ += f" OR __s_{trigger} <> 'present'"
+        lacking = " OR ".join(f"__s_{n} = 'absent'" for n in names)
+        lists["excluded"].append(f"IF({off}, '{element}', NULL)")
+        lists["unresolved"].append(f"IF(NOT {off} AND ({open_}), '{element}', NULL)")
+        lists["missing"].append(f"IF(NOT {off} AND NOT ({open_}) AND ({lacking}), '{element}', NULL)")
+    return {k: f"array_compact(array({', '.join(v)}))" for k, v in lists.items()}
+
+
+def _states() -> dict[str, Column]:
+    """One looked-up state column per fact; P1 facts take the ordinal qualification."""
+    out = {}
+    for name in sorted({n for _, n in R.required_facts()}):
+        state = f"coalesce(try_element_at(facts, '{name}'), 'unknown')"
+        if name in R.ELEMENTS["performance"]["P1"]:
+            state = f"IF(track = 'performance', coalesce(effect.ordinal_state, {state}), {state})"
+        out[f"__s_{name}"] = F.expr(state)
     return out
 
 
@@ -288,11 +270,19 @@ def grade(claims: DataFrame) -> DataFrame:
     One grade over all completions decides; several block on evidence and
     publish the range; none is a rule gap. Needs `effect` (see `exceptions`).
     """
-    names = sorted({n for _, n in R.required_facts()})
-    rows = claims.withColumns({f"__s_{n}": state_of(n) for n in names})
-    rows = rows.withColumn("__outcomes", _by_track(_outcomes))
-    for name in ("missing_elements", "unresolved_elements", "excluded_elements"):
-        rows = rows.withColumn(f"__{name}", _by_track(lambda t, n=name: _elements(t)[n]))
+    lists = {t: _element_lists(t) for t in R.BRANCHES}
+    rows = claims.withColumns(_states())
+    rows = rows.withColumns(
+        {
+            "__known": F.expr(_case(lambda t: _bits(t, "= 'present'"))),
+            "__open": F.expr(_case(lambda t: _bits(t, _OPEN))),
+            **{
+                f"__{name}_elements": F.expr(_case(lambda t, n=name: lists[t][n]))
+                for name in ("missing", "unresolved", "excluded")
+            },
+        }
+    )
+    rows = rows.withColumn("__outcomes", F.expr(_case(_outcomes)))
     effect = F.col("effect")
     rows = rows.withColumn(
         "__grades",
@@ -340,12 +330,12 @@ def grade(claims: DataFrame) -> DataFrame:
         & F.col("__missing_elements").eqNullSafe(
             F.array(*[F.lit(e) for e in ("G3", "G4", "G5", "G6")])
         )
-        & _all(
-            [
-                _column(n) == "absent"
+        & F.expr(
+            " AND ".join(
+                f"__s_{n} = 'absent'"
                 for e in ("G3", "G4", "G5", "G6")
                 for n in R.ELEMENTS["goal"][e]
-            ]
+            )
         )
         & (F.size(unresolved) == 0)
         & F.col("__excluded_elements").eqNullSafe(F.array(F.lit("G7"), F.lit("G8")))
@@ -452,33 +442,27 @@ def rescore(claims: DataFrame, changes: DataFrame) -> DataFrame:
         ).alias("__pack")
     )
 
-    def missing(track: str) -> Column:
-        needed: dict[str, Column] = {n: F.lit(True) for n in R.ladder_facts(track)}
+    def missing(track: str) -> str:
+        needed: dict[str, str] = {n: "true" for n in R.ladder_facts(track)}
         for element, names in R.ELEMENTS[track].items():
             trigger = R.TRIGGERS.get(element)
-            asked = F.lit(True)
+            asked = "true"
             if trigger:
-                needed[trigger] = F.lit(True)
-                asked = state_of(trigger) != "absent"
+                needed[trigger] = "true"
+                asked = f"coalesce(try_element_at(facts, '{trigger}'), 'unknown') <> 'absent'"
             for n in names:
-                needed[n] = needed[n] | asked if n in needed else asked
-        return F.array_sort(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            need & ~F.map_contains_key(F.col("facts"), n),
-                            F.lit(f"MISSING_FACT:{n}"),
-                        )
-                        for n, need in needed.items()
-                    ]
-                )
-            )
+                needed[n] = f"({needed[n]} OR {asked})" if n in needed else asked
+        checks = ", ".join(
+            f"IF({need} AND NOT map_contains_key(facts, '{n}'), 'MISSING_FACT:{n}', NULL)"
+            for n, need in needed.items()
         )
+        return f"array_sort(array_compact(array({checks})))"
 
     # The reason list is one row of configuration, read as a scalar subquery.
     graded = grade(claims).withColumn("__pack", pack.scalar())
-    reasons = F.when(F.size("__pack") > 0, F.col("__pack")).otherwise(_by_track(missing))
+    reasons = F.when(F.size("__pack") > 0, F.col("__pack")).otherwise(
+        F.expr(_case(missing))
+    )
     retag = F.size("__retag") > 0
     out = graded.withColumn("__retag", reasons)
     return out.select(
