@@ -11,6 +11,7 @@ from claimgrove.functions.canonical import canonical_hash
 from claimgrove.functions.numbers import in_cell_unit, normalize_value
 from claimgrove.functions.text import scope_note, strip, unit_note
 from claimgrove.operators.claims import DOC
+from claimgrove.session import cut_lineage
 
 TABLE = [*DOC, "table_native_id"]
 
@@ -136,8 +137,11 @@ def detect_headers(
         )
         .select(*table, "min_row", "header_row", "n_cols", "max_row")
     )
+    # Header facts are tiny next to the grid and read by many branches below, so
+    # each step is materialised once instead of being replanned per branch.
+    layout = cut_lineage(layout)
     placed = grid.join(layout.select(*table, "header_row"), table)
-    head = placed.filter(F.col("row") == F.col("header_row")).select(
+    head = cut_lineage(placed.filter(F.col("row") == F.col("header_row"))).select(
         *table,
         "col",
         F.col("source_id").alias("header_id"),
@@ -167,7 +171,7 @@ def detect_headers(
         .join(basis_row, table, "left")
         .withColumn("has_basis", F.coalesce("has_basis", F.lit(False)))
     )
-    columns = columns.withColumns(
+    columns = cut_lineage(columns).withColumns(
         {
             "basis_text": F.when(F.col("has_basis"), F.col("basis_text")),
             "basis_id": F.when(F.col("has_basis"), F.col("basis_id")),
@@ -190,7 +194,8 @@ def detect_headers(
     columns = columns.withColumn("is_metric", metric_column).withColumn(
         "is_value", (F.col("role") == "value_raw") | F.col("is_year") | F.col("is_metric")
     )
-    columns = columns.withColumn("is_value", F.coalesce("is_value", F.lit(False)))
+    columns = cut_lineage(columns.withColumn("is_value", F.coalesce("is_value", F.lit(False))))
+    roles = cut_lineage(roles)
     repeated_role = (
         columns.filter(F.col("role").isNotNull())
         .groupBy(*table, "role")
@@ -240,7 +245,9 @@ def detect_headers(
         | ((F.col("has_metric") == 0) & ~F.col("any_metric"))
         | ((F.col("has_period") == 0) & ~F.col("any_year"))
     )
-    issues = verdict.filter(bad).select(*table, F.lit("table_headers_ambiguous").alias("reason"))
+    issues = cut_lineage(
+        verdict.filter(bad).select(*table, F.lit("table_headers_ambiguous").alias("reason"))
+    )
     return (
         columns.join(issues, table, "left_anti"),
         layout.join(roles.select(*table, "has_basis"), table).join(issues, table, "left_anti"),
