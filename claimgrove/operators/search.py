@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimgrove.functions.text import is_blank, search_terms
 from claimgrove.operators.ordered import numbered, top_k
-from claimgrove.session import small_side
+from claimgrove.session import cut_lineage, small_side
 
 # --- fixed values: ranking constants -------------------------------------------
 K1, B = 1.2, 0.75
@@ -51,12 +51,14 @@ def term_counts(terms: Column, sorted_terms: str = "__sorted") -> Column:
 
 
 def block_terms(blocks: DataFrame, scope: Sequence[str], text: str = "text") -> DataFrame:
-    """Non-blank blocks with their term array and length."""
-    return (
-        blocks.filter(~is_blank(F.col(text)))
-        .select(*scope, "source_id", search_terms(F.col(text)).alias("terms"))
-        .withColumn("len", F.size("terms"))
+    """Non-blank blocks as (scope, source_id, len, counts ARRAY<struct<term, tf>>)."""
+    words = blocks.filter(~is_blank(F.col(text))).select(
+        *scope, "source_id", search_terms(F.col(text)).alias("__terms")
+    )
+    ordered = words.select(
+        *scope, "source_id", F.size("__terms").alias("len"), F.array_sort("__terms").alias("__sorted")
     )
+    return ordered.select(*scope, "source_id", "len", term_counts(F.col("__sorted")).alias("counts"))
 
 
 def scope_stats(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -78,7 +80,7 @@ def with_scope_stats(df: DataFrame, terms: DataFrame, scope: Sequence[str]) -> D
 def document_frequency(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Blocks per (scope, term); partial counts collapse before the shuffle."""
     return (
-        terms.select(*scope, F.explode(F.array_distinct("terms")).alias("term"))
+        terms.select(*scope, F.explode("counts.term").alias("term"))
         .groupBy(*scope, "term")
         .agg(F.count("*").alias("df"))
     )
@@ -86,7 +88,7 @@ def document_frequency(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 def term_stats(blocks: DataFrame, scope: Sequence[str] = (), text: str = "text") -> DataFrame:
     """Per (scope, term): df, plus corpus size and average length of the scope."""
-    terms = block_terms(blocks, scope, text)
+    terms = cut_lineage(block_terms(blocks, scope, text))
     joined = with_scope_stats(document_frequency(terms, scope), terms, scope)
     return joined.withColumn(
         "avg_len", F.col("total_len") / F.greatest(F.lit(1), F.col("n_blocks"))
@@ -103,7 +105,9 @@ def bm25_scores(
     needs no further shuffle.
     """
     scope = list(scope)
-    terms = block_terms(blocks, scope, text)
+    # The counted blocks are the index of the corpus: read by the statistics and
+    # by the postings, so the text is tokenised once.
+    terms = cut_lineage(block_terms(blocks, scope, text))
     wanted = queries.select(
         *scope, "query_id", F.explode(F.array_distinct(search_terms(F.col(text)))).alias("term")
     )
@@ -116,10 +120,8 @@ def bm25_scores(
         idf.alias("idf"),
         (F.col("total_len") / F.greatest(F.lit(1), F.col("n_blocks"))).alias("avg_len"),
     )
-    weighted = small_side(wanted.join(weights, [*scope, "term"]))
-    counted = terms.withColumn("__sorted", F.array_sort("terms")).select(
-        *scope, "source_id", "len", F.explode(term_counts(F.col("__sorted"))).alias("p")
-    )
+    weighted = small_side(cut_lineage(wanted.join(weights, [*scope, "term"])))
+    counted = terms.select(*scope, "source_id", "len", F.explode("counts").alias("p"))
     postings = (
         counted.select(*scope, "source_id", "len", F.col("p.term").alias("term"), "p.tf")
         .join(vocabulary, [*scope, "term"], "left_semi")
@@ -220,16 +222,23 @@ def chunked_top(
         for start in range(0, len(a), 512):  # bounds the score matrix
             block = a.iloc[start : start + 512]
             scores = np.round(kernel(block, b), 9)
-            for row, query in enumerate(block["query_id"].to_numpy()):
-                s = scores[row]
-                cand = np.flatnonzero(~np.isnan(s))
-                if len(cand) > k:
-                    cut = np.partition(-s[cand], k - 1)[k - 1]
-                    cand = cand[-s[cand] <= cut]
-                    cand = cand[np.argsort(-s[cand], kind="stable")][:k]
-                picked = b.iloc[cand][["source_id", *carried]].copy()
-                picked["query_id"], picked["score"] = query, s[cand]
-                parts.append(picked)
+            loss = np.where(np.isnan(scores), np.inf, -scores)
+            if loss.shape[1] > 4 * k:
+                # Only columns at or below the k-th loss of a row can be picked.
+                cut = np.partition(loss, k - 1, axis=1)[:, k - 1 : k]
+                rows, cols = np.nonzero(loss <= cut)
+            else:
+                rows, cols = np.nonzero(np.isfinite(loss))
+            # Rows ascend; inside a row the columns are in tie order already.
+            order = np.lexsort((cols, loss[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            firsts = np.searchsorted(rows, rows, side="left")
+            keep = (np.arange(len(rows)) - firsts < k) & np.isfinite(loss[rows, cols])
+            rows, cols = rows[keep], cols[keep]
+            picked = b.iloc[cols][["source_id", *carried]].reset_index(drop=True)
+            picked["query_id"] = block["query_id"].to_numpy()[rows]
+            picked["score"] = scores[rows, cols]
+            parts.append(picked)
         out = pd.concat(parts, ignore_index=True)
         for name in scope:
             out[name] = a[name].iloc[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgrove.session import prepare
+from claimgrove.session import prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,8 +30,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+LARGE = ("documents", "lineitem", "orders", "events", "pages", "part")
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(df) if table in LARGE else df
 
 
 def cents(c: Column | str) -> Column:

@@ -727,7 +727,7 @@ def lineage_closure(spark, folder):
 
 
 _BOXES = """
-b AS (SELECT p_partkey, p_partkey % 20 AS page_num, CAST((p_partkey * 13) % 31 AS DOUBLE) AS x0, CAST((p_partkey * 29) % 23 AS DOUBLE) AS y0,
+b AS (SELECT p_partkey, p_partkey // 50 AS page_num, CAST((p_partkey * 13) % 31 AS DOUBLE) AS x0, CAST((p_partkey * 29) % 23 AS DOUBLE) AS y0,
              CAST(20 + p_size % 5 AS DOUBLE) AS w, CAST(15 + p_size % 3 AS DOUBLE) AS h FROM part)
 """
 
@@ -738,7 +738,7 @@ def _boxes(spark, folder):
     w, h = (20 + size % 5).cast("double"), (15 + size % 3).cast("double")
     return read(spark, folder, "part").select(
         F.col("p_partkey").alias("candidate_id"),
-        (key % 20).alias("page_num"),
+        F.floor(key / 50).alias("page_num"),
         geometry.box(x0, y0, x0 + w, y0 + h).alias("bbox"),
     )
 
@@ -752,7 +752,7 @@ def _boxes(spark, folder):
     SELECT page_num, left_id, right_id, left_n, right_n, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.8""",
 )
 def iou_pairs(spark, folder):
-    """Overlapping boxes of parts laid out on twenty pages."""
+    """Overlapping boxes of parts laid out fifty to a page."""
     out = layout.iou_pairs(_boxes(spark, folder), ["page_num"])
     return out.withColumn("iou", F.round("iou", 6))
 
