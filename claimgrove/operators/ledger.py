@@ -201,6 +201,9 @@ def match_billing(
     )
     if how == "left":
         hits = left.join(right, condition).drop("__bin", "__obin")
-        ids = list(calls.columns)
-        return calls.join(hits, ids, "left")
+        matched = hits.select(*[F.col(c).alias(f"__h_{c}") for c in calls.columns], *export.columns)
+        same = F.lit(True)
+        for c in calls.columns:
+            same = same & F.col(c).eqNullSafe(F.col(f"__h_{c}"))
+        return calls.join(matched, same, "left").drop(*[f"__h_{c}" for c in calls.columns])
     return left.join(right, condition, how).drop("__bin", "__obin")

@@ -18,7 +18,7 @@ from claimgrove.operators import (
     votes,
 )
 from claimgrove.operators.claims import DOC
-from claimgrove.operators.ordered import top_k
+from claimgrove.operators.ordered import numbered
 from claimgrove.operators.rulebook import ELEMENTS, GRADES
 from claimgrove.session import cut_lineage
 
@@ -44,7 +44,7 @@ def retrieve(
     """
     doc = list(doc)
     key = [*doc, "claim_id"]
-    closure = cut_lineage(lineage.ancestors_within(edges, 4, doc=doc))
+    closure = lineage.ancestors(edges, doc=doc)
     roots = lineage.table_roots(closure, blocks, doc)
     own_roots = claims.select(*key, "source_id").join(roots, [*doc, "source_id"]).select(
         *key, "table_id"
@@ -61,7 +61,7 @@ def retrieve(
         *doc, F.col("query_id").alias("claim_id"), F.lit("lexical").alias("route"), "source_id",
         F.col("rank").cast("bigint").alias("position"),
     )
-    related = top_k(same_table, key, ["source_id"], search.TOP_HITS, "position").select(
+    related = numbered(same_table, key, ["source_id"], "position").select(
         *key, F.lit("lineage").alias("route"), "source_id", F.col("position").cast("bigint").alias("position")
     )
     routes = [lexical, related]
@@ -72,7 +72,7 @@ def retrieve(
             .join(blocks.select(*doc, "page_num", "source_id"), [*doc, "page_num"])
         )
         routes.append(
-            top_k(on_page, key, ["page_num", "source_id"], search.TOP_HITS, "position").select(
+            numbered(on_page, key, ["page_num", "source_id"], "position").select(
                 *key, F.lit("index").alias("route"), "source_id", F.col("position").cast("bigint").alias("position")
             )
         )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimgrove.operators import assurance, numeric, reconcile, tables
 from claimgrove.sources import filings, graphs, inputs, sinks, statements
-from claimgrove.session import cut_lineage
+from claimgrove.session import cut_lineage, small_side
 from workload.common import cents, query, read
 
 # ---------------------------------------------------------------- tables
@@ -22,7 +22,7 @@ def _revenue(spark, folder):
     return (
         read(spark, folder, "orders")
         .join(read(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-        .join(F.broadcast(read(spark, folder, "nation").limit(1000)), F.col("n_nationkey") == F.col("c_nationkey"))
+        .join(small_side(read(spark, folder, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
         .groupBy("n_regionkey", "n_nationkey", "n_name", F.year("o_orderdate").alias("y"))
         .agg(F.sum(cents("o_totalprice")).alias("c"))
     )
@@ -279,7 +279,7 @@ def binding_proposals(spark, folder):
     claims = (
         read(spark, folder, "orders")
         .join(read(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-        .join(F.broadcast(read(spark, folder, "nation").limit(1000)), F.col("n_nationkey") == F.col("c_nationkey"))
+        .join(small_side(read(spark, folder, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     )
     key = F.col("o_orderkey")
     number = (key % 1000).cast("string")
