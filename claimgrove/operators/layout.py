@@ -512,7 +512,10 @@ def group_lines(
         ["y0", "x0", "word_id"],
         sums={"__stretch": F.col("__fresh")},
         bucket=F.floor(F.col("y0") / 64),
-    ).drop("__py", "__fresh")
+    )
+    rows = rows.withColumn("__chunk", F.floor((F.col("__stretch") - 1) / 256)).drop(
+        "__py", "__fresh", "__stretch"
+    )
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", __local int"
 
@@ -520,13 +523,14 @@ def group_lines(
         group = group.sort_values(["y0", "x0", "word_id"])
         return group.assign(__local=_line_starts(group, tolerance))
 
-    local = rows.groupBy(*page, "__stretch").applyInPandas(fold, schema)
-    counts = local.groupBy(*page, "__stretch").agg(F.max("__local").alias("__n"))
-    w = W.partitionBy(*page).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
+    # A stretch always opens a line, so a run of stretches folds as one group.
+    local = rows.groupBy(*page, "__chunk").applyInPandas(fold, schema)
+    counts = local.groupBy(*page, "__chunk").agg(F.max("__local").alias("__n"))
+    w = W.partitionBy(*page).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        *page, "__stretch", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off")
+        *page, "__chunk", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off")
     )
-    return local.join(offsets, [*page, "__stretch"]).select(
+    return local.join(offsets, [*page, "__chunk"]).select(
         *words.columns, (F.col("__local") + F.col("__off")).cast("int").alias("line_no")
     )
 
