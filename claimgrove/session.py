@@ -80,16 +80,12 @@ def small_side(
 ) -> DataFrame:
     """Mark `df` for broadcast only when its real size is within both bounds.
 
-    The check reads at most `max_rows + 1` rows. Beyond the bound the frame is
-    returned unmarked, so the join shuffles (and AQE splits skewed partitions).
+    Rows and bytes are counted by partial aggregation, so the check itself moves
+    one row per task. Beyond the bound the frame is returned unmarked, so the
+    join shuffles (and AQE splits skewed partitions).
     """
-    sized = df.limit(max_rows + 1).select(F.length(F.to_json(F.struct(*df.columns))).alias("b"))
+    sized = df.select(F.length(F.to_json(F.struct(*df.columns))).alias("b"))
     seen = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     if seen["n"] <= max_rows and seen["b"] <= max_bytes:
         return F.broadcast(df)
     return df
-
-
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when `df` holds at most `max_rows` rows (reads at most one more)."""
-    return df.limit(max_rows + 1).count() <= max_rows
