@@ -6,6 +6,7 @@ already set (master, checkpoint folder, shuffle partitions) is left alone.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,19 +50,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which driver and executors share.
 
-    Only where no folder is configured (tests on one machine) a temporary one
-    is set, because an executor-local folder would not survive a lost executor.
+    Where it is unset, a temporary folder serves local mode only: on a cluster
+    each executor would write to a disk of its own, so that is refused.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.checkpoint.dir", None
+    )
+    if configured is None:
+        set_before = context.getCheckpointDir()
+        if set_before is not None:
+            return set_before
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(configured)
+    return configured
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
