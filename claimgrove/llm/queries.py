@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimgrove.llm.bpe import bpe_round_trip
 from claimgrove.llm.common import documents
 from claimgrove.llm.exact_dedup import exact_groups
 from claimgrove.llm.packing import pack_documents
@@ -35,6 +36,13 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder))
 
 
+@query("op4_bpe")
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole text encoded by the rank file and decoded again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_round_trip(documents(spark, folder), path, public_tokenizers.PATTERN)
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
