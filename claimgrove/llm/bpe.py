@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from claimgrove.llm.tokens import as_string
+from claimgrove.llm.tokens import as_string, slices
 
 # Byte total of the distinct words that one recursive query contracts.
 ROUND_BYTES = 1 << 20
@@ -211,7 +211,7 @@ def bpe_round_trip(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    batch_chars: int = 1 << 20,
+    slice_bytes: int = 1 << 21,
 ) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
     schema = pa.schema(
@@ -226,14 +226,9 @@ def bpe_round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ByteBpe.load(path, pattern)
         for batch in batches:
-            names, texts = batch.column(0), as_string(batch.column(1)).to_pylist()
-            first = 0
-            while first < len(texts):
-                last, held = first, 0
-                while last < len(texts) and (last == first or held + len(texts[last]) <= batch_chars):
-                    held += len(texts[last])
-                    last += 1
-                ids = codec.encode(texts[first:last])
+            names, texts = batch.column(0), as_string(batch.column(1))
+            for first, last in slices(texts, slice_bytes):
+                ids = codec.encode(texts.slice(first, last - first).to_pylist())
                 raw = codec.decode(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -244,7 +239,6 @@ def bpe_round_trip(
                     ],
                     schema=schema,
                 )
-                first = last
 
     chosen = docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string"))
     return chosen.mapInArrow(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words whose ids a worker keeps between batches; beyond it the memory starts anew.
 KEPT_WORDS = 200_000
+# Bytes of text that are split into words at once; memory per task follows from it.
+SLICE_BYTES = 1 << 20
 
 
 def as_string(column: pa.Array) -> pa.Array:
@@ -15,9 +19,20 @@ def as_string(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges that hold at most `limit` bytes each, or one longer text alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, last
+        first = last
+
+
 def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Offsets per row and all words, split at ASCII white space."""
-    parts = pc.ascii_split_whitespace(as_string(column))
+    """Offsets per row and all words of non-null strings, split at ASCII white space."""
+    parts = pc.ascii_split_whitespace(column)
     words = parts.flatten()
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     empty = pc.equal(words, "")
@@ -67,9 +82,14 @@ class WordTokenizer:
         self.known.update(found)
         return [self.known[w] for w in words]
 
-    def encode(self, column: pa.Array):
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Yields an array of ids per row."""
-        offsets, words = split_words(column)
+        texts = as_string(column)
+        for first, last in slices(texts):
+            yield from self._encode(texts.slice(first, last - first))
+
+    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        offsets, words = split_words(texts)
         coded = words.dictionary_encode()
         each = self._ids(coded.dictionary.to_pylist())
         index = coded.indices.to_numpy(zero_copy_only=False)
