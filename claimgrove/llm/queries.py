@@ -7,15 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgrove.llm.bpe import bpe_round_trip
-from claimgrove.llm.common import documents
+from claimgrove.llm.common import documents, labels
 from claimgrove.llm.exact_dedup import exact_groups
+from claimgrove.llm.licenses import licenses_sql, scan_licenses
 from claimgrove.llm.packing import pack_documents
+from claimgrove.llm.quality_rules import apply_rules, rules_sql
 from claimgrove.llm.registry import QUERIES, SQL, query
 from claimgrove.llm.sharding import balanced_shards
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op2_licenses", licenses_sql())
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every whole text and of every whole line."""
+    return scan_licenses(documents(spark, folder))
+
+
 @query(
     "op3_exact_dedup",
     """
@@ -49,6 +57,21 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op7_quality_rules", rules_sql())
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every text and the verdict of certified rules."""
+    return apply_rules(documents(spark, folder), labels(spark, folder)).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 8 shards of nearly equal bytes, equal texts together."""
