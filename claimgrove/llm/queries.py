@@ -14,6 +14,7 @@ from claimgrove.llm.packing import pack_documents
 from claimgrove.llm.quality_rules import apply_rules, rules_sql
 from claimgrove.llm.registry import QUERIES, SQL, query
 from claimgrove.llm.sharding import balanced_shards
+from claimgrove.llm.simhash import near_groups
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -72,6 +73,12 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints over three words, linked at three bits or fewer."""
+    return near_groups(documents(spark, folder), width=3, bits=3)
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 8 shards of nearly equal bytes, equal texts together."""
