@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ import pyarrow.compute as pc
 
 # Words whose ids a worker keeps between batches; beyond it the memory starts anew.
 KEPT_WORDS = 200_000
+PUNCTUATION = string.punctuation
 # Bytes of text that are split into words at once; memory per task follows from it.
 SLICE_BYTES = 1 << 20
 
@@ -44,11 +47,19 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate(([0], np.cumsum(counts))), words
 
 
+def _letters(text: str) -> bool:
+    """Letters only, also once in lower case (where one letter may add a mark)."""
+    return text.isalpha() and text.lower().isalpha()
+
+
 class WordTokenizer:
-    """Ids of a `tokenizers` file whose pre-tokeniser never joins across white space.
+    """Ids of a `tokenizers` file that never joins across white space or around letters.
 
-    The file's normaliser and splitter act within white-space separated words, so
-    ids of a text are those of its words in order. Each distinct word is encoded once.
+    The file's splitter takes runs of letters and runs of other signs apart, so the ids of a
+    text are those of its units in order: white-space separated words, and where a
+    word is letters and then ASCII punctuation, these two. Each distinct unit is encoded once.
+    Runs of letters go to the library many at a time: each is one word there, whose
+    last id carries the end-of-word mark; where the marks don't count up, one by one.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
@@ -56,9 +67,13 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -66,41 +81,67 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        found = dict(
-            zip(
-                new,
-                (
-                    np.array(e.ids, dtype=np.uint32)
-                    for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                ),
-            )
-        )
-        self.known.update(found)
-        return [self.known[w] for w in words]
+    def _forget(self) -> None:
+        """Unit 0 is empty; `pairs` has the two units of a word."""
+        self.units: dict[str, int] = {"": 0}
+        self.pairs: dict[str, tuple[int, int]] = {}
+        self.flat = np.zeros(0, dtype=np.uint32)
+        self.lengths = np.zeros(1, dtype=np.int64)
+
+    def _encode_units(self, units: list[str]) -> list[np.ndarray]:
+        letters = [i for i, unit in enumerate(units) if _letters(unit)]
+        result: list[np.ndarray | None] = [None] * len(units)
+        for k in range(0, len(letters), 500):
+            own = letters[k : k + 500]
+            text = " ".join(units[i] for i in own)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            marks = np.flatnonzero(self.ends[ids]) + 1
+            if len(marks) == len(own) and marks[-1] == len(ids):
+                for i, part in zip(own, np.split(ids, marks[:-1])):
+                    result[i] = part
+        single = [i for i, part in enumerate(result) if part is None]
+        encoded = self.tokenizer.encode_batch_fast([units[i] for i in single], add_special_tokens=False)
+        for i, part in zip(single, encoded):
+            result[i] = np.array(part.ids, dtype=np.uint32)
+        return result
+
+    def _pairs(self, words: list[str]) -> np.ndarray:
+        """Two unit numbers per word."""
+        if len(self.units) > KEPT_WORDS or len(self.pairs) > 2 * KEPT_WORDS:
+            self._forget()
+        fresh: list[str] = []
+        for word in words:
+            if word in self.pairs:
+                continue
+            plain = word.lower() if word.isascii() else word
+            core = plain.rstrip(PUNCTUATION)
+            if not _letters(core):
+                core = plain
+            both = []
+            for unit in (core, plain[len(core) :]):
+                if unit not in self.units:
+                    self.units[unit] = len(self.units)
+                    fresh.append(unit)
+                both.append(self.units[unit])
+            self.pairs[word] = (both[0], both[1])
+        if fresh:
+            parts = self._encode_units(fresh)
+            self.flat = np.concatenate([self.flat, *parts])
+            self.lengths = np.append(self.lengths, [len(p) for p in parts])
+        return np.array([self.pairs[w] for w in words], dtype=np.int64).reshape(-1, 2)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Yields an array of ids per row."""
         texts = as_string(column)
         for first, last in slices(texts):
-            yield from self._encode(texts.slice(first, last - first))
-
-    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        offsets, words = split_words(texts)
-        coded = words.dictionary_encode()
-        each = self._ids(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = np.array([len(x) for x in each], dtype=np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, dtype=np.uint32)
-        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1] if each else lengths
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            own = index[a:b]
-            n = lengths[own]
-            if not n.sum():
-                yield np.zeros(0, dtype=np.uint32)
-                continue
-            ends = np.cumsum(n)
-            yield flat[np.arange(ends[-1]) + np.repeat(starts[own] - (ends - n), n)]
+            offsets, words = split_words(texts.slice(first, last - first))
+            coded = words.dictionary_encode()
+            pairs = self._pairs(coded.dictionary.to_pylist())
+            units = pairs[coded.indices.to_numpy(zero_copy_only=False)].reshape(-1)
+            n = self.lengths[units]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            starts = np.cumsum(self.lengths) - self.lengths
+            ids = self.flat[np.arange(ends[-1]) + np.repeat(starts[units] - ends[:-1], n)]
+            bounds = ends[2 * offsets]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                yield ids[a:b]
