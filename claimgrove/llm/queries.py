@@ -15,6 +15,7 @@ from claimgrove.llm.quality_rules import apply_rules, rules_sql
 from claimgrove.llm.registry import QUERIES, SQL, query
 from claimgrove.llm.sharding import balanced_shards
 from claimgrove.llm.simhash import near_groups
+from claimgrove.llm.substring import remove_repeats
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -52,6 +53,18 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(documents(spark, folder), path, public_tokenizers.PATTERN)
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without the words of 35-word windows that occur more than once."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    return remove_repeats(docs, window=35, keep_spacing=False).select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
