@@ -36,11 +36,13 @@ RULES = (
     ("lengths", "word_chars / greatest(n_words, 1)", (8.0, 10.0, 12.0, 16.0)),
 )
 SYMBOLS = "#*$%&|<>"
+MARKS = "!?"
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals per row."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals,
+    n_distinct (words) and n_marks per row."""
     text = text_or_empty("text")
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).select(
         "doc_id",
@@ -49,6 +51,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, UPPER, ""))).cast("bigint").alias("n_capitals"),
+        (F.length(text) - F.length(F.translate(text, MARKS, ""))).cast("bigint").alias("n_marks"),
     )
     window = F.transform(
         F.col("words"),
@@ -75,6 +78,8 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .alias("n_repeat_words"),
         F.size("lines").cast("bigint").alias("n_lines"),
         "n_capitals",
+        F.size(F.array_distinct("words")).cast("bigint").alias("n_distinct"),
+        "n_marks",
     ).withColumn("n_repeat_words", F.greatest("n_repeat_words", F.lit(0)))
 
 

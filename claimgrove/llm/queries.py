@@ -11,6 +11,7 @@ from claimgrove.llm.common import documents, labels
 from claimgrove.llm.exact_dedup import exact_groups
 from claimgrove.llm.licenses import licenses_sql, scan_licenses
 from claimgrove.llm.packing import pack_documents
+from claimgrove.llm.quality_classifier import quality_scores
 from claimgrove.llm.quality_rules import apply_rules, rules_sql
 from claimgrove.llm.registry import QUERIES, SQL, query
 from claimgrove.llm.sharding import balanced_shards
@@ -86,6 +87,12 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every text by a sparse ensemble of rules."""
+    return quality_scores(documents(spark, folder), labels(spark, folder), threshold=0.3)
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints over three words, linked at three bits or fewer."""
