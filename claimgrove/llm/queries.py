@@ -17,10 +17,17 @@ from claimgrove.llm.registry import QUERIES, SQL, query
 from claimgrove.llm.sharding import balanced_shards
 from claimgrove.llm.simhash import near_groups
 from claimgrove.llm.substring import remove_repeats
+from claimgrove.llm.toxicity import toxicity_scores
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every whole text."""
+    return toxicity_scores(documents(spark, folder), labels(spark, folder))
+
+
 @query("op2_licenses", licenses_sql())
 def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licence of every whole text and of every whole line."""
