@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,27 +99,41 @@ def _joined(bounds: np.ndarray, words: pa.Array) -> pa.Array:
     return pc.binary_join(lists, pa.scalar(" ", words.type)).cast(pa.string())
 
 
-def _segment_rows(docs: DataFrame, window: int) -> DataFrame:
-    """id, key, place (start * 64 + windows), anchor, digest of every segment."""
-    names = ["id", "key", "place", "anchor", "digest"]
+def _segment_rows(rows: DataFrame, window: int, fold: bool) -> DataFrame:
+    """id, key, place (start * 64 + windows), anchor, digest of every segment.
+
+    With `fold`, equal segments of a batch become one row of their first holder and a
+    column `weight` counts them, so that no hot segment is shuffled row by row.
+    """
+    names = ["id", "key", "place", "anchor", "digest", *["weight"] * fold]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_string(batch.column(2))
+            texts, found = as_string(batch.column(2)), []
             for first, last in slices(texts):
                 offsets, words = split_words(texts.slice(first, last - first))
                 doc, start, count, anchor, digest = segments(word_hashes(words), offsets, window)
-                rows = pa.array(first + doc)
+                found.append((first + doc, start * 64 + count, anchor, digest))
+            doc, place, anchor, digest = (np.concatenate(c) for c in zip(*found)) if found else [()] * 4
+            weight = []
+            if fold and len(doc):
+                order = np.lexsort((digest, anchor))
+                new = (np.diff(anchor[order]) != 0) | (np.diff(digest[order]) != 0)
+                begin = np.flatnonzero(np.concatenate(([True], new)))
+                weight = [np.diff(np.append(begin, len(order)))]
+                doc, place, anchor, digest = (c[order[begin]] for c in (doc, place, anchor, digest))
+            if len(doc):
+                holder = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(rows),
-                        batch.column(1).take(rows),
-                        *(pa.array(c, pa.int64()) for c in (start * 64 + count, anchor, digest)),
+                        batch.column(0).take(holder),
+                        batch.column(1).take(holder),
+                        *(pa.array(c, pa.int64()) for c in (place, anchor, digest, *weight)),
                     ],
                     names=names,
                 )
 
-    return docs.select("id", "key", "text").mapInArrow(
+    return rows.select("id", "key", "text").mapInArrow(
         run, ", ".join(f"{name} bigint" for name in names)
     )
 
@@ -146,7 +160,7 @@ def _segment_texts(places: DataFrame, window: int) -> DataFrame:
                     names=[*names, "words"],
                 )
 
-    return places.select("text", "wanted").mapInArrow(
+    return places.mapInArrow(
         run, ", ".join(f"{name} bigint" for name in names) + ", words string"
     )
 
@@ -258,25 +272,32 @@ def remove_repeats(
         docs[text_col].cast("string").alias("text"),
         *(docs[c].alias(f"other{i}") for i, c in enumerate(others)),
     )
-    cells = _segment_rows(rows, window)
-    folded = cells.groupBy("anchor", "digest").agg(
-        F.count("*").alias("weight"),
-        # Taken from one row together; any holder of the segment has the same words.
-        F.first("id").alias("id"),
-        F.first("key").alias("key"),
-        F.first("place").alias("place"),
-    )
-    shared = folded.groupBy("anchor").agg(
-        F.sum("weight").alias("all"), F.ceil(F.count("*") / CHUNK).alias("chunks")
+    # One exchange by anchor serves the folding and the count of the anchor's segments.
+    partial = _segment_rows(rows, window, fold=True).repartition("anchor")
+    anchored = Window.partitionBy("anchor")
+    folded = (
+        partial.groupBy("anchor", "digest")
+        .agg(
+            F.sum("weight").alias("weight"),
+            # Taken from one row together; any holder of the segment has the same words.
+            F.first("id").alias("id"),
+            F.first("key").alias("key"),
+            F.first("place").alias("place"),
+        )
+        .withColumn("all", F.sum("weight").over(anchored))
+        .withColumn("chunks", F.ceil(F.count("*").over(anchored) / CHUNK))
+        .where("all > 1")
+        .drop("all")
     )
-    folded = stored(folded.join(shared.where("all > 1").drop("all"), "anchor"))
+    folded = stored(folded)
 
     wanted = folded.groupBy("id", "key").agg(
         F.collect_list(F.struct("place", "anchor", "digest", "weight", "chunks")).alias("wanted")
     )
-    text_side = rows.select("id", "key", "text").alias("t")
+    # Both joins read the same columns of the texts, so one exchange of them serves both.
+    passed = [F.col(f"t.{c}") for c in rows.columns if c.startswith("other")]
     same = F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.key") == F.col("w.key"))
-    holders = text_side.join(wanted.alias("w"), same).select("t.text", "w.wanted")
+    holders = rows.alias("t").join(wanted.alias("w"), same).select("t.text", "w.wanted", *passed)
     texts = _segment_texts(holders, window)
     own = F.pmod(F.col("digest"), F.col("chunks"))
     dealt = (
@@ -295,9 +316,10 @@ def remove_repeats(
         .sortWithinPartitions("anchor", "x", "y", "digest")
     )
     found = _repeated(dealt, window).distinct()
-    start = F.floor(F.col("place") / 64)
+    start = F.shiftright("place", 6)
     spans = (
-        cells.join(found, ["anchor", "digest"])
+        _segment_rows(rows, window, fold=False)
+        .join(found, ["anchor", "digest"])
         .groupBy("id", "key")
         .agg(
             F.collect_list(
