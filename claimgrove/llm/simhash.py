@@ -3,19 +3,24 @@
 Two 64-bit fingerprints that differ in at most `d` bits share at least 8 - d of
 their 8 positional bytes. The index posts every distinct fingerprint under combinations
 of positional bytes chosen so that any two with that many common bytes meet under at least
-one (`postings`). Where two meet, the bytes they share by position are tallied; pairs that
+one (`halves`). Where two meet, the bytes they share by position are tallied; pairs that
 reach the guaranteed minimum are verified by counting the bits that differ.
 
+Similarities of 0.8 need a wider radius than any byte count of 64 bits guarantees. For them a
+fingerprint of 256 bits is posted under `design` triples of its 32 bytes; a Jaccard
+similarity of 0.8 leaves 39 of 256 bits different on average. There the index is
+probabilistic: see `WIDE_BITS` and the README for measured recall.
+
 Equal fingerprints are folded before the index, so copies cost nothing there. A
-posting list beyond `LIST` is cut into chunks and every pair of chunks becomes a task row
-group of its own, so a hot list spreads over tasks. A group of rows emits only the links
+posting list beyond `LIST` is cut into chunks and every pair of chunks becomes a group of rows of
+its own, so a hot list spreads over tasks. A group of rows emits only the links
 of a spanning forest: at most one per fingerprint, never all pairs, and the
 components are the same.
 
 Defined edge cases: null text counts as empty; a text without words has fingerprint zero and
-is linked like any other; a null id takes part and is smaller than none, so it never
-names a component unless all ids of it are null; repeated rows share a
-component; an empty table gives an empty result; other columns are ignored.
+is linked like any other; a null id takes part but never names a component unless all
+its ids are null; repeated rows share a component; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgrove.llm.common import lower_ascii, stored, text_or_empty
@@ -36,51 +41,71 @@ from claimgrove.llm.tokens import as_string, slices, split_words
 LIST = 1024
 # Lists up to this length are compared together, without a loop over lists.
 SHORT = 32
+# Lanes of 64 bits, posted triples and differing bits for a Jaccard similarity of 0.8: the mean
+# number of bits that differ, 256 * acos(2 * 0.8 / 1.8) / pi, and one standard deviation.
+WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 100, 44
+
+_LANES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+
+
+def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The hashes, and beside them `lanes` - 1 mixed ones."""
+    columns = [hashes]
+    for salt in _LANES[1:lanes]:
+        x = (hashes ^ salt) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        columns.append(x ^ (x >> np.uint64(29)))
+    return np.stack(columns, axis=1)
 
 
-def fingerprint(words: list[str], width: int) -> int:
-    """SimHash of the shingles of `words`, repeats included."""
+def fingerprint(words: list[str], width: int, lanes: int = 1) -> bytes:
+    """SimHash of the shingles of `words`, repeats included; the least byte first."""
     import xxhash
 
     if not words:
-        return 0
+        return bytes(8 * lanes)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(" ".join(words), 42)
-    shingles = zip(*(words[i:] for i in range(width)))
-    hashes = np.array([digest(" ".join(s), 42) for s in shingles], dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for part in np.array_split(hashes, 1 + len(hashes) // 65536):
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    chosen = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(chosen.view(np.uint64)[0])
+        shingles = [" ".join(words)]
+    else:
+        shingles = [" ".join(s) for s in zip(*(words[i:] for i in range(width)))]
+    hashes = np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+    ones = np.zeros(64 * lanes, dtype=np.int64)
+    for first in range(0, len(hashes), 255 * 64):
+        part = _lanes(hashes[first : first + 255 * 64], lanes)
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        for row in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            ones += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
 def fingerprints(
-    docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id and fingerprint (a signed 64-bit integer) of every row."""
+    """doc_id, row_no, text_key (xxhash64 of the text) and print (bytes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, values = as_string(batch.column(1)), []
+            texts, values = as_string(batch.column(3)), []
             for first, last in slices(texts):
                 offsets, words = split_words(texts.slice(first, last - first))
                 words = words.to_pylist()
-                values += [fingerprint(words[a:b], width) for a, b in zip(offsets[:-1], offsets[1:])]
-            signed = np.array(values, dtype=np.uint64).view(np.int64)
+                values += [fingerprint(words[a:b], width, lanes) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(signed)], names=["doc_id", "fingerprint"]
+                [*batch.columns[:3], pa.array(values, pa.binary())],
+                names=["doc_id", "row_no", "text_key", "print"],
             )
 
-    lowered = lower_ascii(text_or_empty(docs[text_col])).alias("text")
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), lowered).mapInArrow(
-        run, "doc_id bigint, fingerprint bigint"
-    )
+    text = text_or_empty(docs[text_col])
+    return docs.select(
+        docs[id_col].cast("bigint").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row_no"),
+        F.xxhash64(text).alias("text_key"),
+        lower_ascii(text).alias("text"),
+    ).mapInArrow(run, "doc_id bigint, row_no bigint, text_key bigint, print binary")
 
 
-def postings(common: int) -> list[tuple[int, ...]]:
+def halves(common: int) -> list[tuple[int, ...]]:
     """Combinations of byte positions of which any `common` of 8 positions contain one.
 
     The positions fall into two halves; of `common` positions one half holds at least
@@ -90,6 +115,23 @@ def postings(common: int) -> list[tuple[int, ...]]:
     return [c for half in (range(4), range(4, 8)) for c in combinations(half, size)]
 
 
+def design(positions: int, keys: int) -> list[tuple[int, ...]]:
+    """`keys` triples of positions, no two of which share more than one position.
+
+    So they meet as independently as triples can; they are taken in the order of a fixed shuffle.
+    """
+    every = list(combinations(range(positions), 3))
+    np.random.default_rng(1).shuffle(every)
+    chosen: list[tuple[int, ...]] = []
+    used: set[tuple[int, int]] = set()
+    for triple in map(tuple, every):
+        pairs = set(combinations(sorted(map(int, triple)), 2))
+        if len(chosen) < keys and not pairs & used:
+            chosen.append(triple)
+            used |= pairs
+    return chosen
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest of the given links."""
     root: dict[int, int] = {}
@@ -107,71 +149,87 @@ def _forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _meet(x: np.ndarray, y: np.ndarray, common: int, bits: int) -> np.ndarray:
-    """Mask of pairs that share enough positional bytes and then differ in few bits."""
+    """Mask of pairs that share enough positional bytes and then differ in few bits.
+
+    Fingerprints are rows of bytes, compared along the last axis.
+    """
     differ = x ^ y
-    shared = (np.ascontiguousarray(differ).view(np.uint8).reshape(*differ.shape, 8) == 0).sum(-1)
-    kept = shared >= common
-    kept[kept] = np.bitwise_count(differ[kept]) <= bits
+    kept = (differ == 0).sum(-1) >= common
+    kept[kept] = np.bitwise_count(differ[kept]).sum(-1, dtype=np.int64) <= bits
     return kept
 
 
-def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
-    """a, b: links that join all fingerprints (column `fingerprint`, distinct) within `bits`."""
-    common = 8 - bits
-    if common < 2:
-        raise ValueError("too few common bytes for an index")
-    index = [
-        F.struct(
-            F.lit(i).alias("part"),
-            sum(
-                (F.shiftrightunsigned("fingerprint", 8 * p).bitwiseAND(255) * (256**k))
-                for k, p in enumerate(positions)
-            ).alias("bytes"),
-        )
-        for i, positions in enumerate(postings(common))
-    ]
-    posted = distinct.select("fingerprint", F.explode(F.array(*index)).alias("key")).select(
-        (F.col("key.bytes") * 64 + F.col("key.part")).alias("key"), "fingerprint"
-    )
+def links(nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int) -> DataFrame:
+    """a, b: links that join all nodes (columns `node`, `print`) that the index finds within `bits`."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            prints = _bytes(batch.column(1)).astype(np.int64)
+            lists = []
+            for i, positions in enumerate(keys):
+                key = np.zeros(len(prints), dtype=np.int64)
+                for p in positions:
+                    key = key << 8 | prints[:, p]
+                lists.append(key << 8 | i)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(lists)), pa.array(np.tile(batch.column(0).to_numpy(), len(keys)))],
+                names=["key", "node"],
+            )
+
+    posted = nodes.select("node", "print").mapInArrow(post, "key bigint, node bigint")
     lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    listed = posted.join(lists, "key")
-    # Chunk of the fingerprint within its list, and all pairs that contain this chunk.
+    # Chunk of the node within its list, and all pairs of chunks that contain this one.
     chunks = F.ceil(F.col("n") / LIST).cast("int")
-    listed = listed.withColumn("chunks", chunks).withColumn(
-        "own", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int")
-    )
-    paired = listed.select(
-        "key", "fingerprint", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    ).select(
-        "key",
-        F.least("own", "other").alias("low"),
-        F.greatest("own", "other").alias("high"),
-        "own",
-        "fingerprint",
+    listed = posted.join(lists, "key").withColumn("chunks", chunks)
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    paired = (
+        listed.withColumn("own", own)
+        .select("key", "node", "own", every.alias("other"))
+        .join(nodes.select("node", "print"), "node")
+        .select(
+            "key",
+            F.least("own", "other").alias("low"),
+            F.greatest("own", "other").alias("high"),
+            "own",
+            "node",
+            "print",
+        )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # rows of the group that may go on in the next batch
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-            rows = rows if rest is None else np.concatenate([rest, rows])
+            if not len(batch):
+                continue
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:5]], 1)
+            prints = _bytes(batch.column(5))
+            if rest is not None:
+                rows, prints = np.concatenate([rest[0], rows]), np.concatenate([rest[1], prints])
             begins = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1))
             last = begins[-1] + 1 if len(begins) else 0
-            rest, ready = rows[last:], rows[:last]
-            if len(ready):
-                yield _compare(ready, common, bits)
+            rest = rows[last:], prints[last:]
+            if last:
+                yield _compare(rows[:last], prints[:last], common, bits)
         if rest is not None:
-            yield _compare(rest, common, bits)
+            yield _compare(*rest, common, bits)
 
     sorted_rows = paired.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _compare(rows: np.ndarray, common: int, bits: int) -> pa.RecordBatch:
-    """Links within whole groups of rows (key, low, high, own, fingerprint), sorted by group."""
+def _bytes(column: pa.Array) -> np.ndarray:
+    """A row of bytes per fingerprint, all of one length."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
+
+
+def _compare(rows: np.ndarray, prints: np.ndarray, common: int, bits: int) -> pa.RecordBatch:
+    """Links within whole groups of rows (key, low, high, own, node), sorted by group."""
     begins = np.concatenate(([0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1))
     sizes = np.diff(np.append(begins, len(rows)))
-    values = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     # Short lists: all rows against the row `lag` places further in the same group.
     group = np.repeat(np.arange(len(begins)), sizes)
@@ -182,15 +240,16 @@ def _compare(rows: np.ndarray, common: int, bits: int) -> pa.RecordBatch:
         if not same.any():
             break
         first, second = first[same], second[same]
-        met = _meet(values[first], values[second], common, bits)
+        met = _meet(prints[first], prints[second], common, bits)
         found.append((first[met], second[met]))
     for k in np.flatnonzero(sizes > SHORT):
         index = np.arange(begins[k], begins[k] + sizes[k])
         low, high = rows[begins[k], 1:3]
         left, right = index[rows[index, 3] == low], index[rows[index, 3] == high]
-        for part in np.array_split(left, 1 + len(left) // 128):
-            i, j = np.nonzero(_meet(values[part][:, None], values[right][None, :], common, bits))
-            found.append((part[i], right[j]))
+        for part in np.array_split(left, 1 + len(left) // 64):
+            i, j = np.nonzero(_meet(prints[part][:, None], prints[right][None, :], common, bits))
+            kept = part[i] != right[j]
+            found.append((part[i][kept], right[j][kept]))
     a, b = (np.concatenate([f[side] for f in found] or [np.zeros(0, int)]) for side in (0, 1))
     kept = list(_forest(rows[a, 4], rows[b, 4]))
     return pa.RecordBatch.from_arrays(
@@ -198,18 +257,78 @@ def _compare(rows: np.ndarray, common: int, bits: int) -> pa.RecordBatch:
     )
 
 
+def _grouped(
+    rows: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int
+) -> DataFrame:
+    """`rows` (of `fingerprints`) with component_id, the least id reachable, and a label of the component."""
+    nodes = stored(
+        rows.groupBy("print").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("least_id"))
+    )
+    joined = components(links(nodes, keys, common, bits)).withColumnRenamed("node", "member")
+    members = nodes.join(joined, F.col("node") == F.col("member"), "left").select(
+        "print", "least_id", F.coalesce("label", "node").alias("label")
+    )
+    named = members.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    return rows.join(members.join(named, "label").select("print", "label", "component_id"), "print")
+
+
+def _reversed(name: str) -> Column:
+    """The 8 bytes of a fingerprint, the greatest first."""
+    return F.concat(*(F.substring(F.col(name), i, 1) for i in range(8, 0, -1)))
+
+
 def near_groups(
     docs: DataFrame, width: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least id reachable) of every row."""
-    rows = stored(fingerprints(docs, width, id_col, text_col))
-    distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
-    joined = components(links(distinct.select("fingerprint"), bits))
-    members = distinct.join(joined, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least_id", F.coalesce("label", "fingerprint").alias("label")
+    """doc_id, fingerprint (16 hex digits), component_id (least id reachable) of every row.
+
+    Fingerprints of 64 bits link at `bits` or fewer differing bits; the index finds all links.
+    """
+    common = 8 - bits
+    if common < 2:
+        raise ValueError("too few common bytes for an index")
+    rows = stored(fingerprints(docs, width, 1, id_col, text_col))
+    return _grouped(rows, halves(common), common, bits).select(
+        "doc_id", F.lower(F.hex(_reversed("print"))).alias("fingerprint"), "component_id"
     )
-    named = members.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    table = members.join(named, "label").select("fingerprint", "component_id")
-    return rows.join(table, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+
+
+def drop_near(
+    docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`docs` with one row of each group of texts whose shingles are similar to 0.8 or more.
+
+    The row with the least id stays; of equal ids the first that was read.
+    """
+    rows = stored(fingerprints(docs, width, WIDE_LANES, id_col, text_col))
+    grouped = stored(
+        _grouped(rows, design(8 * WIDE_LANES, WIDE_KEYS), 3, WIDE_BITS).select(
+            "doc_id", "row_no", "text_key", "label", "component_id"
+        )
+    )
+    first = (
+        grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("label")
+        .agg(F.min("row_no").alias("row_no"))
+    )
+    gone = grouped.join(first, ["label", "row_no"], "left_anti")
+    return drop_rows(docs, gone, id_col, text_col)
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` without the rows that `gone` names by doc_id and text_key, as often as it names them.
+
+    A row that repeats another in id and text is the same document twice: of such rows as
+    many go as are named.
+    """
+    named = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
+        F.count("*").alias("__gone")
+    )
+    keyed = docs.withColumn("__own", F.xxhash64(text_or_empty(docs[text_col])))
+    marked = keyed.join(
+        named, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left"
     )
+    kept = marked.where("__gone IS NULL")
+    again = Window.partitionBy("__id", "__key").orderBy("__gone")
+    rest = marked.where("__gone IS NOT NULL").withColumn("__nth", F.row_number().over(again))
+    return kept.select(*docs.columns).unionByName(rest.where("__nth > __gone").select(*docs.columns))

@@ -280,3 +280,31 @@ def toxicity_scores(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(
+    docs: DataFrame,
+    learned_from: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """`docs` without the rows that score `threshold` or more; all columns stay.
+
+    The model is learned from `learned_from`, and rows are dropped where they are read.
+    """
+    source = learned_from.select(
+        learned_from[id_col].cast("bigint").alias("doc_id"),
+        learned_from[text_col].cast("string").alias("text"),
+    )
+    words, clean, weights = learn(source, labels)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spotter = Spotter(words, clean)
+        for batch in batches:
+            signals = spotter.signals(as_string(batch.column(at)))
+            yield batch.filter(pa.array(sigmoid(signals @ weights[:-1] + weights[-1]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

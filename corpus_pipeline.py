@@ -11,25 +11,49 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimgrove.llm.common import documents
+from claimgrove.llm.common import documents, labels
 from claimgrove.llm.exact_dedup import drop_copies
 from claimgrove.llm.packing import pack_documents
+from claimgrove.llm.simhash import drop_near
+from claimgrove.llm.substring import remove_repeats
+from claimgrove.llm.toxicity import drop_toxic
 from claimgrove.session import prepare, shared_folder
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go."""
+    return drop_toxic(docs, documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest id stays."""
     return drop_copies(docs)
 
 
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts whose shingles of five words are similar to 0.8 or more, one stays."""
+    return drop_near(docs, width=5)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 35-word windows that occur more than once go; other texts stay as they are."""
+    cut = remove_repeats(docs, window=35, keep_spacing=True)
+    n_chars = F.when(cut["n_removed"] > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars.cast("bigint")).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 2048 tokens."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("exact_dedup", exact_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("substring_dedup", substring_dedup),
     ("packing", packing),
 ]
 
