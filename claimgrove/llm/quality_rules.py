@@ -5,9 +5,11 @@ cutoff. For every stratum (a band of word counts), rule and candidate cutoff, th
 good documents it would reject are counted; a cutoff is certified when the exact
 binomial tail P(Bin(n, a) <= k) stays within d / m: `a` is the allowed false rejection
 divided among the rules (so the union of rules keeps it), `d` the overall
-error probability and `m` the number of all tests (Bonferroni). No rule
-or cutoff is fitted, so all labelled rows are holdout. The strictest certified cutoff
-applies; a stratum without enough labels gets none and loses nothing.
+error probability and `m` the number of all tests (Bonferroni). No
+statistic or candidate is fitted, so all labelled rows are holdout, and as all candidates are
+tested at once, any certified one may be chosen: the one that rejects most labelled bad documents, less
+`PRICE` for each good one (on ties the mildest). A stratum without enough labels, or a rule
+that catches nothing there, gets no cutoff and loses nothing.
 
 Null text counts as empty (no words); a document with an empty text fails the base rule.
 Documents labelled more than once count as good when every label says so. Null ids match
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from claimgrove.llm.common import UPPER, stored, text_or_empty, words_of
 
-ALLOWED = 0.02
+ALLOWED = 0.05
 ERROR = 0.05
+# Bad documents that a cutoff must reject for each good one it rejects.
+PRICE = 10
 # Lower bounds of the word-count bands.
 BANDS = (0, 100, 300, 1000)
 # Rule, statistic and candidate cutoffs, strictest first.
@@ -112,31 +116,35 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def certified_cutoffs(
     statistics: DataFrame, labels: DataFrame, allowed: float = ALLOWED, error: float = ERROR
 ) -> DataFrame:
-    """One row per stratum that has labels: the strictest certified cutoff of each rule, or null."""
+    """One row per stratum with a certified rule: the chosen cutoff of each rule, or null."""
     import math
 
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("good")).where("good = 1")
-    sample = statistics.join(good.select("doc_id"), "doc_id")
+    marked = labels.groupBy("doc_id").agg(F.min("quality").alias("good")).where("good IS NOT NULL")
+    sample = statistics.join(marked, "doc_id")
     counts, rows = [], []
     for name, statistic, cutoffs in RULES:
         for j, cutoff in enumerate(cutoffs):
-            counts.append(
-                F.sum(F.when(F.expr(statistic) > cutoff, 1).otherwise(0)).alias(f"{name}_{j}")
-            )
-            rows.append(f"'{name}', {cutoff!r}D, {name}_{j}")
+            above = F.expr(statistic) > cutoff
+            counts.append(F.count(F.when((F.col("good") == 1) & above, 1)).alias(f"{name}_{j}"))
+            counts.append(F.count(F.when((F.col("good") != 1) & above, 1)).alias(f"{name}_{j}_bad"))
+            rows.append(f"'{name}', {cutoff!r}D, {name}_{j}, {name}_{j}_bad")
     tests = len(rows) * len(BANDS)
     counted = (
         sample.groupBy(band(F.col("n_words")).alias("stratum"))
-        .agg(F.count("*").alias("n"), *counts)
-        .selectExpr("stratum", "n", f"stack({len(rows)}, {', '.join(rows)}) AS (rule, cutoff, k)")
+        .agg(F.count(F.when(F.col("good") == 1, 1)).alias("n"), *counts)
+        .selectExpr("stratum", "n", f"stack({len(rows)}, {', '.join(rows)}) AS (rule, cutoff, k, bad)")
+        .withColumn("gain", F.col("bad") - PRICE * F.col("k"))
     )
     share = allowed / len(RULES)
     few = F.col("k") < F.col("n") * share
     tail = F.when(few, binomial_tail(F.col("n"), F.col("k"), share))
-    passed = counted.where(tail <= math.log(error / tests))
-    return passed.groupBy("stratum").agg(
-        *(F.min(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name, _, _ in RULES)
-    )
+    passed = counted.where((tail <= math.log(error / tests)) & (F.col("gain") > 0))
+
+    def best(name: str) -> Column:
+        own = F.when(F.col("rule") == name, F.struct("gain", "cutoff"))
+        return F.max(own)["cutoff"].alias(f"cut_{name}")
+
+    return passed.groupBy("stratum").agg(*(best(name) for name, _, _ in RULES))
 
 
 def apply_rules(
@@ -166,16 +174,17 @@ def rules_sql() -> str:
     bands = " ".join(f"WHEN n_words >= {least} THEN {i}" for i, least in reversed(list(enumerate(BANDS))))
     value = {n: s.replace(" / ", "::DOUBLE / ") for n, s, _ in RULES}
     grid = " UNION ALL ".join(
-        f"SELECT '{n}' AS rule, {c!r}::DOUBLE AS cutoff, stratum, count(*) AS n, "
-        f"count(CASE WHEN {value[n]} > {c!r} THEN 1 END) AS k FROM good GROUP BY stratum"
+        f"SELECT '{n}' AS rule, {c!r}::DOUBLE AS cutoff, stratum, "
+        f"count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND {value[n]} > {c!r}) AS k, "
+        f"count(*) FILTER (good <> 1 AND {value[n]} > {c!r}) AS bad FROM marked GROUP BY stratum"
         for n, _, cs in RULES
         for c in cs
     )
     tests = sum(len(c) for _, _, c in RULES) * len(BANDS)
     p = ALLOWED / len(RULES)
     verdict = " OR ".join(
-        f"coalesce({value[n]} > (SELECT min(cutoff) FROM passed WHERE rule = '{n}' "
-        "AND passed.stratum = s.stratum), false)"
+        f"coalesce({value[n]} > (SELECT first(cutoff ORDER BY bad - {PRICE} * k DESC, cutoff DESC) "
+        f"FROM passed WHERE rule = '{n}' AND passed.stratum = s.stratum), false)"
         for n, _, _ in RULES
     )
     return rf"""
@@ -199,12 +208,12 @@ def rules_sql() -> str:
              length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals
       FROM base LEFT JOIN covered USING (r)),
     s AS (SELECT *, CASE {bands} END AS stratum FROM stats),
-    good AS (
-      SELECT s.* FROM s JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)
-      USING (doc_id)),
+    marked AS (
+      SELECT s.*, good FROM s JOIN (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id)
+      USING (doc_id) WHERE good IS NOT NULL),
     grid AS ({grid}),
     passed AS (
-      SELECT * FROM grid WHERE k < n * {p!r} AND
+      SELECT * FROM grid WHERE bad > {PRICE} * k AND k < n * {p!r} AND
         list_sum(list_transform(range(0, k + 1), lambda i:
           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
               + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) <= {ERROR / tests!r})
