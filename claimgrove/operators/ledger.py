@@ -186,7 +186,8 @@ def match_billing(
 
     Times are cut into bins as wide as the bound; a call meets its own and the
     two neighbouring bins by equality, so a hot key compares only rows close in
-    time. `equal` lists further column pairs that must agree.
+    time. `equal` lists further column pairs that must agree. With `how="left"` a call
+    without a match stays once, and equal calls stay as many as they are.
     """
     width = max(1, int(seconds))
     stamp = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -200,10 +201,11 @@ def match_billing(
         F.abs(stamp(call_time) - stamp(export_time)) <= width * 1_000_000
     )
     if how == "left":
+        # Only a call's own bin may keep it without a match; the matches of its
+        # three copies meet again by the hash of the whole call, pre-aggregated to a flag.
         hits = left.join(right, condition).drop("__bin", "__obin")
-        matched = hits.select(*[F.col(c).alias(f"__h_{c}") for c in calls.columns], *export.columns)
-        same = F.lit(True)
-        for c in calls.columns:
-            same = same & F.col(c).eqNullSafe(F.col(f"__h_{c}"))
-        return calls.join(matched, same, "left").drop(*[f"__h_{c}" for c in calls.columns])
+        whole = lambda: F.sha2(F.to_json(F.struct(*calls.columns), {"ignoreNullFields": "false"}), 256)
+        seen = hits.select(whole().alias("__call")).distinct()
+        lone = calls.withColumn("__call", whole()).join(seen, "__call", "left_anti").drop("__call")
+        return hits.unionByName(lone, allowMissingColumns=True)
     return left.join(right, condition, how).drop("__bin", "__obin")

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrove.functions.arrays import first_reason
-from claimgrove.functions.numbers import INTEGER, display, plus, power10, reduce_fraction, times
+from claimgrove.functions.numbers import (
+    INTEGER,
+    display,
+    number_text,
+    plus,
+    power10,
+    reduce_fraction,
+    times,
+)
 from claimgrove.functions.periods import is_supported_period
 from claimgrove.functions.text import SPACE, axis_cues, let
 from claimgrove.operators.claims import DOC
@@ -33,37 +41,32 @@ CLAIM_ROLES = {
 }
 UNSUPPORTED = r"(?iU)목표|계획|예정|원단위|집약도|\b(?:target|goal|intensity)\b"
 NUMBER = r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
-# Displayed decimals all operands are aligned to; longer ones are not computed.
-DIGITS = 9
 # --- end of fixed values -----------------------------------------------------------------
 
 
-def aligned(raw: Column, digits: int = DIGITS) -> Column:
-    """Displayed number as struct<lo, mid, hi> integers over 2 * 10^digits."""
+def scaled(number: Column, digits: Column) -> Column:
+    """Displayed number (see `display`) as struct<lo, mid, hi> integers over 2 * 10^digits.
 
-    def scaled(number: Column) -> Column:
-        scale = power10(F.when(number["digits"] <= digits, F.lit(digits) - number["digits"]))
-        at = lambda step: times(plus(number["twice"], F.lit(step)), scale)
-        return F.struct(at(-1).alias("lo"), at(0).alias("mid"), at(1).alias("hi"))
+    A part is null when it needs more than 38 digits.
+    """
+    scale = power10(digits - number["digits"])
+    at = lambda step: times(plus(number["twice"], F.lit(step)), scale)
+    return F.struct(at(-1).alias("lo"), at(0).alias("mid"), at(1).alias("hi"))
 
-    return let(
-        let(display(raw), scaled),
-        lambda v: F.when(v["lo"].isNotNull() & v["mid"].isNotNull() & v["hi"].isNotNull(), v),
-    )
 
+def scaled_sum(cells: Column, digits: Column) -> Column:
+    """Sum of array<struct<twice, digits, n>> as struct<lo, mid, hi>; `n` numbers sum to `twice`."""
+    zero = F.lit(0).cast(INTEGER)
 
-def bind_observations(
-    bindings: DataFrame, observations: DataFrame, doc: Sequence[str] = DOC
-) -> DataFrame:
-    """Bindings exploded to their observations in order; `found` is false when missing."""
-    doc = list(doc)
-    member = bindings.select(
-        *doc, "claim_id", F.posexplode("observation_ids").alias("pos", "observation_id")
-    )
-    side = observations.withColumn("found", F.lit(True))
-    return member.join(side, [*doc, "observation_id"], "left").withColumn(
-        "found", F.coalesce("found", F.lit(False))
-    )
+    def add(total: Column, cell: Column) -> Column:
+        scale = power10(digits - cell["digits"])
+        part = lambda name, step: plus(
+            total[name], times(plus(cell["twice"], step * cell["n"]), scale)
+        ).alias(name)
+        return F.struct(part("lo", -1), part("mid", 0), part("hi", 1))
+
+    start = F.struct(zero.alias("lo"), zero.alias("mid"), zero.alias("hi"))
+    return F.aggregate(cells, start, add)
 
 
 def check_numeric(
@@ -72,8 +75,9 @@ def check_numeric(
     """Verdict per binding: consistent, inconsistent, not_comparable, not_computable.
 
     Gates run in fixed order and the first failure gives the reason. Interval
-    tests are cross-multiplied integers, so no quotient is rounded; an operand
-    beyond 38 digits ends as `precision_exceeded`.
+    tests are cross-multiplied integers, so no quotient is rounded; operands are aligned to
+    the longest decimals among them, and one beyond 38 digits ends as `precision_exceeded`.
+    A claim may have several bindings, each with a verdict of its own; equal ones give one.
 
     `bindings`: doc, claim_id, kind, observation_ids, reported_value, the
     dimensions, unit, reporting_period, baseline_period, quantity_kind, and the
@@ -88,12 +92,15 @@ def check_numeric(
         "observation_id",
         F.lit(True).alias("found"),
         *[F.col(d).alias(f"o_{d}") for d in (*DIMENSIONS, "reporting_period")],
-        aligned(F.col("value_raw")).alias("v"),
+        display(F.col("value_raw")).alias("v"),
+        number_text(F.col("value_raw")).isNotNull().alias("is_number"),
         "value_state",
         "value_source_id",
         "issue_open",
         "notes_open",
     )
+    identity = F.to_json(F.struct(*bindings.columns), {"ignoreNullFields": "false"})
+    bindings = bindings.withColumn("__binding", F.sha2(identity, 256)).dropDuplicates(["__binding"])
     exploded = bindings.withColumn("__n", F.size("observation_ids")).select(
         "*", F.posexplode("observation_ids").alias("pos", "observation_id")
     )
@@ -110,31 +117,42 @@ def check_numeric(
     same = F.col("o_reporting_period").eqNullSafe(expected_period)
     for name, value in expected.items():
         same = same & F.col(f"o_{name}").eqNullSafe(value)
-    baseline, current = F.col("pos") == 0, F.col("pos") == 1
-    folded = joined.groupBy(*doc, "claim_id").agg(
+    folded = joined.groupBy("__binding").agg(
         F.first("__n").alias("n_wanted"),
         F.count_if(F.coalesce("found", F.lit(False))).alias("n_found"),
         F.coalesce(F.bool_or("issue_open"), F.lit(False)).alias("issue_open"),
         F.coalesce(F.bool_or("notes_open"), F.lit(False)).alias("notes_open"),
         F.bool_and(
-            F.coalesce(F.col("value_state") == "value", F.lit(False)) & F.col("v").isNotNull()
+            F.coalesce((F.col("value_state") == "value") & F.col("is_number"), F.lit(False))
         ).alias("values_ok"),
-        F.bool_or(
-            F.coalesce(F.col("value_state") == "value", F.lit(False)) & F.col("v").isNull()
-        ).alias("too_long"),
+        F.bool_or(F.coalesce("is_number", F.lit(False)) & F.col("v").isNull()).alias("too_long"),
         F.bool_and(F.coalesce(same, F.lit(False))).alias("dimensions_ok"),
         F.count_distinct("value_source_id").alias("n_cells"),
-        *[
-            F.try_sum(F.col(f"v.{part}")).cast(INTEGER).alias(f"sum_{part}")
-            for part in ("lo", "mid", "hi")
-        ],
-        F.max(F.when(baseline, F.col("v"))).alias("base"),
-        F.max(F.when(current, F.col("v"))).alias("now"),
+        # As many as the binding names.
+        F.collect_list(
+            F.when(
+                F.col("v").isNotNull(),
+                F.struct("pos", F.col("v.twice").alias("twice"), F.col("v.digits").alias("digits")),
+            )
+        ).alias("operands"),
+    )
+    claims = bindings.drop("observation_ids").withColumn("shown", display(F.col("reported_value")))
+    rows = claims.join(folded, "__binding", "left")
+    longest = F.array_max(F.transform("operands", lambda o: o["digits"]))
+    rows = rows.withColumn("digits", F.greatest(longest, F.col("shown.digits")))
+    ones = F.transform(
+        "operands",
+        lambda o: F.struct(o["twice"].alias("twice"), o["digits"].alias("digits"), F.lit(1).alias("n")),
     )
-    claims = bindings.drop("observation_ids").withColumn(
-        "reported", aligned(F.col("reported_value"))
+    operand = lambda k: F.get(F.filter("operands", lambda o: o["pos"] == k), F.lit(0))
+    rows = rows.withColumns(
+        {
+            "reported": scaled(F.col("shown"), F.col("digits")),
+            "base": scaled(operand(0), F.col("digits")),
+            "now": scaled(operand(1), F.col("digits")),
+            "total": F.when(~F.coalesce("too_long", F.lit(False)), scaled_sum(ones, F.col("digits"))),
+        }
     )
-    rows = claims.join(folded, [*doc, "claim_id"], "left")
     kind = F.col("kind")
     wanted = F.coalesce("n_wanted", F.lit(0))
     periods_ok = F.when(
@@ -167,16 +185,15 @@ def check_numeric(
     zero_base = kind.isin("growth", "reduction", "product_reduction") & (
         (F.col("base.lo") <= 0) & (F.col("base.hi") >= 0)
     )
-    # The half step of a value that was parsed is always present; the reported
-    # text may be no number at all, or a number too long to align.
-    reported_missing = display(F.col("reported_value")).isNull()
+    # A text may be no number at all, or a number too long to compute with.
+    reported_missing = number_text(F.col("reported_value")).isNull()
     gates = first_reason(
         (F.coalesce("n_found", F.lit(0)) < wanted, "observation_missing"),
         (~F.coalesce(F.col("claim_verified"), F.lit(False)), "claim_source_unresolved"),
         (F.col("issue_open"), "source_issue_unresolved"),
         (F.col("notes_open"), "footnote_conditions_unresolved"),
         (
-            reported_missing | ~(F.coalesce("values_ok", F.lit(False)) | F.col("too_long")),
+            reported_missing | ~F.coalesce("values_ok", F.lit(False)),
             "value_missing_or_unresolved",
         ),
         (~periods_ok, "reporting_period_unresolved"),
@@ -193,18 +210,19 @@ def check_numeric(
         (F.coalesce(zero_base, F.lit(False)), "zero_baseline_interval"),
     )
     rep = F.col("reported")
-    direct_lo = F.when(kind == "sum", F.col("sum_lo")).otherwise(F.col("base.lo"))
-    direct_mid = F.when(kind == "sum", F.col("sum_mid")).otherwise(F.col("base.mid"))
-    direct_hi = F.when(kind == "sum", F.col("sum_hi")).otherwise(F.col("base.hi"))
+    direct_lo = F.when(kind == "sum", F.col("total.lo")).otherwise(F.col("base.lo"))
+    direct_mid = F.when(kind == "sum", F.col("total.mid")).otherwise(F.col("base.mid"))
+    direct_hi = F.when(kind == "sum", F.col("total.hi")).otherwise(F.col("base.hi"))
     direct = (direct_lo <= rep["hi"]) & (rep["lo"] <= direct_hi)
     # growth g = 100 (c - b) / b, reduction r = 100 (b - c) / b. Both sides carry
-    # the factor 2 * 10^DIGITS, which cancels in the ratio but not in `reported`:
+    # the factor 2 * 10^D, which cancels in the ratio but not in `reported`:
     #   g <= R / (2 * 10^D)  <=>  200 * 10^D * (c - b) <= R * b   (b > 0)
-    unit_scale = 200 * 10**DIGITS
+    power = power10(F.col("digits"))
+    unit_scale = times(power, F.lit(200))
     sign = F.when(kind == "growth", F.lit(1)).otherwise(F.lit(-1))
 
     def side(b: Column, c: Column) -> Column:
-        return times(times(plus(c, -b), sign), F.lit(unit_scale))
+        return times(times(plus(c, -b), sign), unit_scale)
 
     def below(b: Column, c: Column) -> Column:
         left, right = side(b, c), times(rep["hi"], b)
@@ -229,7 +247,7 @@ def check_numeric(
     numerator = F.when(is_direct, direct_mid).otherwise(
         times(times(plus(now_mid, -base_mid), sign), F.lit(100))
     )
-    denominator = F.when(is_direct, F.lit(2 * 10**DIGITS).cast(INTEGER)).otherwise(base_mid)
+    denominator = F.when(is_direct, times(power, F.lit(2))).otherwise(base_mid)
     reason = F.coalesce(gates, F.when(overlap.isNull(), F.lit("precision_exceeded")))
     rows = rows.withColumn("__reason", reason)
     open_ = F.col("__reason").isNull()
@@ -437,24 +455,56 @@ def check_sum(
     reported_value; `components`: key, value_raw, value_source_id.
     """
     key = list(key)
-    cells = components.withColumn("v", aligned(F.col("value_raw")))
+    number = number_text(F.col("value_raw"))
+    shown = display(F.col("value_raw"))
+    cells = components.select(
+        *key,
+        "value_source_id",
+        number.isNull().alias("bad"),
+        (number.isNotNull() & shown.isNull()).alias("long"),
+        shown["twice"].alias("twice"),
+        shown["digits"].alias("digits"),
+    )
     once = cells.groupBy(*key, "value_source_id").agg(
+        F.count("*").alias("repeats"),
+        F.bool_or("bad").alias("bad"),
+        F.bool_or("long").alias("long"),
+        F.min("twice").alias("twice"),
+        F.min("digits").alias("digits"),
+    )
+    # Numbers with equally many decimals add up first; at most 38 such sums meet in a row.
+    level = once.groupBy(*key, "digits").agg(
         F.count("*").alias("n"),
-        F.min("v").alias("v"),
-        F.bool_or(F.col("v").isNull()).alias("bad"),
+        F.max("repeats").alias("repeats"),
+        F.bool_or("bad").alias("bad"),
+        F.bool_or("long").alias("long"),
+        F.try_sum("twice").alias("twice"),
     )
-    sums = once.groupBy(*key).agg(
-        F.max("n").alias("repeats"),
-        F.count("*").alias("n_components"),
+    sums = level.groupBy(*key).agg(
+        F.max("repeats").alias("repeats"),
+        F.sum("n").alias("n_components"),
         F.bool_or("bad").alias("bad"),
-        *[F.try_sum(F.col(f"v.{p}")).cast(INTEGER).alias(p) for p in ("lo", "mid", "hi")],
+        F.bool_or("long").alias("long"),
+        F.max("digits").alias("longest"),
+        F.collect_list(F.struct(F.col("twice").cast(INTEGER).alias("twice"), "digits", "n")).alias("parts"),
     )
-    rows = reported.withColumn("r", aligned(F.col("reported_value"))).join(sums, key, "left")
+    rows = reported.withColumn("shown", display(F.col("reported_value"))).join(sums, key, "left")
+    rows = rows.withColumn("digits", F.greatest("longest", F.col("shown.digits")))
+    rows = rows.withColumns(
+        {
+            "r": scaled(F.col("shown"), F.col("digits")),
+            "total": F.when(~F.col("bad") & ~F.col("long"), scaled_sum(F.col("parts"), F.col("digits"))),
+        }
+    ).withColumns({"lo": F.col("total.lo"), "hi": F.col("total.hi")})
+    unresolved = F.col("bad") | number_text(F.col("reported_value")).isNull()
     reason = first_reason(
         (F.col("n_components").isNull(), "observation_missing"),
-        (F.col("bad") | F.col("r").isNull(), "value_missing_or_unresolved"),
+        (unresolved, "value_missing_or_unresolved"),
         (F.col("repeats") > 1, "aggregation_relation_unresolved"),
-        (F.col("lo").isNull() | F.col("hi").isNull(), "precision_exceeded"),
+        (
+            F.col("lo").isNull() | F.col("hi").isNull() | F.col("r.lo").isNull() | F.col("r.hi").isNull(),
+            "precision_exceeded",
+        ),
     )
     overlap = (F.col("lo") <= F.col("r.hi")) & (F.col("r.lo") <= F.col("hi"))
     status = (

@@ -2,8 +2,7 @@
 
 from pyspark import cloudpickle
 
-from claimgrove.sources import filings, html_tables
+from claimgrove.sources import filings
 
 # Functions run in Arrow batches travel by value, so executors need no installed copy.
-for _module in (filings, html_tables):
-    cloudpickle.register_pickle_by_value(_module)
+cloudpickle.register_pickle_by_value(filings)

@@ -1,8 +1,10 @@
 """Structured Streaming operators.
 
 Stateful ones keep one small record per key (a hash and a sequence, or the at
-most `limit` admitted times), so state does not grow with the stream; a hot
-key's work per task is bounded by the micro-batch size of the source.
+most `limit` admitted times). All rows of a key in a micro-batch are put in order
+before they are judged, whatever order and chunks they arrive in, so results
+match the batch operators; a hot key's memory is bounded by the micro-batch, whose
+size the source sets (`maxFilesPerTrigger`, `maxOffsetsPerTrigger`).
 """
 
 from __future__ import annotations
@@ -22,6 +24,11 @@ def _types(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
+def _in_order(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> pd.DataFrame:
+    """All rows of one key in this micro-batch, sorted."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(list(by), kind="stable")
+
+
 # ---------------------------------------------------------------- idempotent ingest
 
 
@@ -45,17 +52,16 @@ def idempotent_stream(
             state.remove()
             return
         first, since = state.get if state.exists else (None, 0)
-        for batch in batches:
-            batch = batch.sort_values([time, "body_hash"])
-            outcomes = []
-            for when, digest in zip(batch[time], batch["body_hash"]):
-                at = int(when.timestamp())
-                if first is None or at - since >= seconds:
-                    first, since = digest, at
-                    outcomes.append("new")
-                else:
-                    outcomes.append("replay" if digest == first else "conflict")
-            yield batch.assign(outcome=outcomes)[[*key, time, "body_hash", "outcome"]]
+        batch = _in_order(batches, [time, "body_hash"])
+        outcomes = []
+        for when, digest in zip(batch[time], batch["body_hash"]):
+            at = int(when.timestamp())
+            if first is None or at - since >= seconds:
+                first, since = digest, at
+                outcomes.append("new")
+            else:
+                outcomes.append("replay" if digest == first else "conflict")
+        yield batch.assign(outcome=outcomes)[[*key, time, "body_hash", "outcome"]]
         state.update((first, since))
         deadline = (since + seconds) * 1000
         state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
@@ -68,23 +74,33 @@ def idempotent_stream(
 # ---------------------------------------------------------------- exactly-once effect
 
 
-def upsert_stream(df: DataFrame, path: str, checkpoint: str, key: Sequence[str], revision: str):
+def upsert_stream(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: Sequence[str],
+    revision: str,
+    trigger: dict | None = None,
+):
     """Start a query whose effect is exactly once although delivery is at least once.
 
-    Each micro-batch owns one folder named by its epoch and overwrites it, so a
-    replayed batch leaves the same files; readers fold by key (`read_upserted`).
+    Each micro-batch owns one folder named by its query and epoch and overwrites it, so a
+    replayed batch leaves the same files, and a query that starts anew without its
+    checkpoint never overwrites those of another; readers fold by key (`read_upserted`).
+    `trigger` is passed on; by default all available rows are taken and the query ends.
     """
     key = list(key)
 
     def write(batch: DataFrame, epoch: int) -> None:
         rest = [c for c in batch.columns if c not in key]
         newest = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), revision).alias("r"))
-        newest.select(*key, "r.*").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        newest.select(*key, "r.*").write.mode("overwrite").parquet(f"{path}/query={query}/epoch={epoch}")
 
     return (
         df.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -96,7 +112,7 @@ def read_upserted(spark: SparkSession, path: str, key: Sequence[str], revision:
     folded = rows.groupBy(*key).agg(
         F.max_by(F.struct(*rest), F.struct(revision, "epoch")).alias("r")
     )
-    return folded.select(*key, "r.*").drop("epoch")
+    return folded.select(*key, "r.*").drop("epoch", "query")
 
 
 # ---------------------------------------------------------------- audit chain
@@ -123,19 +139,18 @@ def audit_stream(
         name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         head, at = state.get if state.exists else (None, 0)
-        for batch in batches:
-            batch = batch.sort_values(sequence)
-            outcomes = []
-            for n, before, own in zip(batch[sequence], batch[previous], batch[digest]):
-                before = None if pd.isna(before) else before
-                if n != at + 1:
-                    outcomes.append("sequence_invalid")
-                elif before != head:
-                    outcomes.append("previous_hash_invalid")
-                else:
-                    head, at = own, int(n)
-                    outcomes.append("accepted")
-            yield batch.assign(outcome=outcomes)[[*columns, "outcome"]]
+        batch = _in_order(batches, [sequence, digest])
+        outcomes = []
+        for n, before, own in zip(batch[sequence], batch[previous], batch[digest]):
+            before = None if pd.isna(before) else before
+            if n != at + 1:
+                outcomes.append("sequence_invalid")
+            elif before != head:
+                outcomes.append("previous_hash_invalid")
+            else:
+                head, at = own, int(n)
+                outcomes.append("accepted")
+        yield batch.assign(outcome=outcomes)[[*columns, "outcome"]]
         state.update((head, at))
 
     return rows.groupBy(*stream).applyInPandasWithState(
@@ -178,7 +193,7 @@ def coverage_stream(events: DataFrame, run: Sequence[str] = ("run_id",)) -> Data
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS],
         F.bool_and("full_scope").alias("full_scope"),
         F.max_by("status", "event_time").alias("run_status"),
-        F.max("stop_reason").alias("stop_reason"),
+        F.max_by("stop_reason", "event_time").alias("stop_reason"),
     )
     return coverage_status(totals)
 
@@ -203,22 +218,21 @@ def admission_stream(
         name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values([time, event_id])
-            admitted, waits = [], []
-            for when in batch[time]:
-                now = int(when.value // 1000)
-                recent = [t for t in recent if t > now - width]
-                if len(recent) >= limit:
-                    admitted.append(False)
-                    waits.append(-(-(recent[0] + width - now) // 1000))
-                else:
-                    recent.append(now)
-                    admitted.append(True)
-                    waits.append(None)
-            result = batch.assign(admitted=admitted)
-            result["retry_after_ms"] = pd.array(waits, dtype="Int64")
-            yield result[[*columns, "admitted", "retry_after_ms"]]
+        batch = _in_order(batches, [time, event_id])
+        admitted, waits = [], []
+        for when in batch[time]:
+            now = int(when.value // 1000)
+            recent = [t for t in recent if t > now - width]
+            if len(recent) >= limit:
+                admitted.append(False)
+                waits.append(-(-(recent[0] + width - now) // 1000))
+            else:
+                recent.append(now)
+                admitted.append(True)
+                waits.append(None)
+        result = batch.assign(admitted=admitted)
+        result["retry_after_ms"] = pd.array(waits, dtype="Int64")
+        yield result[[*columns, "admitted", "retry_after_ms"]]
         state.update((recent,))
 
     return rows.groupBy(*key).applyInPandasWithState(

@@ -20,7 +20,6 @@ from claimgrove.operators import (
 )
 from claimgrove.operators.rulebook import ELEMENTS
 from claimgrove.sources.filings import filing_text_nodes
-from claimgrove.sources.html_tables import html_table_cells
 
 
 def rows(df, *order):
@@ -285,12 +284,9 @@ def test_unit_footnote_and_merged_title(spark):
     assert (got["2024"]["value_decimal"], got["2024"]["value_state"]) == (None, "missing")
 
 
-def test_html_tables_and_nodes(spark):
+def test_filing_nodes(spark):
     good = "<table><tr><th rowspan=2>A</th><th>B</th></tr><tr><td>1<br>2</td></tr></table>"
-    df = spark.createDataFrame([(1, good), (2, "<table><tr><td>x</td></tr><tr></tr></table>"), (3, good + good)], "id int, html string")
-    out = html_table_cells(df, ["id"]).collect()
-    assert [(r["text"], r["row"], r["column"], r["row_span"]) for r in out if r["id"] == 1] == [("A", 0, 0, 2), ("B", 0, 1, 1), ("1\n2", 1, 1, 1)]
-    assert {r["id"]: r["reason"] for r in out if r["reason"]} == {2: "row_count_mismatch", 3: "several_tables"}
+    df = spark.createDataFrame([(1, good)], "id int, html string")
     nodes = filing_text_nodes(df.filter("id = 1"), ["id"]).orderBy("position").collect()
     assert [(n["text"], n["row_group"], n["element_path"]) for n in nodes][:2] == [("A", 1, "/table[1]/tr[1]/th[1]"), ("B", 1, "/table[1]/tr[1]/th[2]")]
     assert nodes[2]["row_group"] == 1
