@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+# Words behind a mismatch that a probe takes along.
+PROBE = 8
+
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first `depth` symbols, by prefix doubling."""
@@ -72,28 +75,48 @@ class FmIndex:
         return base + self.bwt.descend(symbol, low), base + self.bwt.descend(symbol, high)
 
     def repeats(self, least: int) -> list[tuple[int, int, int]]:
-        """Matching statistics of every indexed text: (text, from, to) of its maximal
-        stretches of `least` words or more whose total weight in the index is above one.
+        """Matching statistics of every indexed text: (text, from, to) of stretches of `least`
+        words or more whose total weight in the index is above one; together they cover
+        every repeated window of `least` words.
 
-        Each text is streamed from its end: the match grows to the left by backward search
-        and, where it ends, starts anew one word further left. All texts advance together.
+        Each text is streamed from its end: the match grows to the left by backward search. Where
+        it ends before a word, windows without that word are done; a probe of that word
+        and the `PROBE` words behind it often shows that no window with all of them can
+        repeat, else the next window back is tried. All texts advance together.
         """
         found = []
         live = np.flatnonzero(self.lengths >= least)
         end = self.lengths[live].copy()
         at = end.copy()
+        # Where a probe runs, `back` is the end to go on from when it finds a repeat, else -1.
+        back = np.full(len(live), -1, dtype=np.int64)
         low, high = np.zeros(len(live), dtype=np.int64), np.full(len(live), self.size, dtype=np.int64)
+        stop = np.zeros(len(live), dtype=np.int64)  # a probe ends here, a search at 0
         while len(live):
             new_low, new_high = self.extend(self.codes[self.starts[live] + at - 1], low, high)
             grows = self.weight[new_high] - self.weight[new_low] > 1
             at = np.where(grows, at - 1, at)
             low, high = np.where(grows, new_low, low), np.where(grows, new_high, high)
-            whole = grows & (at == 0)
-            report = (whole | ~grows) & (end - at >= least)
+            probing = back >= 0
+            done = grows & (at == stop)
+            whole = done & ~probing
+            report = (whole | (~grows & ~probing)) & (end - at >= least)
             found += zip(live[report].tolist(), at[report].tolist(), end[report].tolist())
-            end = np.where(grows, end, end - 1)
-            at = np.where(grows, at, end)
-            low, high = np.where(grows, low, 0), np.where(grows, high, self.size)
-            stay = ~whole & (end >= least)
+            # A search that failed goes on with a probe, if that is shorter than the next search.
+            following = np.minimum(end - 1, at + least - 1)
+            short = at + PROBE
+            probe = ~grows & ~probing & (short < following)
+            plain = ~grows & ~probing & ~probe
+            missed = ~grows & probing
+            repeated = done & probing
+            new_end = np.select([probe, plain, missed, repeated], [short, following, end - 1, back], end)
+            restart = probe | plain | missed | repeated
+            stop = np.where(probe, at - 1, np.where(restart, 0, stop))
+            back = np.where(probe, following, np.where(restart, -1, back))
+            end = new_end
+            at = np.where(restart, end, at)
+            low, high = np.where(restart, 0, low), np.where(restart, self.size, high)
+            stay = ~whole & ((end >= least) | (back >= least))
             live, end, at, low, high = live[stay], end[stay], at[stay], low[stay], high[stay]
+            stop, back = stop[stay], back[stay]
         return found
