@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -539,30 +540,50 @@ def word_runs(words: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """Runs of words of one visual line, cut where the gap exceeds the text height.
 
     A word joins the latest line whose first word is within a quarter of the
-    smaller height. Assigning lines needs the page's order (a page is bounded by
-    its paper); cutting runs is a native window per line.
+    smaller height. Where the tops of two words in order lie further apart than a quarter of
+    the page's greatest height, no later word can join an earlier line, so only the
+    stretches between such places are folded, each in a group of its own.
     """
     page = list(page)
-    types = {f.name: f.dataType.simpleString() for f in words.schema.fields}
-    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", line_no int"
+    height = F.col("y1") - F.col("y0")
+    tallest = words.groupBy(*page).agg(F.max(height).alias("__tallest"))
+    order = ["y0", "x0", "word_id"]
+    bucket = F.floor(F.col("y0") / 64)
+    rows = neighbours(
+        words.join(tallest, page), page, order, previous={"__py": F.col("y0")}, bucket=bucket
+    )
+    apart = F.col("y0") - F.col("__py") > F.col("__tallest") * 0.25
+    fresh = (F.col("__py").isNull() | apart).cast("int")
+    rows = running(
+        rows.withColumn("__fresh", fresh), page, order, sums={"__stretch": F.col("__fresh")}, bucket=bucket
+    ).select(*words.columns, "__stretch")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", __local int"
 
-    def lines(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["y0", "x0", "word_id"])
-        firsts: list[tuple[float, float]] = []
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        tops, heights = group["y0"].to_numpy(), (group["y1"] - group["y0"]).to_numpy()
+        opened: list[int] = []  # rows that opened a line
         numbers = []
-        for y0, y1 in zip(group["y0"], group["y1"]):
-            height = y1 - y0
-            for i in range(len(firsts) - 1, -1, -1):
-                top, tall = firsts[i]
-                if abs(top - y0) <= min(height, tall) * 0.25:
-                    numbers.append(i)
-                    break
+        for row, (top, tall) in enumerate(zip(tops, heights)):
+            own = np.array(opened, dtype=int)
+            near = np.abs(tops[own] - top) <= np.minimum(heights[own], tall) * 0.25
+            if near.any():
+                numbers.append(int(np.flatnonzero(near)[-1]))
             else:
-                firsts.append((y0, height))
-                numbers.append(len(firsts) - 1)
-        return group.assign(line_no=numbers)
+                numbers.append(len(opened))
+                opened.append(row)
+        return group.assign(__local=numbers)
 
-    lined = words.groupBy(*page).applyInPandas(lines, schema)
+    local = rows.groupBy(*page, "__stretch").applyInPandas(fold, schema)
+    counts = local.groupBy(*page, "__stretch").agg((F.max("__local") + 1).alias("__n"))
+    before = W.partitionBy(*page).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        *page, "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
+    )
+    lined = local.join(offsets, [*page, "__stretch"]).select(
+        *words.columns, (F.col("__local") + F.col("__off")).cast("int").alias("line_no")
+    )
     w = W.partitionBy(*page, "line_no").orderBy("x0", "word_id")
     tall = F.greatest(
         F.col("y1") - F.col("y0"), F.lag("y1").over(w) - F.lag("y0").over(w)
