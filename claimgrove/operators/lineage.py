@@ -17,7 +17,6 @@ def ancestors(
     edges: DataFrame,
     relation: str = "table_parent",
     doc: Sequence[str] = DOC,
-    max_rounds: int = 64,
 ) -> DataFrame:
     """Transitive closure (doc, source_id, ancestor_id), `is_cycle` on self pairs.
 
@@ -33,7 +32,7 @@ def ancestors(
     )
     closure = cut_lineage(step)
     known = closure.count()
-    for _ in range(max_rounds):
+    while True:
         upper = closure.select(
             *[F.col(c).alias(f"__{c}") for c in doc],
             F.col("source_id").alias("__via"),

@@ -302,7 +302,8 @@ def rrf(
     """
     key = list(key)
     once = hits.groupBy(*key, "route", "source_id").agg(F.min("position").alias("position"))
-    ranked = top_k(once, [*key, "route"], ["position", "source_id"], 1 << 30, "route_rank")
+    order = W.partitionBy(*key, "route").orderBy("position", "source_id")
+    ranked = once.withColumn("route_rank", F.row_number().over(order))
     per_route = [
         F.max(F.when(F.col("route") == r, 1.0 / (F.lit(k) + F.col("route_rank")))).alias(f"__{i}")
         for i, r in enumerate(routes)

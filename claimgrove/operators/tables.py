@@ -32,7 +32,6 @@ HEADERS = {
 }
 BASIS_HEADERS = ("시장기반", "위치기반", "market-based", "location-based")
 YEAR_HEADER = "^[12][0-9]{3}년?$"
-MAX_EXPANDED_CELLS = 100_000
 # --- end of fixed values -----------------------------------------------------------------
 
 FIELDS = tuple(f for f in HEADERS if f != "value_raw")
@@ -47,18 +46,18 @@ def header_role(text: Column) -> Column:
 
 
 def expand_grid(
-    cells: DataFrame, table: Sequence[str] = TABLE, limit: int = MAX_EXPANDED_CELLS
+    cells: DataFrame, table: Sequence[str] = TABLE, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(grid, issues): one row per covered grid position; a table above the limit
-    or with overlapping cells is an issue and keeps no grid rows.
-
-    The size is summed before anything is expanded.
+    """(grid, issues): one row per covered grid position; a table with overlapping
+    cells is an issue and keeps no grid rows, and so is one above `limit` positions, if
+    a limit is given. The size is summed before anything is expanded.
     """
     table = list(table)
     area = F.coalesce("row_span", F.lit(1)).cast("bigint") * F.coalesce("column_span", F.lit(1))
     sizes = cells.groupBy(*table).agg(F.sum(area).alias("__area"))
     sized = cells.join(sizes, table)
-    ok = sized.filter(F.col("__area") <= limit).drop("__area")
+    within = F.lit(True) if limit is None else F.col("__area") <= limit
+    ok = sized.filter(within).drop("__area")
     last = lambda start, span: F.col(start) + F.coalesce(span, F.lit(1)) - 1
     grid = (
         ok.withColumn(
