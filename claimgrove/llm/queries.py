@@ -61,7 +61,27 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(documents(spark, folder), path, public_tokenizers.PATTERN)
 
 
-@query("op5_substring_dedup")
+@query(
+    "op5_substring_dedup",
+    r"""
+    WITH base AS (
+      SELECT doc_id, row_number() OVER () AS r,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    windows AS (
+      SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS g
+      FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM base WHERE len(w) >= 35)),
+    repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+    gone AS (SELECT DISTINCT r, i + d AS p FROM repeated, (SELECT unnest(range(0, 35)) AS d)),
+    placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM base),
+    kept AS (
+      SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+      FROM placed ANTI JOIN gone USING (r, p) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+           sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM base LEFT JOIN kept USING (r)
+    """,
+)
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Texts without the words of 35-word windows that occur more than once."""
     docs = documents(spark, folder).select("doc_id", "text")
