@@ -61,36 +61,39 @@ def block_terms(blocks: DataFrame, scope: Sequence[str], text: str = "text") ->
     return ordered.select(*scope, "source_id", "len", term_counts(F.col("__sorted")).alias("counts"))
 
 
-def scope_stats(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Number of blocks and mean length per scope (blocks without terms count too)."""
-    return terms.groupBy(*scope).agg(
-        F.count("*").alias("n_blocks"), F.sum("len").alias("total_len")
+def entries(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """One row per posting, and one without a term per block, so that blocks without
+    (wanted) terms still count: (scope, source_id, len, term, tf)."""
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
+    posting = F.explode(F.concat(none.cast(terms.schema["counts"].dataType), "counts"))
+    return terms.select(*scope, "source_id", "len", posting.alias("p")).select(
+        *scope, "source_id", "len", "p.term", "p.tf"
     )
 
 
-def with_scope_stats(df: DataFrame, terms: DataFrame, scope: Sequence[str]) -> DataFrame:
+def with_scope_stats(df: DataFrame, stats: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Attach n_blocks and total_len: by scope, or as one scalar subquery."""
-    stats = scope_stats(terms, scope)
     if scope:
         return df.join(stats, list(scope))
     one = stats.select(F.struct("n_blocks", "total_len").alias("s")).scalar()
     return df.withColumn("__s", one).select(*df.columns, "__s.n_blocks", "__s.total_len")
 
 
-def document_frequency(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Blocks per (scope, term); partial counts collapse before the shuffle."""
-    return (
-        terms.select(*scope, F.explode("counts.term").alias("term"))
+def term_stats(blocks: DataFrame, scope: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """Per (scope, term): df, plus corpus size and average length of the scope.
+
+    One pass: partial counts collapse before the shuffle, and only the counted terms are kept.
+    """
+    counted = cut_lineage(
+        entries(block_terms(blocks, scope, text), scope)
         .groupBy(*scope, "term")
-        .agg(F.count("*").alias("df"))
+        .agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
     )
-
-
-def term_stats(blocks: DataFrame, scope: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """Per (scope, term): df, plus corpus size and average length of the scope."""
-    terms = cut_lineage(block_terms(blocks, scope, text))
-    joined = with_scope_stats(document_frequency(terms, scope), terms, scope)
-    return joined.withColumn(
+    stats = counted.filter(F.col("term").isNull()).select(
+        *scope, F.col("df").alias("n_blocks"), "total_len"
+    )
+    found = counted.filter(F.col("term").isNotNull()).drop("total_len")
+    return with_scope_stats(found, stats, scope).withColumn(
         "avg_len", F.col("total_len") / F.greatest(F.lit(1), F.col("n_blocks"))
     ).drop("total_len")
 
@@ -100,33 +103,35 @@ def bm25_scores(
 ) -> DataFrame:
     """Score of every (query, block) that share a term: (scope, query_id, source_id, score).
 
-    Only postings of query terms leave the scan, moved once by block; the query
-    side is broadcast behind a size check, so the grouping by (query, block)
-    needs no further shuffle.
+    The text is tokenised once; only postings of query terms, and one row per block
+    for the statistics, leave that pass. The query side is broadcast behind a size
+    check, so the grouping by (query, block) needs no further shuffle.
     """
     scope = list(scope)
-    # The counted blocks are the index of the corpus: read by the statistics and
-    # by the postings, so the text is tokenised once.
-    terms = cut_lineage(block_terms(blocks, scope, text))
     wanted = queries.select(
         *scope, "query_id", F.explode(F.array_distinct(search_terms(F.col(text)))).alias("term")
     )
-    vocabulary = small_side(wanted.select(*scope, "term").distinct())
-    frequency = document_frequency(terms, scope).join(vocabulary, [*scope, "term"], "left_semi")
+    vocabulary = small_side(wanted.select(*scope, "term").distinct().withColumn("__known", F.lit(True)))
+    kept = cut_lineage(
+        entries(block_terms(blocks, scope, text), scope)
+        .join(vocabulary, [*scope, "term"], "left")
+        .filter(F.col("__known") | F.col("term").isNull())
+        .drop("__known")
+    )
+    whole, found = kept.filter(F.col("term").isNull()), kept.filter(F.col("term").isNotNull())
+    stats = whole.groupBy(*scope).agg(
+        F.count("*").alias("n_blocks"), F.sum("len").alias("total_len")
+    )
+    frequency = found.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n_blocks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = with_scope_stats(frequency, terms, scope).select(
+    weights = with_scope_stats(frequency, stats, scope).select(
         *scope,
         "term",
         idf.alias("idf"),
         (F.col("total_len") / F.greatest(F.lit(1), F.col("n_blocks"))).alias("avg_len"),
     )
     weighted = small_side(cut_lineage(wanted.join(weights, [*scope, "term"])))
-    counted = terms.select(*scope, "source_id", "len", F.explode("counts").alias("p"))
-    postings = (
-        counted.select(*scope, "source_id", "len", F.col("p.term").alias("term"), "p.tf")
-        .join(vocabulary, [*scope, "term"], "left_semi")
-        .repartition(*scope, "source_id")
-    )
+    postings = found.repartition(*scope, "source_id")
     part = (
         F.col("idf")
         * F.col("tf")
