@@ -69,6 +69,18 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return np.array(table, dtype=np.uint64)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
+def _least_places(values: np.ndarray, span: int) -> np.ndarray:
+    """Place of the leftmost least value in every run of `span` values, by doubling runs."""
+    least, place, size = values, np.arange(len(values)), 1
+    while size < span:
+        step = min(size, span - size)
+        right = least[step:] < least[:-step]
+        least = np.where(right, least[step:], least[:-step])
+        place = np.where(right, place[step:], place[:-step])
+        size += step
+    return place
+
+
 def segments(hashes: np.ndarray, offsets: np.ndarray, window: int) -> list[np.ndarray]:
     """Document, start, number of windows, anchor and digest of every segment."""
     n, span = len(hashes), window - ANCHOR + 1
@@ -81,7 +93,7 @@ def segments(hashes: np.ndarray, offsets: np.ndarray, window: int) -> list[np.nd
     for j, power in enumerate(_powers(_BASE, ANCHOR)):
         grams += hashes[j : n - ANCHOR + 1 + j] * power
     grams = _mix(grams)
-    anchor = valid + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1)[valid]
+    anchor = _least_places(grams, span)[valid]
     changed = (anchor[1:] != anchor[:-1]) | (owner[valid[1:]] != owner[valid[:-1]])
     begin = np.flatnonzero(np.concatenate(([True], changed)))
     count = np.diff(np.append(begin, len(valid)))
@@ -311,7 +323,6 @@ def remove_repeats(
             "weight",
             "words",
         )
-        # Equal rows of one id and text each hold the segment; once is enough.
         .repartition("anchor", "x", "y")
         .sortWithinPartitions("anchor", "x", "y", "digest")
     )
