@@ -30,7 +30,7 @@ from claimgrove.llm.tokens import as_string, slices
 # Byte total of the distinct words that one recursive query contracts.
 ROUND_BYTES = 1 << 20
 # Words whose ids a worker keeps between batches; beyond it the memory starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 # Tokens that one decoding query aggregates.
 DECODE_TOKENS = 1 << 19
 
@@ -88,7 +88,7 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         # In memory only: a task must not depend on a local disk.
         self.db = duckdb.connect(
             ":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""}
@@ -118,7 +118,7 @@ class ByteBpe:
             cls._loaded[path, pattern] = cls(path, pattern)
         return cls._loaded[path, pattern]
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes]) -> list[bytes]:
         lengths = np.array([len(w) for w in words])
         ends = np.cumsum(lengths)
         start = pa.table(  # noqa: F841  read by name
@@ -129,12 +129,12 @@ class ByteBpe:
             }
         )
         found = self.db.execute(ENCODE).fetchnumpy()
-        bounds = np.searchsorted(found["word"], np.arange(len(words) + 1))
-        ids = np.asarray(found["id"]).astype("<u4")
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        bounds = 4 * np.searchsorted(found["word"], np.arange(len(words) + 1))
+        ids = np.asarray(found["id"]).astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; a word that is a token itself is that token."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as bytes; a word that is a token itself is that token."""
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         todo, held = [], 0
@@ -148,7 +148,7 @@ class ByteBpe:
                 continue
             raw = word.encode()
             if raw in self.ranks:
-                self.known[word] = np.array([self.ranks[raw]], dtype="<u4")
+                self.known[word] = self.ranks[raw].to_bytes(4, "little")
                 continue
             todo.append(word)
             held += len(raw)
@@ -166,8 +166,8 @@ class ByteBpe:
         del parts
         each = self.words(coded.dictionary.to_pylist())
         index = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = np.array([len(x) for x in each], dtype=np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, dtype="<u4")
+        lengths = np.array([len(x) // 4 for x in each], dtype=np.int64)
+        flat = np.frombuffer(b"".join(each), dtype="<u4")
         starts = np.cumsum(lengths) - lengths
         result, at = [], 0
         for count in counts:
@@ -211,7 +211,7 @@ def bpe_round_trip(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    slice_bytes: int = 1 << 21,
+    slice_bytes: int = 1 << 22,
 ) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
     schema = pa.schema(
