@@ -8,8 +8,8 @@ reach the guaranteed minimum are verified by counting the bits that differ.
 
 Similarities of 0.8 need a wider radius than any byte count of 64 bits guarantees. For them a
 fingerprint of 256 bits is posted under `design` triples of its 32 bytes; a Jaccard
-similarity of 0.8 leaves 39 of 256 bits different on average. There the index is
-probabilistic: see `WIDE_BITS` and the README for measured recall.
+similarity of 0.8 leaves 39 of 256 bits different on average. There the index only
+proposes pairs, and every pair is verified by the exact Jaccard similarity of its sets of shingles.
 
 Equal fingerprints are folded before the index, so copies cost nothing there. A
 posting list beyond `LIST` is cut into chunks and every pair of chunks becomes a group of rows of
@@ -25,7 +25,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from claimgrove.llm.common import lower_ascii, stored, text_or_empty
 from claimgrove.llm.components import components
 from claimgrove.llm.tokens import as_string, slices, split_words
+from claimgrove.session import small_side
 
 # Rows of one posting list that a task compares at once.
 LIST = 1024
@@ -58,18 +59,22 @@ def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def fingerprint(words: list[str], width: int, lanes: int = 1) -> bytes:
-    """SimHash of the shingles of `words`, repeats included; the least byte first."""
+def shingle_hashes(words: list[str], width: int) -> np.ndarray:
+    """64-bit hashes of the shingles of `words`, repeats included."""
     import xxhash
 
-    if not words:
-        return bytes(8 * lanes)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        shingles = [" ".join(words)]
+        shingles = [" ".join(words)] if words else []
     else:
         shingles = [" ".join(s) for s in zip(*(words[i:] for i in range(width)))]
-    hashes = np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+    return np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+
+
+def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
+    """SimHash of hashed shingles, repeats included; the least byte first."""
+    if not len(hashes):
+        return bytes(8 * lanes)
     ones = np.zeros(64 * lanes, dtype=np.int64)
     for first in range(0, len(hashes), 255 * 64):
         part = _lanes(hashes[first : first + 255 * 64], lanes)
@@ -90,19 +95,61 @@ def fingerprints(
             for first, last in slices(texts):
                 offsets, words = split_words(texts.slice(first, last - first))
                 words = words.to_pylist()
-                values += [fingerprint(words[a:b], width, lanes) for a, b in zip(offsets[:-1], offsets[1:])]
+                values += [
+                    fingerprint(shingle_hashes(words[a:b], width), lanes)
+                    for a, b in zip(offsets[:-1], offsets[1:])
+                ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(values, pa.binary())],
                 names=["doc_id", "row_no", "text_key", "print"],
             )
 
+    return _read(docs, id_col, text_col).mapInArrow(
+        run, "doc_id bigint, row_no bigint, text_key bigint, print binary"
+    )
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(docs[text_col])
     return docs.select(
         docs[id_col].cast("bigint").alias("doc_id"),
         F.monotonically_increasing_id().alias("row_no"),
         F.xxhash64(text).alias("text_key"),
         lower_ascii(text).alias("text"),
-    ).mapInArrow(run, "doc_id bigint, row_no bigint, text_key bigint, print binary")
+    )
+
+
+def shingle_sets(
+    docs: DataFrame, width: int, lanes: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`fingerprints`, with `shingles` (distinct hashes in order, 8 bytes each) and `node`, a hash of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts = as_string(batch.column(3))
+            for first, last in slices(texts):
+                offsets, words = split_words(texts.slice(first, last - first))
+                words = words.to_pylist()
+                prints, sets = [], []
+                for a, b in zip(offsets[:-1], offsets[1:]):
+                    hashes = shingle_hashes(words[a:b], width)
+                    prints.append(fingerprint(hashes, lanes))
+                    sets.append(np.unique(hashes).tobytes())
+                node = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(c.slice(first, last - first) for c in batch.columns[:3]),
+                        pa.array(prints, pa.binary()),
+                        pa.array(node.view(np.int64)),
+                        pa.array(sets, pa.binary()),
+                    ],
+                    names=["doc_id", "row_no", "text_key", "print", "node", "shingles"],
+                )
+
+    schema = "doc_id bigint, row_no bigint, text_key bigint, print binary, node bigint, shingles binary"
+    return _read(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def halves(common: int) -> list[tuple[int, ...]]:
@@ -159,8 +206,13 @@ def _meet(x: np.ndarray, y: np.ndarray, common: int, bits: int) -> np.ndarray:
     return kept
 
 
-def links(nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int) -> DataFrame:
-    """a, b: links that join all nodes (columns `node`, `print`) that the index finds within `bits`."""
+def links(
+    nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int, forest: bool = True
+) -> DataFrame:
+    """a, b: links that join all nodes (columns `node`, `print`) that the index finds within `bits`.
+
+    Without `forest` every pair that the index finds, not only links that join the same nodes.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +231,21 @@ def links(nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int)
             )
 
     posted = nodes.select("node", "print").mapInArrow(post, "key bigint, node bigint")
+    return _in_lists(
+        posted.withColumn("mark", F.lit(0).cast("bigint")),
+        lambda listed: listed.join(nodes.select("node", F.col("print").alias("value")), "node"),
+        lambda rows, prints, i, j: _meet(prints[i], prints[j], common, bits),
+        forest,
+    )
+
+
+def _in_lists(
+    posted: DataFrame,
+    attach: Callable[[DataFrame], DataFrame],
+    meet: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    forest: bool,
+) -> DataFrame:
+    """a, b: nodes that `meet` under a key of `posted` (key, node, mark); `attach` adds their `value`."""
     lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Chunk of the node within its list, and all pairs of chunks that contain this one.
     chunks = F.ceil(F.col("n") / LIST).cast("int")
@@ -187,16 +254,16 @@ def links(nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int)
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     paired = (
         listed.withColumn("own", own)
-        .select("key", "node", "own", every.alias("other"))
-        .join(nodes.select("node", "print"), "node")
-        .select(
-            "key",
-            F.least("own", "other").alias("low"),
-            F.greatest("own", "other").alias("high"),
-            "own",
-            "node",
-            "print",
-        )
+        .select("key", "node", "own", "mark", every.alias("other"))
+    )
+    paired = attach(paired).select(
+        "key",
+        F.least("own", "other").alias("low"),
+        F.greatest("own", "other").alias("high"),
+        "own",
+        "node",
+        "mark",
+        "value",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +271,17 @@ def links(nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int)
         for batch in batches:
             if not len(batch):
                 continue
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:5]], 1)
-            prints = _bytes(batch.column(5))
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:6]], 1)
+            values = _values(batch.column(6))
             if rest is not None:
-                rows, prints = np.concatenate([rest[0], rows]), np.concatenate([rest[1], prints])
+                rows, values = np.concatenate([rest[0], rows]), np.concatenate([rest[1], values])
             begins = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1))
             last = begins[-1] + 1 if len(begins) else 0
-            rest = rows[last:], prints[last:]
+            rest = rows[last:], values[last:]
             if last:
-                yield _compare(rows[:last], prints[:last], common, bits)
+                yield from _compare(rows[:last], values[:last], meet, forest)
         if rest is not None:
-            yield _compare(*rest, common, bits)
+            yield from _compare(*rest, meet, forest)
 
     sorted_rows = paired.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -226,11 +293,26 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
 
 
-def _compare(rows: np.ndarray, prints: np.ndarray, common: int, bits: int) -> pa.RecordBatch:
-    """Links within whole groups of rows (key, low, high, own, node), sorted by group."""
+def _values(column: pa.Array) -> np.ndarray:
+    return column.to_numpy() if pa.types.is_integer(column.type) else _bytes(column)
+
+
+def _compare(rows: np.ndarray, values: np.ndarray, meet, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Links within whole groups of rows (key, low, high, own, node, mark), sorted by group."""
     begins = np.concatenate(([0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1))
     sizes = np.diff(np.append(begins, len(rows)))
     found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def taken() -> pa.RecordBatch:
+        a, b = (rows[np.concatenate([f[side] for f in found] or [np.zeros(0, int)]), 4] for side in (0, 1))
+        found.clear()
+        if forest:
+            kept = np.array(list(_forest(a, b)), dtype=np.int64).reshape(-1, 2)
+        else:
+            kept = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            kept = kept[kept[:, 0] != kept[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(kept[:, side]) for side in (0, 1)], names=["a", "b"])
+
     # Short lists: all rows against the row `lag` places further in the same group.
     group = np.repeat(np.arange(len(begins)), sizes)
     short = np.flatnonzero(sizes[group] <= SHORT)
@@ -240,21 +322,19 @@ def _compare(rows: np.ndarray, prints: np.ndarray, common: int, bits: int) -> pa
         if not same.any():
             break
         first, second = first[same], second[same]
-        met = _meet(prints[first], prints[second], common, bits)
+        met = meet(rows, values, first, second)
         found.append((first[met], second[met]))
     for k in np.flatnonzero(sizes > SHORT):
         index = np.arange(begins[k], begins[k] + sizes[k])
         low, high = rows[begins[k], 1:3]
         left, right = index[rows[index, 3] == low], index[rows[index, 3] == high]
         for part in np.array_split(left, 1 + len(left) // 64):
-            i, j = np.nonzero(_meet(prints[part][:, None], prints[right][None, :], common, bits))
+            i, j = np.nonzero(meet(rows, values, part[:, None], right[None, :]))
             kept = part[i] != right[j]
             found.append((part[i][kept], right[j][kept]))
-    a, b = (np.concatenate([f[side] for f in found] or [np.zeros(0, int)]) for side in (0, 1))
-    kept = list(_forest(rows[a, 4], rows[b, 4]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[side] for k in kept], pa.int64()) for side in (0, 1)], names=["a", "b"]
-    )
+        if not forest:
+            yield taken()
+    yield taken()
 
 
 def _grouped(
@@ -293,6 +373,37 @@ def near_groups(
     )
 
 
+def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of `pairs` (a, b) whose `sets` (node, shingles) have a Jaccard similarity of 0.8 or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = small_side(stored(wanted))
+    needed = stored(
+        sets.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(9 * common >= 4 * (len(x) + len(y)))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    left = needed.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = needed.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
+        run, "a bigint, b bigint"
+    )
+
+
+def similar_links(rows: DataFrame) -> DataFrame:
+    """a, b: links of nodes of `rows` (of `shingle_sets`) that join all pairs found similar."""
+    nodes = stored(rows.groupBy("node").agg(F.min("print").alias("print")))
+    proposed = stored(links(nodes, design(8 * WIDE_LANES, WIDE_KEYS), 3, WIDE_BITS, forest=False))
+    return stored(similar(rows, proposed))
+
+
 def drop_near(
     docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -300,11 +411,15 @@ def drop_near(
 
     The row with the least id stays; of equal ids the first that was read.
     """
-    rows = stored(fingerprints(docs, width, WIDE_LANES, id_col, text_col))
+    sets = stored(shingle_sets(docs, width, WIDE_LANES, id_col, text_col))
+    rows = stored(sets.select("doc_id", "row_no", "text_key", "node"))
+    joined = components(similar_links(sets)).withColumnRenamed("node", "member")
+    members = rows.join(joined, F.col("node") == F.col("member"), "left").withColumn(
+        "label", F.coalesce("label", "node")
+    )
+    named = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     grouped = stored(
-        _grouped(rows, design(8 * WIDE_LANES, WIDE_KEYS), 3, WIDE_BITS).select(
-            "doc_id", "row_no", "text_key", "label", "component_id"
-        )
+        members.join(named, "label").select("doc_id", "row_no", "text_key", "label", "component_id")
     )
     first = (
         grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))

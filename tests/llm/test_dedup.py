@@ -136,6 +136,20 @@ def test_drop_near_keeps_one_of_each_group(clashing, none):
     assert simhash.drop_near(none).count() == 0
 
 
+def alike(rng, shared, own, copies):
+    """Texts of one template; two have `shared` of `shared` + 2 * `own` shingles of five words in common."""
+    word = lambda: f"v{rng.getrandbits(48)}"
+    template = " ".join(word() for _ in range(shared + 4))
+    return [" ".join([template, *(word() for _ in range(own))]) for _ in range(copies)]
+
+
+def test_drop_near_keeps_texts_below_the_similarity(spark):
+    rng = random.Random(7)
+    texts = alike(rng, 200, 43, 80) + alike(rng, 200, 51, 80)  # 0.699 and 0.662
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert simhash.drop_near(df).count() == len(texts)
+
+
 def test_design_meets_in_at_most_one_position():
     triples = simhash.design(32, 100)
     assert len(triples) == 100
