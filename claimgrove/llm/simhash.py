@@ -10,6 +10,9 @@ Similarities of 0.8 need a wider radius than any byte count of 64 bits guarantee
 fingerprint of 256 bits is posted under `design` triples of its 32 bytes; a Jaccard
 similarity of 0.8 leaves 39 of 256 bits different on average. There the index only
 proposes pairs, and every pair is verified by the exact Jaccard similarity of its sets of shingles.
+Pairs that the index misses are found by a prefix-filter join (`prefix_pairs`): two sets
+similar to 0.8 share a shingle among the first fifth of both, in any order common to all. Frequent
+shingles come last in that order.
 
 Equal fingerprints are folded before the index, so copies cost nothing there. A
 posting list beyond `LIST` is cut into chunks and every pair of chunks becomes a group of rows of
@@ -45,6 +48,9 @@ SHORT = 32
 # Lanes of 64 bits, posted triples and differing bits for a Jaccard similarity of 0.8: the mean
 # number of bits that differ, 256 * acos(2 * 0.8 / 1.8) / pi, and one standard deviation.
 WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 100, 44
+# One set in so many is counted for frequent shingles; how often these occur there, and how many
+# are kept. They steer the work of the exact join, not its result.
+SAMPLED, OFTEN, FREQUENT = 8, 3, 1_000_000
 
 _LANES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -206,13 +212,8 @@ def _meet(x: np.ndarray, y: np.ndarray, common: int, bits: int) -> np.ndarray:
     return kept
 
 
-def links(
-    nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int, forest: bool = True
-) -> DataFrame:
-    """a, b: links that join all nodes (columns `node`, `print`) that the index finds within `bits`.
-
-    Without `forest` every pair that the index finds, not only links that join the same nodes.
-    """
+def links(nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int) -> DataFrame:
+    """a, b: links that join all nodes (columns `node`, `print`) that the index finds within `bits`."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +236,7 @@ def links(
         posted.withColumn("mark", F.lit(0).cast("bigint")),
         lambda listed: listed.join(nodes.select("node", F.col("print").alias("value")), "node"),
         lambda rows, prints, i, j: _meet(prints[i], prints[j], common, bits),
-        forest,
+        True,
     )
 
 
@@ -397,11 +398,109 @@ def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def similar_links(rows: DataFrame) -> DataFrame:
-    """a, b: links of nodes of `rows` (of `shingle_sets`) that join all pairs found similar."""
-    nodes = stored(rows.groupBy("node").agg(F.min("print").alias("print")))
-    proposed = stored(links(nodes, design(8 * WIDE_LANES, WIDE_KEYS), 3, WIDE_BITS, forest=False))
-    return stored(similar(rows, proposed))
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """Hashes of shingles that a sample of the sets holds often, the rarest first.
+
+    They only make the order of `prefix_pairs` a better one; any choice gives the same pairs.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(value.as_buffer(), dtype=np.int64))], names=["key"]
+                )
+
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("shingles")
+    often = (
+        sample.mapInArrow(spell, "key bigint")
+        .groupBy("key")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= OFTEN)
+        .orderBy(F.desc("n"), "key")
+        .limit(FREQUENT)
+    )
+    return often.toPandas()["key"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The shingles of which two sets similar to 0.8 share one, in the common order.
+
+    `shingles` are sorted; `frequent` too, with `ranks` as their place in the order's end.
+    """
+    size = len(shingles) - -(-4 * len(shingles) // 5) + 1 if len(shingles) else 0
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        often = frequent[at] == shingles
+        rare = shingles[~often]
+        if len(rare) < size:
+            return np.concatenate([rare, shingles[often][np.argsort(ranks[at[often]])]])[:size]
+        return rare[:size]
+    return shingles[:size]
+
+
+def _meet_prefix(rows: np.ndarray, labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Mask of pairs in different components whose sizes and places leave room for 0.8.
+
+    `mark` of a row is the size of its set and the place of the key in its order. Where the key is
+    the first that both have, no more than the shorter rest can be common besides.
+    """
+    size, place = rows[:, 5] >> 32, rows[:, 5] & 0xFFFFFFFF
+    rest = size - place
+    return (labels[i] != labels[j]) & (9 * np.minimum(rest[i], rest[j]) >= 4 * (size[i] + size[j]))
+
+
+def prefix_pairs(sets: DataFrame, joined: DataFrame) -> DataFrame:
+    """a, b: all pairs of `sets` (node, shingles) that can be similar to 0.8, save those in one
+    component of `joined` (node, label)."""
+    order = frequent_shingles(sets)
+    ranks = np.argsort(order)  # place in the order, by hash
+    frequent = order[ranks]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, marks, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+            for value in batch.column(1):
+                own = np.frombuffer(value.as_buffer(), dtype=np.uint64)
+                keys.append(prefix(own, frequent, ranks))
+                marks.append((len(own) << 32) + np.arange(len(keys[-1])))
+                sizes.append(len(keys[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(keys).view(np.int64)),
+                    pa.array(np.repeat(batch.column(0).to_numpy(), sizes)),
+                    pa.array(np.concatenate(marks)),
+                ],
+                names=["key", "node", "mark"],
+            )
+
+    posted = sets.select("node", "shingles").mapInArrow(post, "key bigint, node bigint, mark bigint")
+    labels = joined.select("node", "label")
+    return _in_lists(
+        posted.distinct(),
+        lambda listed: listed.join(labels, "node", "left").withColumn("value", F.coalesce("label", "node")),
+        _meet_prefix,
+        False,
+    )
+
+
+def similar_components(sets: DataFrame) -> DataFrame:
+    """node, label of the nodes of `sets` (of `shingle_sets`) that links of 0.8 or more join to others.
+
+    First by the links that the fingerprints propose; then all others join their components.
+    """
+    nodes = stored(sets.groupBy("node").agg(F.min("print").alias("print")))
+    proposed = stored(links(nodes, design(8 * WIDE_LANES, WIDE_KEYS), 3, WIDE_BITS))
+    near = components(similar(sets, proposed))
+    rest = stored(similar(sets, stored(prefix_pairs(sets, near))))
+    ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = near.unionAll(
+        ends.join(near, "node", "left_anti").select("node", F.col("node").alias("label"))
+    )
+    of = [every.select(F.col("node").alias(n), F.col("label").alias("of_" + n)) for n in "ab"]
+    between = rest.join(of[0], "a").join(of[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    wider = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return every.join(wider, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
 def drop_near(
@@ -413,7 +512,7 @@ def drop_near(
     """
     sets = stored(shingle_sets(docs, width, WIDE_LANES, id_col, text_col))
     rows = stored(sets.select("doc_id", "row_no", "text_key", "node"))
-    joined = components(similar_links(sets)).withColumnRenamed("node", "member")
+    joined = similar_components(sets).withColumnRenamed("node", "member")
     members = rows.join(joined, F.col("node") == F.col("member"), "left").withColumn(
         "label", F.coalesce("label", "node")
     )

@@ -150,6 +150,17 @@ def test_drop_near_keeps_texts_below_the_similarity(spark):
     assert simhash.drop_near(df).count() == len(texts)
 
 
+def test_drop_near_misses_no_pair_at_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST", 50)
+    rng = random.Random(8)
+    pairs = [alike(rng, 200, own, 2) for own in (25, 24, 22, 18) for _ in range(40)]  # 0.800 to 0.847
+    hot = alike(rng, 200, 25, 120)  # one template in all of them, so frequent shingles
+    texts = [t for pair in pairs for t in pair] + hot
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"] for r in simhash.drop_near(df).collect()}
+    assert kept == {2 * i for i in range(len(pairs))} | {2 * len(pairs)}
+
+
 def test_design_meets_in_at_most_one_position():
     triples = simhash.design(32, 100)
     assert len(triples) == 100
