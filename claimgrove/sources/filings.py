@@ -52,7 +52,7 @@ def filing_text_nodes(
                 elif tag in ("td", "th") and self.open_rows:
                     span = dict(attrs).get("rowspan") or "1"
                     if span.isascii() and span.isdigit():
-                        self.held = max(self.held, min(int(span), 500) - 1)
+                        self.held = max(self.held, int(span) - 1)
 
             def handle_endtag(self, tag):
                 for i in range(len(self.stack) - 1, -1, -1):

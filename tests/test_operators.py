@@ -292,6 +292,14 @@ def test_filing_nodes(spark):
     assert nodes[2]["row_group"] == 1
 
 
+def test_filing_row_span_is_taken_as_declared(spark):
+    rows = "".join(f"<tr><td>r{i}</td></tr>" for i in range(2, 602))
+    page = f"<table><tr><th rowspan=600>A</th></tr>{rows}</table>"
+    df = spark.createDataFrame([(1, page)], "id int, html string")
+    groups = [n["row_group"] for n in filing_text_nodes(df, ["id"]).orderBy("position").collect()]
+    assert groups == [1] * 600 + [2]
+
+
 def test_assurance_fields(spark):
     refs = spark.createDataFrame(
         [("t", "v", "s", "r1", "provider", "b", 0, 4, "KPMG", True), ("t", "v", "s", "r2", "level", "b", 5, 12, "limited", True),
