@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,9 @@ from claimgrove.llm.registry import QUERIES, SQL, query
 from claimgrove.llm.sharding import balanced_shards
 from claimgrove.llm.simhash import near_groups
 from claimgrove.llm.substring import remove_repeats
+from claimgrove.llm.token_files import read_documents, write_sequences
 from claimgrove.llm.toxicity import toxicity_scores
+from claimgrove.session import shared_folder
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -138,3 +142,13 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op13_token_files")
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token ids in files of equal-length sequences, read back per document."""
+    target = f"{shared_folder(spark)}/sequences-{uuid.uuid4().hex}"
+    write_sequences(documents(spark, folder), target, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(spark, target).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import os
 import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words whose ids a worker keeps between batches; beyond it the memory starts anew.
-KEPT_WORDS = 400_000
+# Units whose ids a worker keeps between slices; beyond it the memory starts anew.
+KEPT_WORDS = 600_000
 PUNCTUATION = string.punctuation
 # Bytes of text that are split into words at once; memory per task follows from it.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 23
 
 
 def as_string(column: pa.Array) -> pa.Array:
@@ -48,8 +49,22 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _letters(text: str) -> bool:
-    """Letters only, also once in lower case (where one letter may add a mark)."""
-    return text.isalpha() and text.lower().isalpha()
+    """Letters only, also in lower case and composed (where one letter may add a mark)."""
+    if text.isascii():
+        return text.isalpha()
+    return text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
+
+
+def _cut_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """A run of letters and the ASCII punctuation after it; other words whole, and nothing after."""
+    core = pc.ascii_rtrim(words, PUNCTUATION)
+    inner = np.array([_letters(c) for c in core.to_pylist()], dtype=bool)
+    core = pc.if_else(pa.array(inner), core, words)
+    size = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy(zero_copy_only=False)
+    marks = pa.array([""] * len(words), pa.large_string())
+    for n in np.unique(size[size > 0]):
+        marks = pc.if_else(pa.array(size == n), pc.utf8_slice_codeunits(words, start=-int(n)), marks)
+    return core, marks
 
 
 class WordTokenizer:
@@ -60,6 +75,8 @@ class WordTokenizer:
     word is letters and then ASCII punctuation, these two. Each distinct unit is encoded once.
     Runs of letters go to the library many at a time: each is one word there, whose
     last id carries the end-of-word mark; where the marks don't count up, one by one.
+    The library finds the file's special tokens in a text before it lower-cases; words that
+    may hold one ('<|') are handed over as they are.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
@@ -69,9 +86,9 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.size = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
@@ -82,53 +99,52 @@ class WordTokenizer:
         return cls._loaded[path]
 
     def _forget(self) -> None:
-        """Unit 0 is empty; `pairs` has the two units of a word."""
+        """Unit 0 is empty."""
         self.units: dict[str, int] = {"": 0}
-        self.pairs: dict[str, tuple[int, int]] = {}
         self.flat = np.zeros(0, dtype=np.uint32)
         self.lengths = np.zeros(1, dtype=np.int64)
 
-    def _encode_units(self, units: list[str]) -> list[np.ndarray]:
-        letters = [i for i, unit in enumerate(units) if _letters(unit)]
-        result: list[np.ndarray | None] = [None] * len(units)
+    def _learn(self, units: list[str]) -> None:
+        """Give every new unit a number and keep its ids."""
+        flat, lengths = [self.flat], [self.lengths]
+        alone = [unit for unit in units if not _letters(unit)]
+        letters = [unit for unit in units if _letters(unit)]
         for k in range(0, len(letters), 500):
             own = letters[k : k + 500]
-            text = " ".join(units[i] for i in own)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            (coded,) = self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)
+            ids = np.array(coded.ids, dtype=np.uint32)
             marks = np.flatnonzero(self.ends[ids]) + 1
             if len(marks) == len(own) and marks[-1] == len(ids):
-                for i, part in zip(own, np.split(ids, marks[:-1])):
-                    result[i] = part
-        single = [i for i, part in enumerate(result) if part is None]
-        encoded = self.tokenizer.encode_batch_fast([units[i] for i in single], add_special_tokens=False)
-        for i, part in zip(single, encoded):
-            result[i] = np.array(part.ids, dtype=np.uint32)
-        return result
-
-    def _pairs(self, words: list[str]) -> np.ndarray:
+                self.units.update(zip(own, range(len(self.units), len(self.units) + len(own))))
+                flat.append(ids)
+                lengths.append(np.diff(marks, prepend=0))
+            else:
+                alone += own
+        for k in range(0, len(alone), 10_000):
+            own = alone[k : k + 10_000]
+            parts = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+            self.units.update(zip(own, range(len(self.units), len(self.units) + len(own))))
+            flat.append(np.array([i for part in parts for i in part], dtype=np.uint32))
+            lengths.append(np.array([len(part) for part in parts], dtype=np.int64))
+        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+
+    def _numbers(self, units: pa.Array) -> np.ndarray:
+        """The number of every unit."""
+        coded = units.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        fresh = [name for name in names if name not in self.units]
+        if fresh:
+            self._learn(fresh)
+        numbers = np.fromiter(map(self.units.__getitem__, names), np.int64, len(names))
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _pairs(self, words: pa.Array) -> np.ndarray:
         """Two unit numbers per word."""
-        if len(self.units) > KEPT_WORDS or len(self.pairs) > 2 * KEPT_WORDS:
+        if len(self.units) > KEPT_WORDS:
             self._forget()
-        fresh: list[str] = []
-        for word in words:
-            if word in self.pairs:
-                continue
-            plain = word.lower() if word.isascii() else word
-            core = plain.rstrip(PUNCTUATION)
-            if not _letters(core):
-                core = plain
-            both = []
-            for unit in (core, plain[len(core) :]):
-                if unit not in self.units:
-                    self.units[unit] = len(self.units)
-                    fresh.append(unit)
-                both.append(self.units[unit])
-            self.pairs[word] = (both[0], both[1])
-        if fresh:
-            parts = self._encode_units(fresh)
-            self.flat = np.concatenate([self.flat, *parts])
-            self.lengths = np.append(self.lengths, [len(p) for p in parts])
-        return np.array([self.pairs[w] for w in words], dtype=np.int64).reshape(-1, 2)
+        small = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        core, marks = _cut_marks(pc.if_else(small, pc.ascii_lower(words), words))
+        return np.stack([self._numbers(core), self._numbers(marks)], axis=1)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Yields an array of ids per row."""
@@ -136,7 +152,7 @@ class WordTokenizer:
         for first, last in slices(texts):
             offsets, words = split_words(texts.slice(first, last - first))
             coded = words.dictionary_encode()
-            pairs = self._pairs(coded.dictionary.to_pylist())
+            pairs = self._pairs(coded.dictionary)
             units = pairs[coded.indices.to_numpy(zero_copy_only=False)].reshape(-1)
             n = self.lengths[units]
             ends = np.concatenate(([0], np.cumsum(n)))

@@ -50,11 +50,11 @@ def test_bpe_on_odd_words():
 
 def test_word_tokenizer_equals_the_library():
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     rng = random.Random(3)
     pool = "aAbZz09 \t\n.,'!~-_|<>sSéÉßıİſΣςḰ̊ẘ日한  　😀٣½Ⅷ‍\x1c\x0bdllvre"
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(3000)]
-    texts += ["<|endoftext|> x", "don't DON'T end'. 'tis ''s", None, ""]
+    texts += ["<|endoftext|> x", "a<|EndOfText|>b <|ENDOFTEXT|> C<|startoftext|>!", "<|endoftext|>.", "x<|y|>"]
+    texts += ["don't DON'T end'. 'tis ''s", "\u0958! \u0958.", None, ""]
     got = list(WordTokenizer.load(WORDS).encode(pa.array(texts)))
     want = plain.encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert [x.tolist() for x in got] == [e.ids for e in want]
@@ -62,7 +62,6 @@ def test_word_tokenizer_equals_the_library():
 
 def test_pack_documents(docs, clashing, none):
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     ids = {}
     for i, t, *_ in rows():
         tokens = plain.encode(t or "", add_special_tokens=False).ids + [1]
