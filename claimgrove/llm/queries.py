@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgrove.llm.bpe import bpe_round_trip
-from claimgrove.llm.common import documents, labels
+from claimgrove.llm.common import conversations, documents, embeddings, labels
 from claimgrove.llm.exact_dedup import exact_groups
 from claimgrove.llm.licenses import licenses_sql, scan_licenses
 from claimgrove.llm.packing import pack_documents
+from claimgrove.llm.prefix_trie import prefix_trie, trie_sql
 from claimgrove.llm.quality_classifier import quality_scores
 from claimgrove.llm.quality_rules import apply_rules, rules_sql
 from claimgrove.llm.registry import QUERIES, SQL, query
@@ -21,6 +22,7 @@ from claimgrove.llm.simhash import near_groups
 from claimgrove.llm.substring import remove_repeats
 from claimgrove.llm.token_files import read_documents, write_sequences
 from claimgrove.llm.toxicity import toxicity_scores
+from claimgrove.llm.whitening import whiten
 from claimgrove.session import shared_folder
 
 __all__ = ["QUERIES", "SQL"]
@@ -144,6 +146,18 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_prefix_trie", trie_sql())
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all conversations, rebuilt on their templates."""
+    return prefix_trie(conversations(spark, folder))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the four leading components, whitened."""
+    return whiten(embeddings(spark, folder), components=4)
+
+
 @query("op13_token_files")
 def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token ids in files of equal-length sequences, read back per document."""
