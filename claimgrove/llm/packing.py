@@ -16,6 +16,7 @@ goes to sequences whose lengths are powers of two.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ def dot_product_bins(
     left = np.asarray(demand, dtype=np.float64).copy()
     if (left > capacity).any():
         raise ValueError("an example demands more than one sequence holds")
+    if len(left) and (left[:, 1] == left[0, 1]).all() and (left[:, 2] == left[:, 0]).all():
+        return _by_size(left[:, 0].astype(np.int64), left[0, 1], capacity, cut, least_cut)
     start = np.zeros(len(left), dtype=np.int64)
     # Largest first: the first fitting index then often is the best one, and the
     # arrays shrink from the front.
@@ -79,6 +82,48 @@ def dot_product_bins(
     return bins
 
 
+def _by_size(
+    sizes: np.ndarray, segments: float, capacity: np.ndarray, cut: bool, least_cut: int
+) -> list[list[tuple[int, int, int]]]:
+    """`dot_product_bins` where every token bears loss and all items have as many segments.
+
+    The dot product then grows with the tokens, so the best item is the largest that fits; it
+    is found by bisection over the sizes that are left. The bins are the same.
+    """
+    limit = int(min(capacity[0], capacity[2]))
+    most = int(capacity[1] // segments) if segments else len(sizes)
+    queues: dict[int, list[tuple[int, int]]] = {}
+    for item in range(len(sizes) - 1, -1, -1):
+        queues.setdefault(int(sizes[item]), []).append((item, 0))
+    order = sorted(queues)
+    bins: list[list[tuple[int, int, int]]] = []
+
+    def take(size: int) -> tuple[int, int]:
+        queue = queues[size]
+        item = queue.pop()
+        if not queue:
+            del queues[size], order[bisect_left(order, size)]
+        return item
+
+    while order:
+        room, content = limit, []
+        while len(content) < most and (at := bisect_right(order, room)):
+            size = order[at - 1]
+            content.append((*take(size), size))
+            room -= size
+        gap = int(capacity[0]) - sum(size for _, _, size in content)
+        if cut and least_cut <= gap <= room and order and order[-1] > gap and capacity[1] - segments * len(content) >= 1:
+            size = order[-1]
+            item, start = take(size)
+            content.append((item, start, gap))
+            rest = size - gap
+            if rest not in queues:
+                insort(order, rest)
+            queues.setdefault(rest, []).append((item, start + gap))
+        bins.append(content)
+    return bins
+
+
 def power_runs(content: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """The same pieces over sequences whose lengths are powers of two, largest first."""
     total = sum(length for _, _, length in content)
