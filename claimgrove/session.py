@@ -20,6 +20,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows go to Python in small batches, so that long texts do not add up in a task.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 # Upper limits under which a side may be broadcast (see `small_side`).
