@@ -87,11 +87,21 @@ class Part(WriterCommitMessage):
     n_tokens: int
 
 
+def tokenised(column: pa.Array, tokenizer_path: str, end_id: int) -> Iterator[pa.Array]:
+    """The ids of texts with the end id (little-endian, 32 bits each), a slice of the rows at a time."""
+    tokenizer = WordTokenizer.load(tokenizer_path)
+    texts = as_string(column)
+    for first, last in slices(texts):
+        rows = tokenizer.encode(texts.slice(first, last - first))
+        yield pa.array((np.append(ids, end_id).astype("<u4").tobytes() for ids in rows), pa.large_binary())
+
+
 class SequenceWriter(DataSourceArrowWriter):
-    """Each task appends its documents (doc_id, ids) to two files of its own."""
+    """Each task appends its documents (doc_id, ids or text) to two files of its own."""
 
-    def __init__(self, folder: str, length: int, bits: int, overwrite: bool):
+    def __init__(self, folder: str, length: int, bits: int, tokenizer: str | None, end_id: int, overwrite: bool):
         self.folder, self.length, self.bits = folder, length, bits
+        self.tokenizer, self.end_id = tokenizer, end_id
         where, path = opened(folder)
         where.create_dir(path, recursive=True)
         if not overwrite and where.get_file_info(f"{path}/{MANIFEST}").type != fs.FileType.NotFound:
@@ -121,13 +131,9 @@ class SequenceWriter(DataSourceArrowWriter):
             pa.ipc.new_file(out, schema) as sequences,
             pa.ipc.new_file(listed, INDEX) as index,
         ):
-            for batch in iterator:
-                values, counts = flat_ids(batch.column(1))
-                index.write_batch(
-                    pa.RecordBatch.from_arrays(
-                        [batch.column(0).cast(pa.int64()), pa.array(counts)], schema=INDEX
-                    )
-                )
+            for names_of, column in self._columns(iterator):
+                values, counts = flat_ids(column)
+                index.write_batch(pa.RecordBatch.from_arrays([names_of, pa.array(counts)], schema=INDEX))
                 n_docs += len(counts)
                 n_tokens += len(values)
                 waiting.append(values.astype(kind.to_pandas_dtype()))
@@ -142,6 +148,17 @@ class SequenceWriter(DataSourceArrowWriter):
                 put(np.concatenate(waiting))
         return Part(number, *names, n_docs, n_tokens)
 
+    def _columns(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """Document ids and their token ids; texts are tokenised here, in the process that writes."""
+        for batch in batches:
+            doc_ids, at = batch.column(0).cast(pa.int64()), 0
+            if self.tokenizer is None:
+                yield doc_ids, batch.column(1)
+                continue
+            for ids in tokenised(batch.column(1), self.tokenizer, self.end_id):
+                yield doc_ids.slice(at, len(ids)), ids
+                at += len(ids)
+
     def commit(self, messages: list[Part | None]) -> None:
         parts, start = [], 0
         for part in sorted((m for m in messages if m is not None), key=lambda m: m.partition):
@@ -238,7 +255,10 @@ def _documents(file: pa.ipc.RecordBatchFileReader, index: pa.Table, start: int)
 
 
 class SequenceFiles(DataSource):
-    """`arrow_sequences`: writes (doc_id, ids binary); reads documents or, by option `rows`, sequences."""
+    """`arrow_sequences`: writes (doc_id, ids binary) or, with option `tokenizer`, (doc_id, text).
+
+    Reads documents or, by option `rows`, sequences.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -249,7 +269,8 @@ class SequenceFiles(DataSource):
 
     def writer(self, schema, overwrite: bool) -> SequenceWriter:
         length, bits = int(self.options.get("length", 2048)), int(self.options.get("bits", 32))
-        return SequenceWriter(self.options["path"], length, bits, overwrite)
+        tokenizer, end_id = self.options.get("tokenizer"), int(self.options.get("end_id", 2))
+        return SequenceWriter(self.options["path"], length, bits, tokenizer, end_id, overwrite)
 
     def reader(self, schema) -> SequenceReader:
         return SequenceReader(self.options["path"], self.options.get("rows", "documents"))
@@ -289,25 +310,6 @@ class SequenceFile:
         return self.file.get_batch(batch).column(column)[row].values
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and ids (little-endian, 32 bits each) of every row, with the end id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer.load(tokenizer_path)
-        for batch in batches:
-            texts = as_string(batch.column(1))
-            for first, last in slices(texts):
-                own = tokenizer.encode(texts.slice(first, last - first))
-                values = [np.append(ids, np.uint32(end_id)).astype("<u4").tobytes() for ids in own]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(values, pa.binary())],
-                    names=["doc_id", "ids"],
-                )
-
-    chosen = docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string"))
-    return chosen.mapInArrow(run, "doc_id bigint, ids binary")
-
-
 def in_id_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and text, range-partitioned and sorted by id; null ids first.
 
@@ -343,9 +345,9 @@ def write_sequences(
     """
     register(docs.sparkSession)
     bits = id_type(max(WordTokenizer.load(tokenizer_path).size, end_id + 1)).bit_width
-    ids = encoded(in_id_order(docs, id_col, text_col), tokenizer_path, end_id, "doc_id", "text")
-    writer = ids.write.format("arrow_sequences").option("length", length).option("bits", bits)
-    writer.mode("append").save(folder)
+    ordered = in_id_order(docs, id_col, text_col).select("doc_id", "text")
+    options = {"length": length, "bits": bits, "tokenizer": tokenizer_path, "end_id": end_id}
+    ordered.write.format("arrow_sequences").options(**options).mode("append").save(folder)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,16 +6,18 @@ import os
 import string
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Units whose ids a worker keeps between slices; beyond it the memory starts anew.
-KEPT_WORDS = 600_000
+# Units whose ids a worker keeps between slices; beyond it the later half is forgotten (frequent units
+# turn up early).
+KEPT_WORDS = 500_000
 PUNCTUATION = string.punctuation
 # Bytes of text that are split into words at once; memory per task follows from it.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 
 
 def as_string(column: pa.Array) -> pa.Array:
@@ -90,7 +92,10 @@ class WordTokenizer:
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._forget()
+        # Unit 0 is empty.
+        self.units: dict[str, int] = {"": 0}
+        self.flat = np.zeros(0, dtype=np.uint32)
+        self.lengths = np.zeros(1, dtype=np.int64)
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -98,11 +103,11 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _forget(self) -> None:
-        """Unit 0 is empty."""
-        self.units: dict[str, int] = {"": 0}
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.lengths = np.zeros(1, dtype=np.int64)
+    def _forget(self, kept: int) -> None:
+        """Keep the first `kept` units."""
+        self.units = dict(islice(self.units.items(), kept))
+        self.lengths = self.lengths[:kept].copy()
+        self.flat = self.flat[: self.lengths.sum()].copy()
 
     def _learn(self, units: list[str]) -> None:
         """Give every new unit a number and keep its ids."""
@@ -141,7 +146,7 @@ class WordTokenizer:
     def _pairs(self, words: pa.Array) -> np.ndarray:
         """Two unit numbers per word."""
         if len(self.units) > KEPT_WORDS:
-            self._forget()
+            self._forget(KEPT_WORDS // 2)
         small = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
         core, marks = _cut_marks(pc.if_else(small, pc.ascii_lower(words), words))
         return np.stack([self._numbers(core), self._numbers(marks)], axis=1)
