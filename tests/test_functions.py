@@ -163,3 +163,50 @@ def test_entity_set_and_scoped_roles(spark):
 def test_formula_guard(spark):
     assert one(spark, " =SUM(A1)", guard_formula) == "' =SUM(A1)"
     assert one(spark, "a=1", guard_formula) == "a=1"
+
+
+def test_running_ends(spark):
+    lengths = [list(range(n)) for n in (0, 1, 2, 3, 8, 9, 1000)]
+    rows = spark.createDataFrame([(x,) for x in lengths], "v array<int>").select(text.running_ends(F.col("v"))).collect()
+    assert [r[0] for r in rows] == [[sum(x[:i]) for i in range(len(x) + 1)] for x in lengths]
+
+
+def test_matches_give_places_and_neighbours(spark):
+    source = "ab12--3 45x"
+    got = one(spark, source, lambda c: text.matches(c, r"\d+"))
+    assert [(m["quote"], m["start"], m["end"]) for m in got] == [("12", 2, 4), ("3", 6, 7), ("45", 8, 10)]
+    assert [m["before"] for m in got] == ["ab", "12--", "3 "]
+    assert [m["after"] for m in got] == ["--3", " 45", "x"]
+    assert one(spark, "", lambda c: text.matches(c, r"\d+")) == []
+
+
+def test_offsets_of_a_long_text_in_linear_time(spark):
+    import time
+
+    unit = "used 10-20 MWh, then 7 MWh. "
+    frame = spark.createDataFrame([(n, unit * n) for n in (1, 40_000)], "n int, v string").repartition(1).cache()
+    frame.count()
+    for fn, each in ((text.quantity_spans, 3), (text.sentence_spans, 1)):
+        seconds = {}
+        for n in (1, 40_000):
+            started = time.perf_counter()
+            found = frame.where(F.col("n") == n).select(fn(F.col("v")).alias("s")).selectExpr("size(s)", "s[size(s) - 1]")
+            size, last = found.first()
+            seconds[n] = time.perf_counter() - started
+            assert size == each * n
+            assert (unit * n)[last["start"] : last["end"]] == ("MWh" if each == 3 else unit.strip())
+        # More than a megabyte; planning takes as long for either.
+        assert seconds[40_000] - seconds[1] < 8, seconds
+
+
+def test_range_ends_on_either_side(spark):
+    for source, values in {
+        "10-20 MWh": [],
+        "10 MWh - 20 MWh": [],
+        "3 MWh~4 MWh, 5 MWh": ["5 MWh"],
+        "5 MWh and -7 MWh": ["5 MWh", "-7 MWh"],
+        "8 천 MWh – 약 9 MWh": [],
+        "1 MWh. 2 MWh-": ["1 MWh", "2 MWh"],
+    }.items():
+        got = one(spark, source, text.quantity_spans)
+        assert [s["quote"] for s in got if s["kind"] == "value"] == values, source
