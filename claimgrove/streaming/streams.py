@@ -1,73 +1,63 @@
 """Structured Streaming operators.
 
 Stateful ones keep one small record per key (a hash and a sequence, or the at
-most `limit` admitted times). All rows of a key in a micro-batch are put in order
-before they are judged, whatever order and chunks they arrive in, so results
-match the batch operators; a hot key's memory is bounded by the micro-batch, whose
-size the source sets (`maxFilesPerTrigger`, `maxOffsetsPerTrigger`).
+most `limit` admitted times). Chains, admissions and idempotent requests wait until the watermark
+has passed them and are then judged in event-time order (`streaming.ordered`), so
+results do not depend on which micro-batch brings a row and match the batch
+operators. What waits is bounded by the lateness times the rate of a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import time as clock
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimgrove.operators.summary import COUNTERS, coverage_status
-
-
-def _types(df: DataFrame, names: Sequence[str]) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"`{n}` {kinds[n]}" for n in names)
-
-
-def _in_order(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> pd.DataFrame:
-    """All rows of one key in this micro-batch, sorted."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(list(by), kind="stable")
+from claimgrove.streaming.ordered import AT, in_event_order
 
 
 # ---------------------------------------------------------------- idempotent ingest
 
 
 def idempotent_stream(
-    df: DataFrame, key: Sequence[str], body: str, time: str = "ts", ttl: str = "24 hours"
+    df: DataFrame,
+    key: Sequence[str],
+    body: str,
+    time: str = "ts",
+    ttl: str = "24 hours",
+    lateness: str = "10 minutes",
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Each request as new, replay (same key and body) or conflict (same key, other body).
 
-    A key expires `ttl` after its first request in event time.
+    A key expires `ttl` after its first request in event time; requests may come up to `lateness` late.
+    `also` names columns that belong to the body (such as the model), compared with it.
     """
     key = list(key)
     seconds = int(pd.Timedelta(ttl).total_seconds())
-    rows = df.withColumn("body_hash", F.sha2(body, 256)).withWatermark(time, ttl)
-    rows = rows.select(*key, time, "body_hash")
-    out = f"{_types(rows, key)}, `{time}` timestamp, body_hash string, outcome string"
-
-    def judge(
-        name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first, since = state.get if state.exists else (None, 0)
-        batch = _in_order(batches, [time, "body_hash"])
-        outcomes = []
-        for when, digest in zip(batch[time], batch["body_hash"]):
-            at = int(when.timestamp())
-            if first is None or at - since >= seconds:
-                first, since = digest, at
-                outcomes.append("new")
+    parts = F.to_json(F.struct(body, *also), {"ignoreNullFields": "false"})
+    rows = df.withColumn("body_hash", F.sha2(parts, 256) if also else F.sha2(body, 256))
+    at = len(key) + 1
+
+    def judge(held, ready):
+        first, since = held or (None, 0)
+        results = []
+        for row in ready:
+            digest, moment = row[at - 1], row[at]
+            if first is None or moment - since >= seconds * 1_000_000:
+                first, since, outcome = digest, moment, "new"
             else:
-                outcomes.append("replay" if digest == first else "conflict")
-        yield batch.assign(outcome=outcomes)[[*key, time, "body_hash", "outcome"]]
-        state.update((first, since))
-        deadline = (since + seconds) * 1000
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-
-    return rows.groupBy(*key).applyInPandasWithState(
-        judge, out, "first string, since long", "append", GroupStateTimeout.EventTimeTimeout
+                outcome = "replay" if digest == first else "conflict"
+            results.append((*row, outcome))
+        return (first, since), results
+
+    return in_event_order(
+        rows, key, time, ["body_hash"], [AT, "body_hash"], judge,
+        "first string, since long", "outcome string", lateness, ttl,
     )
 
 
@@ -86,16 +76,17 @@ def upsert_stream(
 
     Each micro-batch owns one folder named by its query and epoch and overwrites it, so a
     replayed batch leaves the same files, and a query that starts anew without its
-    checkpoint never overwrites those of another; readers fold by key (`read_upserted`).
+    checkpoint never overwrites those of another; readers fold by key (`read_upserted`). Of equal
+    revisions the query that was started last wins, then the larger epoch.
     `trigger` is passed on; by default all available rows are taken and the query ends.
     """
-    key = list(key)
+    key, started = list(key), clock.time_ns()
 
     def write(batch: DataFrame, epoch: int) -> None:
         rest = [c for c in batch.columns if c not in key]
         newest = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), revision).alias("r"))
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        newest.select(*key, "r.*").write.mode("overwrite").parquet(f"{path}/query={query}/epoch={epoch}")
+        newest.select(*key, "r.*", F.lit(started).alias("started")).write.mode("overwrite").parquet(f"{path}/query={query}/epoch={epoch}")
 
     return (
         df.writeStream.foreachBatch(write)
@@ -110,9 +101,9 @@ def read_upserted(spark: SparkSession, path: str, key: Sequence[str], revision:
     rows = spark.read.parquet(path)
     rest = [c for c in rows.columns if c not in key]
     folded = rows.groupBy(*key).agg(
-        F.max_by(F.struct(*rest), F.struct(revision, "epoch")).alias("r")
+        F.max_by(F.struct(*rest), F.struct(revision, "started", "epoch")).alias("r")
     )
-    return folded.select(*key, "r.*").drop("epoch", "query")
+    return folded.select(*key, "r.*").drop("started", "epoch", "query")
 
 
 # ---------------------------------------------------------------- audit chain
@@ -124,37 +115,36 @@ def audit_stream(
     sequence: str = "sequence",
     previous: str = "previous_event_hash",
     digest: str = "event_hash",
+    time: str = "occurred_at",
+    lateness: str = "10 minutes",
+    idle: str = "30 days",
 ) -> DataFrame:
     """Append verdict per event: accepted, or the first rule it breaks.
 
-    Rejected events do not move the head, so a gap rejects everything after it
-    until the missing event arrives.
+    Events wait for the watermark and are judged by sequence, so a chain that comes in any order within
+    `lateness` is accepted whole. Rejected events do not move the head, so a gap rejects everything
+    after it. The head of a stream without events for `idle` is forgotten.
     """
     stream = list(stream)
-    columns = [*stream, sequence, previous, digest]
-    rows = df.select(*columns)
-    out = f"{_types(rows, columns)}, outcome string"
-
-    def append(
-        name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        head, at = state.get if state.exists else (None, 0)
-        batch = _in_order(batches, [sequence, digest])
-        outcomes = []
-        for n, before, own in zip(batch[sequence], batch[previous], batch[digest]):
-            before = None if pd.isna(before) else before
-            if n != at + 1:
-                outcomes.append("sequence_invalid")
-            elif before != head:
-                outcomes.append("previous_hash_invalid")
+    columns = [sequence, previous, digest]
+    n, before, own = (len(stream) + i for i in range(3))
+
+    def append(held, ready):
+        head, at = held or (None, 0)
+        results = []
+        for row in ready:
+            if row[n] != at + 1:
+                outcome = "sequence_invalid"
+            elif row[before] != head:
+                outcome = "previous_hash_invalid"
             else:
-                head, at = own, int(n)
-                outcomes.append("accepted")
-        yield batch.assign(outcome=outcomes)[[*columns, "outcome"]]
-        state.update((head, at))
+                head, at, outcome = row[own], row[n], "accepted"
+            results.append((*row, outcome))
+        return (head, at), results
 
-    return rows.groupBy(*stream).applyInPandasWithState(
-        append, out, "head string, at long", "append", GroupStateTimeout.NoTimeout
+    return in_event_order(
+        df, stream, time, columns, [sequence, digest], append,
+        "head string, at long", "outcome string", lateness, idle,
     )
 
 
@@ -193,7 +183,8 @@ def coverage_stream(events: DataFrame, run: Sequence[str] = ("run_id",)) -> Data
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS],
         F.bool_and("full_scope").alias("full_scope"),
         F.max_by("status", "event_time").alias("run_status"),
-        F.max_by("stop_reason", "event_time").alias("stop_reason"),
+        # A later event without a reason does not take one away.
+        F.max_by("stop_reason", F.when(F.col("stop_reason").isNotNull(), F.col("event_time"))).alias("stop_reason"),
     )
     return coverage_status(totals)
 
@@ -205,38 +196,30 @@ def admission_stream(
     seconds: int = 60,
     time: str = "ts",
     event_id: str = "event_id",
+    lateness: str = "1 minute",
 ) -> DataFrame:
     """Exact sliding admission: rejected events are not counted, an event exactly
-    `seconds` old is out of the window. State is the admitted times, at most `limit`."""
+    `seconds` old is out of the window. State is the admitted times, at most `limit`;
+    it is dropped once a key has been idle for the window."""
     key = list(key)
-    columns = [*key, event_id, time]
-    rows = events.select(*columns)
-    out = f"{_types(rows, columns)}, admitted boolean, retry_after_ms long"
     width = seconds * 1_000_000
 
-    def admit(
-        name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        batch = _in_order(batches, [time, event_id])
-        admitted, waits = [], []
-        for when in batch[time]:
-            now = int(when.value // 1000)
+    def admit(held, ready):
+        recent = list(held[0]) if held else []
+        results = []
+        for row in ready:
+            now = row[-1]
             recent = [t for t in recent if t > now - width]
             if len(recent) >= limit:
-                admitted.append(False)
-                waits.append(-(-(recent[0] + width - now) // 1000))
+                results.append((*row, False, -(-(recent[0] + width - now) // 1000)))
             else:
                 recent.append(now)
-                admitted.append(True)
-                waits.append(None)
-        result = batch.assign(admitted=admitted)
-        result["retry_after_ms"] = pd.array(waits, dtype="Int64")
-        yield result[[*columns, "admitted", "retry_after_ms"]]
-        state.update((recent,))
-
-    return rows.groupBy(*key).applyInPandasWithState(
-        admit, out, "recent array<long>", "append", GroupStateTimeout.NoTimeout
+                results.append((*row, True, None))
+        return (recent,), results
+
+    return in_event_order(
+        events, key, time, [event_id], [AT, event_id], admit,
+        "recent array<long>", "admitted boolean, retry_after_ms long", lateness, f"{seconds} seconds",
     )
 
 
