@@ -1,14 +1,15 @@
 """Licence scan by canonical digests.
 
-A text and every line of it are brought to one canonical form: A-Z lower-cased, copyright lines
-dropped, punctuation and white space reduced to single blanks, equivalent spellings
-unified. The SHA-256 of the whole canonical text is hash-joined with the digests
-of known licences, and so is the digest of every whole line with known notices.
-The table of known texts is a parameter; its size is that of a list of
-licences, not of the corpus.
+A text and every line of it are brought to one canonical form: A-Z lower-cased, copyright clauses (mark,
+years and holder, up to the end of the line or to a notice on it) dropped, punctuation and white space reduced to single blanks, equivalent spellings
+unified. The SHA-256 of the whole canonical text is hash-joined with the digests of known licences.
+The digests of its lines are intersected with the same digests inside the row, so a
+text is read once and no row needs a number. The table of known texts is a parameter; its size is that of a
+list of licences (at most `MOST`), not of the corpus. `license_texts` holds the list.
 
 Null text counts as empty and matches nothing. Repeated rows are ordinary rows; null ids
-keep their row; an empty table gives an empty result; other columns are ignored.
+keep their row; an empty table gives an empty result; other columns are ignored. A very long text is one row
+with an array of its lines.
 """
 
 from __future__ import annotations
@@ -17,42 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgrove.llm.common import LOWER, UPPER, text_or_empty
+from claimgrove.llm.license_texts import KNOWN
 
-# Known licences and notices (fixed values).
-KNOWN = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("all-rights-reserved", "All rights reserved."),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
-        "without fee is hereby granted, provided that the above copyright notice and this permission "
-        "notice appear in all copies.\n"
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
-        "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
-        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
-        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
-        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
-        "PERFORMANCE OF THIS SOFTWARE.",
-    ),
-    (
-        "MIT-text",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
-        "and associated documentation files (the \"Software\"), to deal in the Software without "
-        "restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
-        "Software is furnished to do so, subject to the following conditions:\n"
-        "The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software.\n"
-        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING "
-        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
-        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
-        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
-        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    ),
-)
 # Spellings that count as one, each with the blank before it (fixed values).
 EQUIVALENT = (
     (" licence", " license"),
@@ -66,14 +33,18 @@ EQUIVALENT = (
     (" non commercial", " noncommercial"),
     (" copyright owner", " copyright holder"),
 )
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright\b|\(c\)|©)[^\n]*$"
+# A mark at the start of a line, years and holder; where a notice follows, the clause ends before it.
+NOTICE_STARTS = "all rights |licensed |released |distributed |permission |redistribution |this |used under "
+CLAUSE = rf"^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*?(?:[.,;]?[ \t]+((?:{NOTICE_STARTS})[^\n]*))?$"
+# Known digests at most.
+MOST = 20_000
 PUNCTUATION = r"[ \t\x0B\x0C\r!-/:-@\[-`{-~‘-‟–—]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """Array of non-empty canonical lines."""
     # The blank before every line lets the spellings match at its start.
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "")
+    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), "(?m)" + CLAUSE, "$1")
     plain = F.concat(F.lit(" "), F.regexp_replace(plain, PUNCTUATION, " "))
     plain = F.replace(plain, F.lit("\n"), F.lit(" \n "))
     plain = F.replace(plain, F.lit("  "), F.lit(" "))
@@ -102,34 +73,29 @@ def scan_licenses(
     `notices` names the licences found as whole lines, in order and joined by commas, or is null.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    # A list of licences, joined by hash; lines are looked up where they are read.
-    listed = F.broadcast(known)
-    rows = docs.select(
-        docs[id_col].alias("doc_id"),
-        F.monotonically_increasing_id().alias("row_no"),
-        canonical_lines(text_or_empty(docs[text_col])).alias("lines"),
-    )
-    whole = rows.select("doc_id", "row_no", digest(F.col("lines")).alias("canonical_sha256")).join(
-        listed, F.col("canonical_sha256") == listed["digest"], "left"
+    listed = known.select("digest", "license_id").take(MOST + 1)
+    if len(listed) > MOST:
+        raise ValueError(f"more than {MOST} known licences")
+    names = F.create_map(*(F.lit(v) for r in listed for v in r)) if listed else F.expr("map('', '')")
+    digests = F.array(*(F.lit(r["digest"]) for r in listed)).cast("array<string>")
+    lines = docs.select(
+        docs[id_col].alias("doc_id"), canonical_lines(text_or_empty(docs[text_col])).alias("lines")
     )
-    hits = (
-        rows.select("row_no", F.explode("lines").alias("line"))
-        .withColumn("digest", F.sha2(F.col("line").cast("binary"), 256))
-        .join(listed, "digest")
-        .groupBy("row_no", F.col("license_id").alias("notice"))
-        .agg(F.count("*").alias("n"))
-        .groupBy("row_no")
-        .agg(
-            F.sum("n").alias("n_notices"),
-            F.array_join(F.array_sort(F.collect_list("notice")), ",").alias("notices"),
-        )
+    hashed = lines.select(
+        "doc_id",
+        digest(F.col("lines")).alias("canonical_sha256"),
+        F.transform("lines", lambda x: F.sha2(x.cast("binary"), 256)).alias("line_digests"),
     )
-    return whole.join(hits, "row_no", "left").select(
+    found = hashed.withColumn("found", F.array_intersect("line_digests", digests))
+    ids = F.array_distinct(F.transform("found", lambda d: F.element_at(names, d)))
+    some = F.size("found") > 0
+    hits = F.filter("line_digests", lambda d: F.array_contains(F.col("found"), d))
+    return found.join(F.broadcast(known), F.col("canonical_sha256") == known["digest"], "left").select(
         "doc_id",
         "canonical_sha256",
         "license_id",
-        F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"),
-        "notices",
+        F.when(some, F.size(hits)).otherwise(0).cast("bigint").alias("n_notices"),
+        F.when(some, F.array_join(F.array_sort(ids), ",")).alias("notices"),
     )
 
 
@@ -152,9 +118,9 @@ def licenses_sql() -> str:
                translate(text, '{UPPER}', '{LOWER}'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
       FROM raw),
     spaced AS (
-      SELECT * EXCLUDE (line), ' ' || regexp_replace(line,
+      SELECT * EXCLUDE (line), ' ' || regexp_replace(regexp_replace(line, '{CLAUSE}', '\1'),
                '[ \t\x0B\x0C\r!-/:-@\[-`{{-~\x{{2018}}-\x{{201F}}\x{{2013}}\x{{2014}}]+', ' ', 'g') || ' ' AS plain
-      FROM lined WHERE NOT regexp_matches(line, '^[ \t]*(copyright\b|\(c\)|©)')),
+      FROM lined),
     lines AS (
       SELECT kind, doc_id, license_id, r, i, trim({replaced.replace("plain", "replace(plain, '  ', ' ')", 1)}, ' ') AS line
       FROM spaced),
