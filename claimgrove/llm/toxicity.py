@@ -11,17 +11,20 @@ Labels of held-out rows (crc32 of the id, modulo 5, is 0) are never read; labels
 source and id are never inputs. Whole texts are scored in the tasks that read them, without a
 shuffle. Null text counts as empty and has no hits. Without labels of both classes
 there is no lexicon, and every score is the smoothed share of class 1. Rows labelled more
-than once count once, with the greatest label. An empty table gives an empty result.
+than once count once, with the greatest label. An empty table gives an empty result; other columns are ignored.
+Runs of letters are looked up also within words joined by other signs. Very long texts are scored whole,
+a text at a time.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrove.llm.common import held_out, stored, text_or_empty
@@ -33,12 +36,14 @@ from claimgrove.llm.tokens import as_string, slices, split_words
 SAMPLE = 20_000
 # An entry marks at least so many toxic documents, so many times more often than clean ones.
 SUPPORT, LIFT = 3, 20.0
-# Hits wanted per toxic document, and entries at most.
-COVER, ENTRIES = 4, 4096
 # Entries from this length on may be misspelt by one letter.
 FUZZY_LETTERS = 5
 WINDOW = 8
 KEPT_WORDS = 300_000
+# Entries wanted per toxic document of the sample, and entries at most. Texts come in copies, so every rare word
+# of a copied text would mark toxic documents; the words that mark most documents are taken until each has so many.
+COVER, ENTRIES = 4, 4096
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 QUOTES = "\"“”„«»‹›"
 SIGNALS = ("bare", "quoted", "misspelt", "misspelt_quoted", "dense", "share")
 
@@ -74,8 +79,13 @@ class Spotter:
         self.known: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
-        word = plain(word)
-        if not word or word in self.clean:
+        """That of its runs of letters, as entries are learned from; an exact one goes before a misspelt one."""
+        low = word.lower()
+        kinds = [self._kind(low)] if low.isalpha() else [self._kind(run) for run in LETTERS.findall(low)]
+        return min((k for k in kinds if k), default=0)
+
+    def _kind(self, word: str) -> int:
+        if word in self.clean:
             return 0
         if self.trie.accepts(word):
             return 1
@@ -144,24 +154,15 @@ class Spotter:
         )
 
 
-def lifts(bad: int, good: int, n_toxic: int, n_clean: int) -> bool:
-    """Whether a form with these document counts marks toxic documents."""
-    return bad >= SUPPORT and (bad + 0.5) / n_toxic >= LIFT * (good + 0.5) / max(n_clean, 1)
-
-
-def choose_entries(
-    terms: list[tuple[str, int, int]], toxic: list[list[str]], n_clean: int
-) -> list[str]:
+def choose_entries(toxic: list[list[str]]) -> list[str]:
     """Words that together mark every toxic document `COVER` times where they can.
 
-    `terms` has (word, toxic documents, clean documents). The entry that marks most
+    `toxic` has the marking words of each document. The entry that marks most
     documents still short of hits goes first; ties go to the shorter, then the first in order.
     """
-    n = len(toxic)
-    words = {w for w, bad, good in terms if lifts(bad, good, n, n_clean)}
     marks: dict[str, list[int]] = {}
     for doc, own in enumerate(toxic):
-        for word in words.intersection(own):
+        for word in own:
             marks.setdefault(word, []).append(doc)
     short = np.full(len(toxic), COVER)
     chosen: list[str] = []
@@ -229,28 +230,31 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return *_spotter(rows, terms, distinct), ridge(x[order], y[order])
 
 
-def _spotter(rows: DataFrame, terms: DataFrame, distinct) -> tuple[list[str], list[str]]:
-    """Entries and clean forms from labelled rows and the document counts of their terms."""
-    terms = terms.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    # Forms that toxic documents use, and how often clean ones do.
-    marking = sorted(tuple(r) for r in terms.where("bad > 0").select("word", "bad", "good").collect())
-    toxic = rows.where("label = 1").orderBy("doc_id").select(distinct.alias("words")).collect()
-    n_clean = rows.where("label = 0").count()
-    if not toxic:
+def _spotter(rows: DataFrame, terms: DataFrame, distinct: Column) -> tuple[list[str], list[str]]:
+    """Entries and clean forms from labelled rows and the document counts of their terms.
+
+    Words are counted and filtered by Spark; of the toxic documents only the words that mark some reach the driver.
+    """
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
+    if not n_toxic:
         return [], []
-    words = choose_entries(marking, [r["words"] for r in toxic], n_clean)
+    terms = terms.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    share = (F.col("bad") + 0.5) / n_toxic >= LIFT * (F.col("good") + 0.5) / max(n_clean, 1)
+    marks = (F.col("bad") >= SUPPORT) & share
+    marking = stored(terms.where(marks).select("word"))
+    held = rows.where("label = 1").select("doc_id", F.explode(distinct).alias("word")).join(marking, "word")
+    toxic = held.groupBy("doc_id").agg(F.collect_list("word").alias("words")).orderBy("doc_id").collect()
+    words = choose_entries([sorted(r["words"]) for r in toxic])
     probe, own = Spotter(words, []), frozenset(words)
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = probe.kinds(batch.column(0).to_pylist()) > 0
-            yield batch.filter(pa.array(hit))
+            yield batch.filter(pa.array(probe.kinds(batch.column(0).to_pylist()) > 0))
 
     # Forms of clean documents that would be taken for an entry but don't mark toxic ones.
-    forms = terms.where("good > 0").select("word", "bad", "good")
-    found = forms.mapInArrow(reached, "word string, bad bigint, good bigint").collect()
-    clean = [w for w, bad, good in found if w not in own and not lifts(bad, good, len(toxic), n_clean)]
-    return words, sorted(clean)
+    found = terms.where((F.col("good") > 0) & ~marks).select("word").mapInArrow(reached, "word string")
+    return words, sorted(r["word"] for r in found.collect() if r["word"] not in own)
 
 
 def toxicity_scores(

@@ -152,6 +152,30 @@ def test_licence_text_with_other_spelling_and_owner(spark):
     assert licenses.scan_licenses(df).first()["license_id"] == "MIT-text"
 
 
+def test_notices_behind_a_copyright_clause(spark):
+    cases = {
+        "Copyright 2020 Acme. All rights reserved.": "all-rights-reserved",
+        "(c) X. Released under the MIT License.": "MIT",
+        "© 2019-2021 J. Smith Co. Ltd, licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "Copyright (C) 1999 Somebody Inc.": None,
+        "Copyright notice: see elsewhere": None,
+    }
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(cases)], SCHEMA)
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_every_known_text_with_other_case_owner_and_spelling(spark):
+    rows = []
+    for i, (_, text) in enumerate(licenses.KNOWN):
+        changed = text.upper().replace(" LICENSE", " LICENCE").replace('"', "“").replace(", ", " , ")
+        rows.append((i, f"Copyright (c) 2024 Owner {i}, Inc.\n{changed}\n", None, None, None))
+    rows.append((len(rows), "x " * 500_000 + "\nAll rights reserved.", None, None, None))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i]["license_id"] for i in range(len(licenses.KNOWN))] == [k for k, _ in licenses.KNOWN]
+    assert got[len(rows) - 1]["notices"] == "all-rights-reserved"
+
+
 def labelled(spark, column, n=600):
     rng = random.Random(9)
     source, marks = [], []
@@ -248,3 +272,67 @@ def test_binomial_tail(spark, n, k):
     want = math.log(math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)))
     row = spark.range(1).select(quality_rules.binomial_tail(F.lit(n).cast("bigint"), F.lit(k).cast("bigint"), p))
     assert abs(row.first()[0] - want) < 1e-6 * abs(want) + 1e-9
+
+
+def test_terms_inside_compounds_are_hits():
+    spotter = toxicity.Spotter(["moron", "idiot"], ["idiom"])
+    texts = ["idiot/moron", "you-idiot", "stupid...moron", "idiom only", "a1b2c3", "(idiott)", ""]
+    bare, misspelt = spotter.signals(pa.array(texts))[:, [0, 2]].T
+    assert [x > 0 for x in bare] == [True, True, True, False, False, False, False]
+    assert [x > 0 for x in misspelt] == [False] * 5 + [True, False]
+    long = " ".join(["word"] * 300_000 + ["moron"]) + " " + "x9" * 500_000
+    assert spotter.signals(pa.array([long]))[0, 0] > 0
+
+
+def test_signals_equal_a_plain_scan():
+    """Hits by comparing every run of letters with every entry; quotation by counting marks around."""
+    rng = random.Random(11)
+    entries, clean = ["snarfle", "moron", "wub"], ["marfle"]
+    pool = ["snarfle", "Snarfl", "moron!", "morons", "wub", "wubb", "“moron", "moron”", '"', "marfle", "tree", "x-moron", "."]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(25))) for _ in range(200)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def kind(word):
+        best = 0
+        for run in "".join(c if c.isalpha() else " " for c in word.lower()).split():
+            if len(run) < 3 or run in clean:
+                continue
+            if run in entries:
+                return 1
+            if any(len(e) >= toxicity.FUZZY_LETTERS and distance(run, e) <= 1 for e in entries):
+                best = 2
+        return best
+
+    spotter = toxicity.Spotter(entries, clean)
+    got = spotter.signals(pa.array(texts))
+    for text, row in zip(texts, got):
+        kinds = [kind(w) for w in text.split()]
+        exact, misspelt = kinds.count(1), kinds.count(2)
+        assert round(float(np.expm1(row[0]) + np.expm1(row[1]))) == exact
+        assert round(float(np.expm1(row[2]) + np.expm1(row[3]))) == misspelt
+        assert row[5] == pytest.approx((exact + misspelt) / max(1, len(kinds)))
+
+
+def test_compiled_rules_equal_the_rules_on_arrays(spark):
+    rng = np.random.default_rng(9)
+    names = list(quality_classifier.SHARES)
+    x = rng.random((400, len(names))).round(2)
+    y = ((x[:, 0] > 0.5) & (x[:, 1] <= 0.4) | (rng.random(400) < 0.05)).astype(float)
+    kept, intercept = quality_classifier.fit(x, y)
+    assert kept
+    want = 1 / (1 + np.exp(-(intercept + sum(w * quality_classifier.holds(r, x) for r, w in kept))))
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], ["i", *names])
+    got = df.select("i", quality_classifier.compiled(kept, intercept).alias("s")).orderBy("i").collect()
+    assert np.allclose([r["s"] for r in got], want, rtol=1e-12)
+    # Every rule is a path whose tests hold for the rows it covers, and no path is longer than the trees are deep.
+    for rule, _ in kept:
+        assert 1 <= len(rule) <= quality_classifier.DEPTH
+        covered = x[quality_classifier.holds(rule, x)]
+        assert all(((covered[:, f] > cut) == above).all() for f, above, cut in rule)
