@@ -12,7 +12,9 @@ occurrences of the least pair are contracted in the same round, left to right;
 that is the same result in logarithmic rounds for a run of equal bytes.
 
 Null text counts as empty: no ids, no bytes. Ids, sources or repeated rows play no
-part; an empty table gives an empty result.
+part; an empty table gives an empty result; other columns are ignored. A very long text is encoded whole in its
+task. One word of many thousand different characters takes time quadratic in its length, and one of
+millions may exceed the memory of the engine and fail (see README).
 """
 
 from __future__ import annotations

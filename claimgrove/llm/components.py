@@ -1,4 +1,7 @@
-"""Connected components of an edge table: least label, hooked and shortcut."""
+"""Connected components of an edge table: least label, hooked and shortcut.
+
+An empty table gives an empty one; repeated edges count once, edges from a node to itself do not count.
+"""
 
 from __future__ import annotations
 

@@ -200,7 +200,8 @@ def pack_documents(
     pieces; lengths are `limit`, at most `LEAST_CUT` - 1 less, or a power of two.
     Sequence ids are unique: the input partition, then a count inside it, so a
     retried task gives the same ones. A null text is empty and gives one token;
-    null and repeated ids are ordinary rows; an empty table gives no rows.
+    null and repeated ids are ordinary rows; an empty table gives no rows; other columns are
+    ignored; a very long text fills full sequences first and is held whole by one task.
     """
     loss = limit if loss is None else loss
 

@@ -9,7 +9,8 @@ Labels of held-out rows (crc32 of the id, modulo 5, is 0) are never read; labels
 source and id are never inputs. Null text counts as empty and gets the score of its
 statistics. Without labels of both classes every score is the smoothed share of
 class 1. Rows labelled more than once count once, with the least label; null labels and ids
-are not learned from. An empty table gives an empty result.
+are not learned from. An empty table gives an empty result; other columns are ignored; a very long text is one
+row with an array of its words.
 """
 
 from __future__ import annotations

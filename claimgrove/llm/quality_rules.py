@@ -15,7 +15,7 @@ Null text counts as empty (no words); a document with an empty text fails the ba
 Documents labelled more than once count as good when every label says so. Null ids match
 no label. Repeated rows are ordinary rows; an empty table gives an empty
 result; other columns are ignored. Equal windows of three words are found by
-their 64-bit hashes within one document.
+their 64-bit hashes within one document. A very long text is one row with an array of its words.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ one group alone exceeds its share.
 
 Sizes are UTF-8 bytes plus one. A null text counts as empty and shares the group
 of empty texts. Null and repeated ids are ordinary rows with slots of their own;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored. Of very long texts only size and digest move.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ index of its own, so no task grows with a hot passage; nothing is dropped.
 Words are runs of anything but ASCII white space, unchanged. Windows are judged on the
 input. Null text has no words; rows equal in id and text count as two documents and repeat each
 other; a null id is an ordinary value; an empty table gives an empty result. Segments are
-folded by 128 bits of hash.
+folded by 128 bits of hash. A very long text is cut into segments where it is read and
+put together again whole by one task.
 """
 
 from __future__ import annotations
