@@ -13,8 +13,7 @@ that is the same result in logarithmic rounds for a run of equal bytes.
 
 Null text counts as empty: no ids, no bytes. Ids, sources or repeated rows play no
 part; an empty table gives an empty result; other columns are ignored. A very long text is encoded whole in its
-task. One word of many thousand different characters takes time quadratic in its length, and one of
-millions may exceed the memory of the engine and fail (see README).
+task; a very long word is contracted in windows, so its time and memory in the engine grow in proportion.
 """
 
 from __future__ import annotations
@@ -31,6 +30,8 @@ from claimgrove.llm.tokens import as_string, slices
 
 # Byte total of the distinct words that one recursive query contracts.
 ROUND_BYTES = 1 << 20
+# A longer word is contracted in windows of so many bytes that overlap by so many.
+WINDOW, OVERLAP = 512, 128
 # Words whose ids a worker keeps between batches; beyond it the memory starts anew.
 KEPT_WORDS = 800_000
 # Tokens that one decoding query aggregates.
@@ -80,6 +81,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+def _joined(
+    ids: np.ndarray, places: np.ndarray, new: np.ndarray, at: np.ndarray
+) -> tuple[np.ndarray, np.ndarray] | None:
+    """Tokens of two overlapping windows joined at two neighbouring tokens that both have, or None."""
+    _, i, j = np.intersect1d(places, at, assume_unique=True, return_indices=True)
+    inside = (i + 1 < len(ids)) & (j + 1 < len(new))
+    i, j = i[inside], j[inside]
+    both = (ids[i] == new[j]) & (ids[i + 1] == new[j + 1])
+    if not both.any():
+        return None
+    k = np.flatnonzero(both)[both.sum() // 2]
+    return (
+        np.concatenate([ids[: i[k] + 1], new[j[k] + 1 :]]),
+        np.concatenate([places[: i[k] + 1], at[j[k] + 1 :]]),
+    )
+
+
 class ByteBpe:
     _loaded: dict[tuple[str, str], ByteBpe] = {}
 
@@ -89,6 +107,8 @@ class ByteBpe:
 
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, dtype=np.int64)
+        self.sizes[list(self.ranks.values())] = [len(token) for token in self.ranks]
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.known: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         # In memory only: a task must not depend on a local disk.
@@ -135,6 +155,42 @@ class ByteBpe:
         ids = np.asarray(found["id"]).astype("<u4").tobytes()
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
+    def _in_windows(self, word: bytes) -> bytes:
+        """Ids of a long word: its windows are contracted by themselves and joined where they agree.
+
+        Ids are those of a byte string exactly if every two neighbours are (each pair of tokens encodes
+        to itself). Where two windows share two neighbouring tokens, what stands up to the first comes from the
+        left window and the rest from the right one, so all pairs of the result are pairs of a window. Where
+        windows share none, a wider one takes their place, in the end the whole word.
+        """
+        starts = range(0, max(1, len(word) - OVERLAP), WINDOW - OVERLAP)
+        batch = max(1, ROUND_BYTES // WINDOW)
+        ids, places = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        done: list[np.ndarray] = []  # ids that no later window can change
+        for first in range(0, len(starts), batch):
+            own = starts[first : first + batch]
+            coded = self._contract([word[a : a + WINDOW] for a in own])
+            for start, raw in zip(own, coded):
+                end, wide = min(start + WINDOW, len(word)), WINDOW
+                new = np.frombuffer(raw, dtype="<u4").astype(np.int64)
+                while True:
+                    at = start + np.cumsum(self.sizes[new]) - self.sizes[new]
+                    joined = (new, at) if start == 0 else _joined(ids, places, new, at)
+                    if joined is not None:
+                        break
+                    # Back to a token's place well before the window, of what is still held.
+                    wide *= 2
+                    held = np.concatenate([*done, ids])
+                    done, ids = [], held
+                    places = np.cumsum(self.sizes[ids]) - self.sizes[ids]
+                    start = int(places[max(0, np.searchsorted(places, end - wide, side="right") - 1)])
+                    new = np.frombuffer(self._contract([word[start:end]])[0], dtype="<u4").astype(np.int64)
+                ids, places = joined
+                settled = int(np.searchsorted(places, end - WINDOW))
+                done.append(ids[:settled])
+                ids, places = ids[settled:], places[settled:]
+        return np.concatenate([*done, ids]).astype("<u4").tobytes()
+
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as bytes; a word that is a token itself is that token."""
         if len(self.known) > KEPT_WORDS:
@@ -143,7 +199,11 @@ class ByteBpe:
 
         def contract() -> None:
             if todo:
-                self.known.update(zip(todo, self._contract([w.encode() for w in todo])))
+                raw = [w.encode() for w in todo]
+                short = [w for w in raw if len(w) <= WINDOW]
+                coded = iter(self._contract(short) if short else ())
+                ids = [next(coded) if len(w) <= WINDOW else self._in_windows(w) for w in raw]
+                self.known.update(zip(todo, ids))
 
         for word in words:
             if word in self.known:

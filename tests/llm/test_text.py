@@ -336,3 +336,26 @@ def test_compiled_rules_equal_the_rules_on_arrays(spark):
         assert 1 <= len(rule) <= quality_classifier.DEPTH
         covered = x[quality_classifier.holds(rule, x)]
         assert all(((covered[:, f] > cut) == above).all() for f, above, cut in rule)
+
+
+def test_bpe_on_very_long_words():
+    codec = bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN)
+    other = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={}
+    )
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 3_000_000, "".join(rng.choice(letters) for _ in range(30_000)), "日本語" * 2000, "=" * 5001]
+    texts += ["".join(rng.choice(["th", "e", "ing", "é", "ß", "xx"]) for _ in range(4000)), "a" * bpe.WINDOW, "ab" * 400]
+    ids = codec.encode(texts)
+    assert all(x.tolist() == other.encode_ordinary(t) for x, t in zip(ids, texts))
+
+
+def test_windows_that_share_nothing_are_widened(monkeypatch):
+    codec = bpe.ByteBpe.load(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (200, 333, 1000)] + ["a" * 777]
+    want = [codec._contract([w.encode()])[0] for w in words]
+    monkeypatch.setattr(bpe, "WINDOW", 24)
+    monkeypatch.setattr(bpe, "OVERLAP", 4)
+    assert [codec._in_windows(w.encode()) for w in words] == want
