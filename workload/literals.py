@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimgrove.functions import arrays, numbers, periods, text
-from claimgrove.operators import claims, summary
+from claimgrove.operators import assurance, claims, reconcile, summary
 from workload.common import query, read
 
 # Small numbers of an order line.
@@ -287,3 +287,85 @@ def open_quotations(spark, folder):
         F.col("q.closed_until").cast("bigint").alias("closed_until"),
         F.col("q.open_from").cast("bigint").alias("open_from"),
     )
+
+
+@query(
+    "text_offsets",
+    f"""WITH t AS ({_LINES}), n AS (SELECT *, k % 7 AS a, p % 9 AS b, s % 10 AS i, s % 10 + q % 6 AS j FROM t)
+    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN j <= a + b THEN i + least(i, a) END AS BIGINT) AS raw_start,
+           CAST(CASE WHEN j <= a + b THEN j + least(j, a) END AS BIGINT) AS raw_end FROM n""",
+)
+def text_offsets(spark, folder):
+    """Offsets in composed text moved back to the raw text with combining marks."""
+    k, p, s, q = _small()
+    raw = F.concat(F.repeat(F.lit("é"), (k % 7).cast("int")), F.repeat(F.lit("x"), (p % 9).cast("int")))
+    start = (s % 10).cast("int")
+    moved = text.nfc_to_raw(raw, start, (start + q % 6).cast("int"))
+    return _lines(spark, folder).select(
+        *KEYS, moved["start"].cast("bigint").alias("raw_start"), moved["end"].cast("bigint").alias("raw_end")
+    )
+
+
+@query(
+    "opinion_refs",
+    f"""WITH t AS ({_LINES}), o AS (SELECT o_custkey % 101 AS s, o_orderkey % 400 AS a, o_orderkey % 400 + 5 + o_custkey % 60 AS b FROM orders)
+    SELECT l_orderkey, l_linenumber, k % 500 AS char_start FROM t
+    WHERE EXISTS (SELECT 1 FROM o WHERE o.s = t.s AND o.a <= k % 500 AND k % 500 + 1 + q <= o.b)""",
+)
+def opinion_refs(spark, folder):
+    """References that lie inside a span of their opinion."""
+    k, p, s, q = _small()
+    refs = _lines(spark, folder).select(*KEYS, "s", (k % 500).alias("char_start"), (k % 500 + 1 + q).alias("char_end"))
+    start = F.col("o_orderkey") % 400
+    spans = read(spark, folder, "orders").select(
+        (F.col("o_custkey") % 101).alias("s"),
+        start.alias("char_start"),
+        (start + 5 + F.col("o_custkey") % 60).alias("char_end"),
+    )
+    return assurance.within_boundary(refs, spans, ["s"]).select(*KEYS, "char_start")
+
+
+@query(
+    "coverage_receipts",
+    """WITH r AS (SELECT c_custkey AS c, CASE c_custkey % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'complete' ELSE 'bogus' END AS state,
+        c_custkey % 7 = 0 AS unknown, c_custkey % 11 = 0 AS none, c_custkey % 3 = 0 AS failed FROM customer),
+    p AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS claims, o_orderkey % 6 = 0 AS foreign_tenant, o_orderkey % 8 = 0 AS other_version, r.*
+          FROM orders LEFT JOIN r ON c = o_custkey AND o_orderkey % 5 > 0),
+    v AS (SELECT *, CASE WHEN c IS NULL THEN claims ELSE foreign_tenant OR state = 'bogus' OR (unknown AND NOT none)
+          OR (state = 'complete' AND (none OR failed OR other_version)) END AS bad FROM p)
+    SELECT o_orderkey, CASE WHEN bad THEN 'coverage_unverified' END AS coverage_reason,
+           CASE WHEN bad THEN NULL WHEN c IS NULL THEN 'not_run' ELSE state END AS search_state FROM v""",
+)
+def coverage_receipts(spark, folder):
+    """Search state of every packet as its receipt proves it."""
+    c, key = F.col("c_custkey"), F.col("o_orderkey")
+    named = lambda letter, of: F.concat(F.lit(letter), of)
+    customers = read(spark, folder, "customer")
+    texts = F.array().cast("array<string>")
+    required = F.array(named("s", c), named("f", c))
+    required = F.when(c % 11 == 0, texts).when(c % 7 == 0, F.array_append(required, named("x", c))).otherwise(required)
+    receipts = customers.select(
+        c.alias("receipt_id"),
+        F.lit("t").alias("tenant_id"),
+        F.lit("c").alias("company_id"),
+        F.lit("k").alias("package_id"),
+        F.lit("p").alias("coverage_policy_id"),
+        F.get(F.array(*(F.lit(x) for x in ("complete", "incomplete", "complete", "bogus"))), (c % 4).cast("int")).alias("state"),
+        required.alias("required_document_ids"),
+        F.when(c % 3 == 0, F.array(named("s", c))).otherwise(texts).alias("failed_document_ids"),
+    )
+    documents = customers.select(F.explode(F.array(named("s", c), named("f", c))).alias("document_id"))
+    customer = F.col("o_custkey")
+    packets = read(spark, folder, "orders").select(
+        key.alias("packet_id"),
+        F.when(key % 5 > 0, customer).alias("receipt_id"),
+        F.when(key % 3 == 0, "complete").otherwise("partial").alias("claimed_state"),
+        F.when(key % 6 == 0, "u").otherwise("t").alias("tenant_id"),
+        F.lit("c").alias("company_id"),
+        F.lit("k").alias("package_id"),
+        F.lit("p").alias("coverage_policy_id"),
+        named("s", customer).alias("sustainability_version"),
+        F.when(key % 8 == 0, F.lit("zzz")).otherwise(named("f", customer)).alias("financial_version"),
+    )
+    out = reconcile.apply_coverage(packets, receipts, documents)
+    return out.select(F.col("packet_id").alias("o_orderkey"), "coverage_reason", "search_state")
