@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. `run`
 writes every stage as Parquet to the shared folder and reads it back, so a lost
 executor costs the tasks of one stage at most.
+
+All stages: null texts count as empty, null and repeated ids are ordinary rows, an empty table
+gives an empty one, other columns travel along under any names (packing returns pieces
+instead), very long texts are held whole by one task.
 """
 
 from __future__ import annotations
