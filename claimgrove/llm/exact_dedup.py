@@ -10,7 +10,8 @@ so no copy of a hot text is shuffled. All other digests hold less than
 Texts are equal when identical after lower-casing A-Z; null counts as empty.
 The row with the largest id stays. Defined edge cases: a null id is smaller than
 any other; of rows with equal id and equal text exactly one stays; an empty
-table gives an empty result; other columns are ignored, whatever their names.
+table gives an empty result; other columns are ignored, whatever their names. Very long texts
+are hashed whole where they are read; only their digests move.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgrove.llm.common import lower_ascii, stored, text_or_empty
+from claimgrove.session import small_side
 
 # A digest is heavy when it holds at least this share of the rows, so there are
 # at most HEAVY of them; the summary tracks more counters than that.
@@ -93,23 +95,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that `exact_groups` drops; all columns stay.
+    """`docs` without the rows that `exact_groups` drops; all columns stay, whatever their names.
 
-    The decision is joined by id and digest. Rows equal in both are reduced to
-    one after the join, and only those pay for that shuffle.
+    The decisions that change anything are joined by id and digest: pairs that go, and pairs of
+    several rows, of which one stays. Where they are few they are broadcast and no text moves.
     """
-    kept = exact_groups(docs, id_col, text_col)
-    survivors = kept.groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("stays"), F.count("*").alias("same")
+    decided = exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256")
+    decided = decided.agg(F.max("kept").alias("stays"), F.count("*").alias("same"))
+    decided = decided.where("NOT stays OR same > 1").drop("same")
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        docs[id_col].alias("own_id"),
+        F.sha2(lower_ascii(text_or_empty(docs[text_col])).cast("binary"), 256).alias("own_sha"),
     )
-    survivors = survivors.where("stays").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("same").alias("__same")
-    )
-    sha = F.sha2(lower_ascii(text_or_empty(docs[text_col])).cast("binary"), 256)
-    hit = docs.withColumn("__own", sha)
-    hit = hit.join(
-        survivors, hit[id_col].eqNullSafe(survivors["__id"]) & (hit["__own"] == survivors["__sha"])
-    )
-    once = hit.where("__same = 1").select(*docs.columns)
-    again = hit.where("__same > 1").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
-    return once.unionByName(again)
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_sha") == F.col("text_sha256"))
+    marked = keyed.join(small_side(stored(decided)), same, "left")
+    once = marked.where("stays IS NULL").select("row")
+    again = marked.where("stays").dropDuplicates(["own_id", "own_sha"]).select("row")
+    return once.unionByName(again).select("row.*")

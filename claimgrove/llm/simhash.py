@@ -23,13 +23,13 @@ components are the same.
 Defined edge cases: null text counts as empty; a text without words has fingerprint zero and
 is linked like any other; a null id takes part but never names a component unless all
 its ids are null; repeated rows share a component; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored. A very long text is hashed whole, in memory of its task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +47,12 @@ LIST = 1024
 SHORT = 32
 # Lanes of 64 bits, posted triples and differing bits for a Jaccard similarity of 0.8: the mean
 # number of bits that differ, 256 * acos(2 * 0.8 / 1.8) / pi, and one standard deviation.
-WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 100, 44
+WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 30, 44
 # One set in so many is counted for frequent shingles; how often these occur there, and how many
 # are kept. They steer the work of the exact join, not its result.
-SAMPLED, OFTEN, FREQUENT = 8, 3, 1_000_000
+SAMPLED, OFTEN, FREQUENT = 8, 3, 200_000
+# Tasks over which the postings of a shingle are dealt that the sample shows to be in many sets.
+SPREAD = 64
 
 _LANES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -125,39 +127,69 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def shingle_sets(
+def shingle_rows(
     docs: DataFrame, width: int, lanes: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """`fingerprints`, with `shingles` (distinct hashes in order, 8 bytes each) and `node`, a hash of them."""
+    """`fingerprints`, with `node`, a hash of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            texts = as_string(batch.column(3))
-            for first, last in slices(texts):
-                offsets, words = split_words(texts.slice(first, last - first))
-                words = words.to_pylist()
-                prints, sets = [], []
-                for a, b in zip(offsets[:-1], offsets[1:]):
-                    hashes = shingle_hashes(words[a:b], width)
-                    prints.append(fingerprint(hashes, lanes))
-                    sets.append(np.unique(hashes).tobytes())
-                node = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], dtype=np.uint64)
+            for first, last, hashes in _hashed(batch.column(3), width):
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.slice(first, last - first) for c in batch.columns[:3]),
-                        pa.array(prints, pa.binary()),
-                        pa.array(node.view(np.int64)),
-                        pa.array(sets, pa.binary()),
+                        pa.array([fingerprint(h, lanes) for h in hashes], pa.binary()),
+                        pa.array([_node(np.unique(h).tobytes()) for h in hashes], pa.int64()),
                     ],
-                    names=["doc_id", "row_no", "text_key", "print", "node", "shingles"],
+                    names=["doc_id", "row_no", "text_key", "print", "node"],
                 )
 
-    schema = "doc_id bigint, row_no bigint, text_key bigint, print binary, node bigint, shingles binary"
+    schema = "doc_id bigint, row_no bigint, text_key bigint, print binary, node bigint"
     return _read(docs, id_col, text_col).mapInArrow(run, schema)
 
 
+def over_sets(
+    texts: DataFrame, width: int, emit: Callable[[np.ndarray, list[np.ndarray]], pa.RecordBatch], schema: str
+) -> DataFrame:
+    """What `emit` makes of the nodes and shingle sets (distinct hashes in order) of texts (column `text`, lower case).
+
+    Sets take more room than their texts, so they are made where they are used and not kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, hashes in _hashed(batch.column(0), width):
+                sets = [np.unique(h) for h in hashes]
+                yield emit(np.array([_node(s.tobytes()) for s in sets], dtype=np.int64), sets)
+
+    return texts.select("text").mapInArrow(run, schema)
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node and shingles (8 bytes each) of lower-cased texts."""
+
+    def whole(nodes: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        values = pa.array([s.tobytes() for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(nodes), values], names=["node", "shingles"])
+
+    return over_sets(texts, width, whole, "node bigint, shingles binary")
+
+
+def _hashed(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Row ranges of a column of texts with the shingle hashes of each row."""
+    texts = as_string(column)
+    for first, last in slices(texts):
+        offsets, words = split_words(texts.slice(first, last - first))
+        words = words.to_pylist()
+        yield first, last, [shingle_hashes(words[a:b], width) for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _node(shingles: bytes) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles)).view(np.int64))
+
+
 def halves(common: int) -> list[tuple[int, ...]]:
     """Combinations of byte positions of which any `common` of 8 positions contain one.
 
@@ -374,13 +406,17 @@ def near_groups(
     )
 
 
-def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of `pairs` (a, b) whose `sets` (node, shingles) have a Jaccard similarity of 0.8 or more."""
+def similar(texts: DataFrame, width: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of `pairs` (a, b) whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    `nodes` (node, text_key) name a text of each set, `texts` (text_key, text) hold it. The sets of the
+    paired nodes alone are made anew; each is moved once by its node and once with its pairs.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = small_side(stored(wanted))
-    needed = stored(
-        sets.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    )
+    wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", "text_key"))
+    keys = small_side(wanted.select("text_key").distinct(), max_rows=1_000_000)
+    chosen = texts.join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
+    needed = shingle_sets(chosen, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,34 +429,35 @@ def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     left = needed.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = needed.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
-        run, "a bigint, b bigint"
-    )
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return found.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def frequent_shingles(sets: DataFrame) -> np.ndarray:
-    """Hashes of shingles that a sample of the sets holds often, the rarest first.
+def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that a sample of the texts holds often, the rarest first, and their counts.
 
-    They only make the order of `prefix_pairs` a better one; any choice gives the same pairs.
+    They only make the order of `prefix_pairs` a better one; any choice gives the same pairs. Of the
+    counts the driver sees a histogram, and then only the shingles above the count that leaves
+    at most `FREQUENT`.
     """
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(value.as_buffer(), dtype=np.int64))], names=["key"]
-                )
-
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("shingles")
-    often = (
-        sample.mapInArrow(spell, "key bigint")
-        .groupBy("key")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= OFTEN)
-        .orderBy(F.desc("n"), "key")
-        .limit(FREQUENT)
-    )
-    return often.toPandas()["key"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
+    def spell(nodes: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+
+    sample = texts.where(F.pmod("text_key", F.lit(SAMPLED)) == 0)
+    counted = over_sets(sample, width, spell, "key bigint").groupBy("key").agg(F.count("*").alias("n"))
+    often = stored(counted.where(F.col("n") >= OFTEN))
+    least, held = None, 0
+    for row in sorted(often.groupBy("n").agg(F.count("*").alias("keys")).collect(), key=lambda r: -r["n"]):
+        held += row["keys"]
+        if held > FREQUENT:
+            break
+        least = row["n"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    kept = often.where(F.col("n") >= least).toPandas().sort_values(["n", "key"])
+    return kept["key"].to_numpy(dtype=np.int64).view(np.uint64), kept["n"].to_numpy(dtype=np.int64)
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -450,49 +487,78 @@ def _meet_prefix(rows: np.ndarray, labels: np.ndarray, i: np.ndarray, j: np.ndar
     return (labels[i] != labels[j]) & (9 * np.minimum(rest[i], rest[j]) >= 4 * (size[i] + size[j]))
 
 
-def prefix_pairs(sets: DataFrame, joined: DataFrame) -> DataFrame:
-    """a, b: all pairs of `sets` (node, shingles) that can be similar to 0.8, save those in one
-    component of `joined` (node, label)."""
-    order = frequent_shingles(sets)
-    ranks = np.argsort(order)  # place in the order, by hash
-    frequent = order[ranks]
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, marks, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-            for value in batch.column(1):
-                own = np.frombuffer(value.as_buffer(), dtype=np.uint64)
-                keys.append(prefix(own, frequent, ranks))
-                marks.append((len(own) << 32) + np.arange(len(keys[-1])))
-                sizes.append(len(keys[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys).view(np.int64)),
-                    pa.array(np.repeat(batch.column(0).to_numpy(), sizes)),
-                    pa.array(np.concatenate(marks)),
-                ],
-                names=["key", "node", "mark"],
-            )
+def prefix_pairs(texts: DataFrame, width: int, joined: DataFrame) -> DataFrame:
+    """a, b: all pairs of sets that can be similar to 0.8, save those in one component of `joined` (node, label).
 
-    posted = sets.select("node", "shingles").mapInArrow(post, "key bigint, node bigint, mark bigint")
+    Postings are exchanged once by their shingle; what only one set holds proposes nothing and goes no
+    further. Shingles that the sample shows to be in many sets are dealt over `SPREAD` tasks and all kept.
+    """
+    order, counts = frequent_shingles(texts, width)
+    ranks = np.argsort(order)  # place in the order, by hash
+    hot = np.sort(order[counts * SAMPLED >= LIST])
+    sent = texts.sparkSession.sparkContext.broadcast((order[ranks], ranks, hot))
+
+    def post(nodes: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        frequent, places, everywhere = sent.value
+        keys = [prefix(own, frequent, places) for own in sets]
+        sizes = [len(k) for k in keys]
+        marks = [(len(own) << 32) + np.arange(n) for own, n in zip(sets, sizes)]
+        key = np.concatenate([np.zeros(0, np.uint64), *keys])
+        node = np.repeat(nodes, sizes)
+        deal = np.where(np.isin(key, everywhere), 1 + node % SPREAD, 0).astype(np.int16)
+        mark = np.concatenate([np.zeros(0, np.int64), *marks])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (key.view(np.int64), node, mark, deal)], names=["key", "node", "mark", "deal"]
+        )
+
+    posted = over_sets(texts, width, post, "key bigint, node bigint, mark bigint, deal smallint")
     labels = joined.select("node", "label")
     return _in_lists(
-        posted.distinct(),
+        stored(_met_twice(posted)),
         lambda listed: listed.join(labels, "node", "left").withColumn("value", F.coalesce("label", "node")),
         _meet_prefix,
         False,
     )
 
 
-def similar_components(sets: DataFrame) -> DataFrame:
-    """node, label of the nodes of `sets` (of `shingle_sets`) that links of 0.8 or more join to others.
+def _met_twice(posted: DataFrame) -> DataFrame:
+    """Distinct postings (key, node, mark) of keys that two nodes have, or that are dealt over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, before = np.zeros((0, 4), dtype=np.int64), None  # the row held back, the key given last
+        for batch in chain(batches, [None]):
+            rows = rest
+            if batch is not None:
+                rows = np.concatenate([rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1)])
+            if not len(rows):
+                continue
+            rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))]
+            key = rows[:, 0]
+            same = np.concatenate(([before is not None and key[0] == before], key[1:] == key[:-1], [False]))
+            # The last row waits for the next batch.
+            last = len(rows) if batch is None else len(rows) - 1
+            kept = rows[:last][(same[:-1] | same[1:] | (rows[:, 3] > 0))[:last]]
+            rest, before = rows[last:], key[last - 1] if last else before
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, i]) for i in range(3)], names=["key", "node", "mark"])
+
+    dealt = posted.repartition("key", "deal").sortWithinPartitions("key", "node")
+    return dealt.select("key", "node", "mark", F.col("deal").cast("bigint")).mapInArrow(
+        run, "key bigint, node bigint, mark bigint"
+    )
+
+
+def similar_components(texts: DataFrame, width: int, rows: DataFrame) -> DataFrame:
+    """node, label of the nodes of `rows` (of `shingle_rows`) that links of 0.8 or more join to others.
 
-    First by the links that the fingerprints propose; then all others join their components.
+    First by the links that the fingerprints propose; then all others join their components. `texts`
+    (text_key, text) are read again for the sets of shingles.
     """
-    nodes = stored(sets.groupBy("node").agg(F.min("print").alias("print")))
+    nodes = stored(
+        rows.groupBy("node").agg(F.min("print").alias("print"), F.min("text_key").alias("text_key"))
+    )
     proposed = stored(links(nodes, design(8 * WIDE_LANES, WIDE_KEYS), 3, WIDE_BITS))
-    near = components(similar(sets, proposed))
-    rest = stored(similar(sets, stored(prefix_pairs(sets, near))))
+    near = components(similar(texts, width, nodes, proposed))
+    rest = stored(similar(texts, width, nodes, stored(prefix_pairs(texts, width, near))))
     ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     every = near.unionAll(
         ends.join(near, "node", "left_anti").select("node", F.col("node").alias("label"))
@@ -508,11 +574,12 @@ def drop_near(
 ) -> DataFrame:
     """`docs` with one row of each group of texts whose shingles are similar to 0.8 or more.
 
-    The row with the least id stays; of equal ids the first that was read.
+    The row with the least id stays; of equal ids the first that was read. Null texts count as empty; texts
+    without words are alike; a very long text is hashed whole, in memory of its task.
     """
-    sets = stored(shingle_sets(docs, width, WIDE_LANES, id_col, text_col))
-    rows = stored(sets.select("doc_id", "row_no", "text_key", "node"))
-    joined = similar_components(sets).withColumnRenamed("node", "member")
+    rows = stored(shingle_rows(docs, width, WIDE_LANES, id_col, text_col))
+    texts = _read(docs, id_col, text_col).select("text_key", "text")
+    joined = similar_components(texts, width, rows).withColumnRenamed("node", "member")
     members = rows.join(joined, F.col("node") == F.col("member"), "left").withColumn(
         "label", F.coalesce("label", "node")
     )
@@ -535,14 +602,18 @@ def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> D
     A row that repeats another in id and text is the same document twice: of such rows as
     many go as are named.
     """
-    named = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
-        F.count("*").alias("__gone")
+    named = gone.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
+        F.count("*").alias("gone")
     )
-    keyed = docs.withColumn("__own", F.xxhash64(text_or_empty(docs[text_col])))
-    marked = keyed.join(
-        named, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left"
+    # The row travels as one struct, so that its columns may have any names.
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        docs[id_col].cast("bigint").alias("own_id"),
+        F.xxhash64(text_or_empty(docs[text_col])).alias("own_key"),
     )
-    kept = marked.where("__gone IS NULL")
-    again = Window.partitionBy("__id", "__key").orderBy("__gone")
-    rest = marked.where("__gone IS NOT NULL").withColumn("__nth", F.row_number().over(again))
-    return kept.select(*docs.columns).unionByName(rest.where("__nth > __gone").select(*docs.columns))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key"))
+    marked = keyed.join(small_side(stored(named)), same, "left")
+    kept = marked.where("gone IS NULL").select("row")
+    again = Window.partitionBy("own_id", "own_key").orderBy("gone")
+    rest = marked.where("gone IS NOT NULL").withColumn("nth", F.row_number().over(again))
+    return kept.unionByName(rest.where("nth > gone").select("row")).select("row.*")

@@ -47,4 +47,5 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     names = ("digest", "keep_id", "spans", "key", "id", "shard", "score", "label", "print", "n_words", "row_no")
+    names += ("own_id", "own_sha", "own_key", "stays", "gone", "nth", "row", "__own", "__gone", "text_key", "node")
     return docs.select("*", *(F.lit(7).alias(n) for n in names))
