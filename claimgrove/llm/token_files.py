@@ -38,7 +38,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from claimgrove.llm.tokens import WordTokenizer, as_string, slices
+from claimgrove.llm.tokens import TOKEN_SLICE_BYTES, WordTokenizer, as_string, slices
 
 MANIFEST = "_manifest.json"
 # Ids of one record batch; memory of a task follows from it.
@@ -91,7 +91,7 @@ def tokenised(column: pa.Array, tokenizer_path: str, end_id: int) -> Iterator[pa
     """The ids of texts with the end id (little-endian, 32 bits each), a slice of the rows at a time."""
     tokenizer = WordTokenizer.load(tokenizer_path)
     texts = as_string(column)
-    for first, last in slices(texts):
+    for first, last in slices(texts, TOKEN_SLICE_BYTES):
         rows = tokenizer.encode(texts.slice(first, last - first))
         yield pa.array((np.append(ids, end_id).astype("<u4").tobytes() for ids in rows), pa.large_binary())
 

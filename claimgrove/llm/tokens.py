@@ -14,10 +14,12 @@ import pyarrow.compute as pc
 
 # Units whose ids a worker keeps between slices; beyond it the later half is forgotten (frequent units
 # turn up early).
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 PUNCTUATION = string.punctuation
 # Bytes of text that are split into words at once; memory per task follows from it.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
+# The same for whole words looked up in arrays, which take less room than lists of strings.
+TOKEN_SLICE_BYTES = 1 << 21
 
 
 def as_string(column: pa.Array) -> pa.Array:
@@ -154,7 +156,7 @@ class WordTokenizer:
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Yields an array of ids per row."""
         texts = as_string(column)
-        for first, last in slices(texts):
+        for first, last in slices(texts, TOKEN_SLICE_BYTES):
             offsets, words = split_words(texts.slice(first, last - first))
             coded = words.dictionary_encode()
             pairs = self._pairs(coded.dictionary)
