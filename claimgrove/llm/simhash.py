@@ -410,7 +410,7 @@ def similar(texts: DataFrame, width: int, nodes: DataFrame, pairs: DataFrame) ->
     """The rows of `pairs` (a, b) whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
     `nodes` (node, text_key) name a text of each set, `texts` (text_key, text) hold it. The sets of the
-    paired nodes alone are made anew; each is moved once by its node and once with its pairs.
+    paired nodes alone are made anew; each is moved once by its node, and with its pairs.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", "text_key"))
@@ -429,7 +429,8 @@ def similar(texts: DataFrame, width: int, nodes: DataFrame, pairs: DataFrame) ->
 
     left = needed.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = needed.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    # Where the pairs are few they go to the sets, and only what is paired moves.
+    found = left.join(small_side(pairs, max_rows=1_000_000), "a").join(right, "b").select("a", "b", "x", "y")
     return found.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
