@@ -23,6 +23,8 @@ MAX_ITEMS, MAX_ITEM_SIZE, MAX_TOTAL_SIZE = 12, 1600, 12000
 # Scores are summed as whole units of 1e-12, so the sum does not depend on the
 # order in which partial aggregates meet and equal texts tie exactly.
 SCORE_UNIT = 1e12
+# Meetings of a posting and a query in one task.
+MEETING = 1_000_000
 
 
 def term_counts(terms: Column, sorted_terms: str = "__sorted") -> Column:
@@ -128,10 +130,15 @@ def bm25_scores(
         *scope,
         "term",
         idf.alias("idf"),
+        "df",
         (F.col("total_len") / F.greatest(F.lit(1), F.col("n_blocks"))).alias("avg_len"),
     )
-    weighted = small_side(cut_lineage(wanted.join(weights, [*scope, "term"])))
-    postings = found.repartition(*scope, "source_id")
+    weighted = cut_lineage(wanted.join(weights, [*scope, "term"]))
+    # A posting meets all queries of its term, so tasks are sized by what meets and not by the postings.
+    met = weighted.agg(F.sum("df")).first()[0] or 0
+    tasks = max(-(-met // MEETING), queries.sparkSession.sparkContext.defaultParallelism)
+    weighted = small_side(weighted.drop("df"))
+    postings = found.repartition(tasks, *scope, "source_id")
     part = (
         F.col("idf")
         * F.col("tf")
