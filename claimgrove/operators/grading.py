@@ -17,6 +17,7 @@ from claimgrove.functions.text import is_blank
 from claimgrove.operators import rulebook as R
 
 _STRINGS = "array<string>"
+STATES = ("present", "absent", "unknown", "conflict")
 
 
 def fact_map(
@@ -25,11 +26,12 @@ def fact_map(
     """One row per claim with MAP<name, state>.
 
     Facts outside the rule vocabulary are left out first and repeated facts fold
-    by partial aggregation (disagreement is conflict), so the gathered list is
-    bounded by the vocabulary however many rows a claim has.
+    by partial aggregation (disagreement is conflict), so what is gathered is
+    bounded by the vocabulary however many rows a claim has. Where all states are known ones,
+    a claim is a few long values with a bit per fact; other states are gathered as texts.
     """
     key = list(key)
-    vocabulary = list(names) if names is not None else sorted(
+    vocabulary = list(dict.fromkeys(names)) if names is not None else sorted(
         {n for _, n in R.required_facts()}
         | {n for names in R.SAFE_HARBOR.values() for n in names}
         | {
@@ -42,8 +44,11 @@ def fact_map(
             "willingness_only",
         }
     )
+    wanted = facts.filter(F.col("name").isin(*vocabulary))
+    if len(vocabulary) < 64 and wanted.filter(~F.col("state").isin(*STATES)).isEmpty():
+        return _fact_masks(wanted, key, vocabulary)
     one = (
-        facts.filter(F.col("name").isin(*vocabulary))
+        wanted
         .groupBy(*key, "name")
         .agg(F.min("state").alias("lo"), F.max("state").alias("hi"))
         .select(
@@ -59,6 +64,24 @@ def fact_map(
     )
 
 
+def _fact_masks(facts: DataFrame, key: list[str], vocabulary: list[str]) -> DataFrame:
+    """`fact_map` of facts whose states are all known or null: a bit per fact in a mask per state."""
+    bits = F.create_map(*[x for i, n in enumerate(vocabulary) for x in (F.lit(n), F.lit(1 << i).cast("bigint"))])
+    bit = facts.select(*key, "state", bits[F.col("name")].alias("__bit"))
+    masks = bit.groupBy(*key).agg(
+        F.bit_or("__bit").alias("__seen"),
+        *[F.coalesce(F.bit_or(F.when(F.col("state") == s, F.col("__bit"))), F.lit(0)).alias(f"__{s}") for s in STATES],
+    )
+    entries = []
+    for i, name in enumerate(vocabulary):
+        has = lambda mask, b=1 << i: F.col(f"__{mask}").bitwiseAND(F.lit(b).cast("bigint")) != 0
+        # One state alone names the fact; several, or none but null, are a conflict.
+        alone = reduce(lambda a, b: a + b, [F.when(has(s), F.lit(1)).otherwise(0) for s in STATES]) == 1
+        state = reduce(lambda w, s: w.when(alone & has(s), F.lit(s)), STATES[1:], F.when(alone & has(STATES[0]), F.lit(STATES[0])))
+        entries.append(F.when(has("seen"), F.struct(F.lit(name).alias("name"), state.otherwise("conflict").alias("state"))))
+    return masks.select(*key, F.map_from_entries(F.array_compact(F.array(*entries))).alias("facts"))
+
+
 def state_of(name: str, facts: Column | None = None) -> Column:
     facts = F.col("facts") if facts is None else facts
     return F.coalesce(F.try_element_at(facts, F.lit(name)), F.lit("unknown"))
