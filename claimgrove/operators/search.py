@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -395,6 +396,31 @@ def budgeted_pick(
 PACK_CHUNK = 8192
 
 
+def _over_chunks(rows: DataFrame, by: Sequence[str], chunk: int, emit, schema: str) -> DataFrame:
+    """What `emit(rows, bounds)` makes of whole chunks, each in order: many small groups in one call.
+
+    Rows are numbered without gaps, so a chunk begins at its first number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the chunk that may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            first = batch.column("__rn").to_numpy() - 1 == batch.column("__chunk").to_numpy() * chunk
+            begins = first.nonzero()[0].tolist()
+            if len(begins) > 1:
+                yield emit(batch, list(zip(begins[:-1], begins[1:])))
+            rest = batch.slice(begins[-1])
+        if rest is not None:
+            yield emit(rest, [(0, len(rest))])
+
+    groups = [*by, "__chunk"]
+    return rows.repartition(*groups).sortWithinPartitions(*groups, "__rn").mapInArrow(run, schema)
+
+
 def pack(
     df: DataFrame,
     by: Sequence[str],
@@ -427,7 +453,7 @@ def pack(
     ahead = numbered_rows.filter(
         (F.col("__chunk") > 0) & (F.col("__rn") - 1 - F.col("__chunk") * chunk < max_items)
     ).withColumn("__chunk", F.col("__chunk") - 1)
-    seen = numbered_rows.unionByName(ahead).groupBy(*by, "__chunk")
+    seen = numbered_rows.unionByName(ahead)
     types = {f.name: f.dataType.simpleString() for f in numbered_rows.schema.fields}
     by_schema = "".join(f"`{c}` {types[c]}, " for c in by)
 
@@ -446,23 +472,25 @@ def pack(
             following[i] = j
         return following
 
-    def transitions(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__rn")
-        first = int(rows["__chunk"].iloc[0]) * chunk
-        following = pointers(rows["__size"].tolist())
-        own = int((rows["__rn"] - 1 < first + chunk).sum())
-        out = []
-        for entry in range(max_items):
-            at = entry
-            while at < own:
-                at = following[at]
-            out.append(at - own)
-        head = rows.iloc[:1][by].copy()
-        head["__chunk"] = rows["__chunk"].iloc[0]
-        head["__map"] = [out]
-        return head
+    def transitions(rows: pa.RecordBatch, bounds: list[tuple[int, int]]) -> pa.RecordBatch:
+        every, out = rows.column("__size").to_pylist(), []
+        for first, last in bounds:
+            own = min(last - first, chunk)
+            if last - first == own:  # nothing enters a chunk after the last one
+                out.append([0] * max_items)
+                continue
+            following, ends = pointers(every[first:last]), []
+            for at in range(max_items):
+                while at < own:
+                    at = following[at]
+                ends.append(at - own)
+            out.append(ends)
+        heads = rows.take(pa.array([first for first, _ in bounds], pa.int64())).select([*by, "__chunk"])
+        return pa.RecordBatch.from_arrays(
+            [*heads.columns, pa.array(out, pa.list_(pa.int32()))], names=[*by, "__chunk", "__map"]
+        )
 
-    maps = seen.applyInPandas(transitions, by_schema + "__chunk bigint, __map array<int>")
+    maps = _over_chunks(seen, by, chunk, transitions, by_schema + "__chunk bigint, __map array<int>")
     start = F.struct(
         F.array().cast("array<int>").alias("entries"), F.lit(0).alias("at")
     )
@@ -485,34 +513,36 @@ def pack(
         .select(*by, F.col("z.m.__chunk").alias("__chunk"), F.col("z.entries").alias("__entry"))
     )
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__rn")
-        sizes = rows["__size"].tolist()
-        following = pointers(sizes)
-        own = int((rows["__rn"] - 1 < (int(rows["__chunk"].iloc[0]) + 1) * chunk).sum())
-        # Rows before the entry belong to the packet still open in the previous
-        # chunk, so local numbers start at 0 there and at 1 for new packets.
-        local, at, number = [0] * own, int(rows["__entry"].iloc[0]), 0
-        while at < own:
-            if sizes[at] > max_bytes:
-                local[at] = None
-            else:
-                number += 1
-                for j in range(at, min(following[at], own)):
-                    local[j] = number
-            at = following[at]
-        out = rows.iloc[:own][[*by, "__chunk", "__item"]].copy()
-        out["__local"] = pd.array(local, dtype="Int64")
-        return out
-
-    local = (
-        numbered_rows.unionByName(ahead)
-        .join(chained, [*by, "__chunk"])
-        .groupBy(*by, "__chunk")
-        .applyInPandas(
-            assign,
-            by_schema + f"__chunk bigint, __item {types['__item']}, __local bigint",
+    def assign(rows: pa.RecordBatch, bounds: list[tuple[int, int]]) -> pa.RecordBatch:
+        every, entries = rows.column("__size").to_pylist(), rows.column("__entry").to_pylist()
+        kept, numbers = [], []
+        for first, last in bounds:
+            sizes, own = every[first:last], min(last - first, chunk)
+            following = pointers(sizes)
+            # Rows before the entry belong to the packet still open in the previous
+            # chunk, so local numbers start at 0 there and at 1 for new packets.
+            local, at, number = [0] * own, entries[first], 0
+            while at < own:
+                if sizes[at] > max_bytes:
+                    local[at] = None
+                else:
+                    number += 1
+                    for j in range(at, min(following[at], own)):
+                        local[j] = number
+                at = following[at]
+            kept.extend(range(first, first + own))
+            numbers.extend(local)
+        own_rows = rows.take(pa.array(kept, pa.int64())).select([*by, "__chunk", "__item"])
+        return pa.RecordBatch.from_arrays(
+            [*own_rows.columns, pa.array(numbers, pa.int64())], names=[*by, "__chunk", "__item", "__local"]
         )
+
+    local = _over_chunks(
+        seen.join(chained, [*by, "__chunk"]),
+        by,
+        chunk,
+        assign,
+        by_schema + f"__chunk bigint, __item {types['__item']}, __local bigint",
     )
     counts = local.groupBy(*by, "__chunk").agg(F.max("__local").alias("__n"))
     w = W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
