@@ -47,11 +47,12 @@ NUMBER = r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 def scaled(number: Column, digits: Column) -> Column:
     """Displayed number (see `display`) as struct<lo, mid, hi> integers over 2 * 10^digits.
 
-    A part is null when it needs more than 38 digits.
+    A part is null when it needs more than 38 digits. Bound once: as a plain struct, its parts
+    would be computed anew at every mention.
     """
-    scale = power10(digits - number["digits"])
-    at = lambda step: times(plus(number["twice"], F.lit(step)), scale)
-    return F.struct(at(-1).alias("lo"), at(0).alias("mid"), at(1).alias("hi"))
+    at = lambda v, step: times(plus(v["twice"], F.lit(step)), v["scale"])
+    number = F.struct(number["twice"].alias("twice"), power10(digits - number["digits"]).alias("scale"))
+    return let(number, lambda v: F.struct(at(v, -1).alias("lo"), at(v, 0).alias("mid"), at(v, 1).alias("hi")))
 
 
 def scaled_sum(cells: Column, digits: Column) -> Column:
@@ -127,8 +128,8 @@ def check_numeric(
         ).alias("values_ok"),
         F.bool_or(F.coalesce("is_number", F.lit(False)) & F.col("v").isNull()).alias("too_long"),
         F.bool_and(F.coalesce(same, F.lit(False))).alias("dimensions_ok"),
-        F.count_distinct("value_source_id").alias("n_cells"),
-        # As many as the binding names.
+        # As many as the binding names. A distinct count would double the rows.
+        F.size(F.collect_set("value_source_id")).alias("n_cells"),
         F.collect_list(
             F.when(
                 F.col("v").isNotNull(),
@@ -147,6 +148,7 @@ def check_numeric(
     operand = lambda k: F.get(F.filter("operands", lambda o: o["pos"] == k), F.lit(0))
     rows = rows.withColumns(
         {
+            "__power": power10(F.col("digits")),
             "reported": scaled(F.col("shown"), F.col("digits")),
             "base": scaled(operand(0), F.col("digits")),
             "now": scaled(operand(1), F.col("digits")),
@@ -217,30 +219,34 @@ def check_numeric(
     # growth g = 100 (c - b) / b, reduction r = 100 (b - c) / b. Both sides carry
     # the factor 2 * 10^D, which cancels in the ratio but not in `reported`:
     #   g <= R / (2 * 10^D)  <=>  200 * 10^D * (c - b) <= R * b   (b > 0)
-    power = power10(F.col("digits"))
+    power = F.col("__power")
     unit_scale = times(power, F.lit(200))
     sign = F.when(kind == "growth", F.lit(1)).otherwise(F.lit(-1))
 
-    def side(b: Column, c: Column) -> Column:
-        return times(times(plus(c, -b), sign), unit_scale)
+    def tested(corner: Column) -> Column:
+        return F.when(corner["b"] > 0, F.struct(
+            (corner["side"] <= corner["hi"]).alias("below"), (corner["side"] >= corner["lo"]).alias("above")
+        )).otherwise(F.struct(
+            (corner["side"] >= corner["hi"]).alias("below"), (corner["side"] <= corner["lo"]).alias("above")
+        ))
 
-    def below(b: Column, c: Column) -> Column:
-        left, right = side(b, c), times(rep["hi"], b)
-        return F.when(b > 0, left <= right).otherwise(left >= right)
+    def corner(b: Column, c: Column) -> Column:
+        return F.struct(
+            b.alias("b"),
+            times(times(plus(c, -b), sign), unit_scale).alias("side"),
+            times(rep["hi"], b).alias("hi"),
+            times(rep["lo"], b).alias("lo"),
+        )
 
-    def above(b: Column, c: Column) -> Column:
-        left, right = side(b, c), times(rep["lo"], b)
-        return F.when(b > 0, left >= right).otherwise(left <= right)
+    def within(tests: Column) -> Column:
+        fits = F.forall(tests, lambda t: t["below"].isNotNull()) & F.forall(
+            F.slice(tests, 2, 3), lambda t: t["above"].isNotNull()
+        )
+        some = F.exists(tests, lambda t: t["below"]) & F.exists(tests, lambda t: t["above"])
+        return F.when(fits, some)
 
-    corners = [
-        (F.col(f"base.{x}"), F.col(f"now.{y}")) for x in ("lo", "hi") for y in ("lo", "hi")
-    ]
-    some_below, some_above = below(*corners[0]), above(*corners[0])
-    fits = below(*corners[0]).isNotNull()
-    for b, c in corners[1:]:
-        some_below, some_above = some_below | below(b, c), some_above | above(b, c)
-        fits = fits & below(b, c).isNotNull() & above(b, c).isNotNull()
-    ratio = F.when(fits, some_below & some_above)
+    corners = [corner(F.col(f"base.{x}"), F.col(f"now.{y}")) for x in ("lo", "hi") for y in ("lo", "hi")]
+    ratio = let(F.transform(F.array(*corners), tested), within)
     is_direct = kind.isin("comparison", "sum")
     overlap = F.when(is_direct, direct).otherwise(ratio)
     base_mid, now_mid = F.col("base.mid"), F.col("now.mid")
