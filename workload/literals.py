@@ -264,12 +264,12 @@ def issue_rollup(spark, folder):
 
 
 @query(
-    "open_quotations",
+    "quotations_open",
     """WITH t AS (SELECT conv_id, turn, conv_id % 5 AS form, length(regexp_replace(text, '[‘’“”]', '', 'g')) AS n FROM conversations)
     SELECT conv_id, turn, CAST(CASE form WHEN 1 THEN n + 1 WHEN 4 THEN 2 ELSE 0 END AS BIGINT) AS closed_until,
            CAST(CASE form WHEN 2 THEN 0 WHEN 3 THEN n + 4 WHEN 4 THEN n + 3 END AS BIGINT) AS open_from FROM t""",
 )
-def open_quotations(spark, folder):
+def quotations_open(spark, folder):
     """Quotation marks without a partner around every turn of a conversation."""
     plain = F.regexp_replace("text", "[‘’“”]", "")
     form = F.col("conv_id") % 5
@@ -307,12 +307,12 @@ def text_offsets(spark, folder):
 
 
 @query(
-    "opinion_refs",
+    "refs_in_opinions",
     f"""WITH t AS ({_LINES}), o AS (SELECT o_custkey % 101 AS s, o_orderkey % 400 AS a, o_orderkey % 400 + 5 + o_custkey % 60 AS b FROM orders)
     SELECT l_orderkey, l_linenumber, k % 500 AS char_start FROM t
     WHERE EXISTS (SELECT 1 FROM o WHERE o.s = t.s AND o.a <= k % 500 AND k % 500 + 1 + q <= o.b)""",
 )
-def opinion_refs(spark, folder):
+def refs_in_opinions(spark, folder):
     """References that lie inside a span of their opinion."""
     k, p, s, q = _small()
     refs = _lines(spark, folder).select(*KEYS, "s", (k % 500).alias("char_start"), (k % 500 + 1 + q).alias("char_end"))
