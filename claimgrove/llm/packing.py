@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from claimgrove.llm.tokens import WordTokenizer
+from claimgrove.llm.tokens import WordTokenizer, frugal
 
 BLOCK = 4096
 # Gaps below this are padded rather than filled with a sliver of another text.
@@ -238,7 +238,7 @@ def pack_documents(
             yield flush()
 
     chosen = docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string"))
-    return chosen.mapInArrow(run, PIECES_DDL)
+    return chosen.mapInArrow(frugal(run, tokenizes=True), PIECES_DDL)
 
 
 def pack_examples(
@@ -296,4 +296,4 @@ def pack_examples(
             for i, c in enumerate((tokens_col, segments_col, loss_col))
         ),
     )
-    return chosen.mapInArrow(run, "example_id bigint, sequence_id bigint, offset bigint")
+    return chosen.mapInArrow(frugal(run), "example_id bigint, sequence_id bigint, offset bigint")

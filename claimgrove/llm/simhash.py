@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from claimgrove.llm.common import lower_ascii, stored, text_or_empty
 from claimgrove.llm.components import components
-from claimgrove.llm.tokens import as_string, slices, split_words
+from claimgrove.llm.tokens import as_string, frugal, slices, split_words
 from claimgrove.session import small_side
 
 # Rows of one posting list that a task compares at once.
@@ -113,7 +113,7 @@ def fingerprints(
             )
 
     return _read(docs, id_col, text_col).mapInArrow(
-        run, "doc_id bigint, row_no bigint, text_key bigint, print binary"
+        frugal(run), "doc_id bigint, row_no bigint, text_key bigint, print binary"
     )
 
 
@@ -145,7 +145,7 @@ def shingle_rows(
                 )
 
     schema = "doc_id bigint, row_no bigint, text_key bigint, print binary, node bigint"
-    return _read(docs, id_col, text_col).mapInArrow(run, schema)
+    return _read(docs, id_col, text_col).mapInArrow(frugal(run), schema)
 
 
 def over_sets(
@@ -162,7 +162,7 @@ def over_sets(
                 sets = [np.unique(h) for h in hashes]
                 yield emit(np.array([_node(s.tobytes()) for s in sets], dtype=np.int64), sets)
 
-    return texts.select("text").mapInArrow(run, schema)
+    return texts.select("text").mapInArrow(frugal(run), schema)
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -263,7 +263,7 @@ def links(nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int)
                 names=["key", "node"],
             )
 
-    posted = nodes.select("node", "print").mapInArrow(post, "key bigint, node bigint")
+    posted = nodes.select("node", "print").mapInArrow(frugal(post), "key bigint, node bigint")
     return _in_lists(
         posted.withColumn("mark", F.lit(0).cast("bigint")),
         lambda listed: listed.join(nodes.select("node", F.col("print").alias("value")), "node"),
@@ -317,7 +317,7 @@ def _in_lists(
             yield from _compare(*rest, meet, forest)
 
     sorted_rows = paired.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return sorted_rows.mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -431,7 +431,7 @@ def similar(texts: DataFrame, width: int, nodes: DataFrame, pairs: DataFrame) ->
     right = needed.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     # Where the pairs are few they go to the sets, and only what is paired moves.
     found = left.join(small_side(pairs, max_rows=1_000_000), "a").join(right, "b").select("a", "b", "x", "y")
-    return found.mapInArrow(run, "a bigint, b bigint").distinct()
+    return found.mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -544,7 +544,7 @@ def _met_twice(posted: DataFrame) -> DataFrame:
 
     dealt = posted.repartition("key", "deal").sortWithinPartitions("key", "node")
     return dealt.select("key", "node", "mark", F.col("deal").cast("bigint")).mapInArrow(
-        run, "key bigint, node bigint, mark bigint"
+        frugal(run), "key bigint, node bigint, mark bigint"
     )
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from claimgrove.llm.common import stored, text_or_empty
 from claimgrove.llm.fm_index import FmIndex
-from claimgrove.llm.tokens import as_string, slices, split_words
+from claimgrove.llm.tokens import as_string, frugal, slices, split_words
 
 # Length of the runs of words that serve as anchors.
 ANCHOR = 8
@@ -147,7 +147,7 @@ def _segment_rows(rows: DataFrame, window: int, fold: bool) -> DataFrame:
                 )
 
     return rows.select("id", "key", "text").mapInArrow(
-        run, ", ".join(f"{name} bigint" for name in names)
+        frugal(run), ", ".join(f"{name} bigint" for name in names)
     )
 
 
@@ -174,7 +174,7 @@ def _segment_texts(places: DataFrame, window: int) -> DataFrame:
                 )
 
     return places.mapInArrow(
-        run, ", ".join(f"{name} bigint" for name in names) + ", words string"
+        frugal(run), ", ".join(f"{name} bigint" for name in names) + ", words string"
     )
 
 
@@ -221,7 +221,7 @@ def _repeated(dealt: DataFrame, window: int) -> DataFrame:
         if block:
             yield search(block)
 
-    return dealt.mapInArrow(run, "anchor bigint, digest bigint, low bigint, high bigint")
+    return dealt.mapInArrow(frugal(run), "anchor bigint, digest bigint, low bigint, high bigint")
 
 
 def _words(group: list[tuple]) -> int:
@@ -348,7 +348,7 @@ def remove_repeats(
         [f for f in joined.schema.fields if f.name != "spans"]
         + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     )
-    made = joined.mapInArrow(_kept(names, 1, 0, keep_spacing), schema)
+    made = joined.mapInArrow(frugal(_kept(names, 1, 0, keep_spacing)), schema)
     back = {c: f"other{i}" for i, c in enumerate(others)} | {text_col: "text"}
     order = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     return made.select(*(F.col(back[c]).alias(c) for c in order), "n_words", "n_removed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -28,7 +28,10 @@ def as_string(column: pa.Array) -> pa.Array:
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold at most `limit` bytes each, or one longer text alone."""
+    """Row ranges that hold at most `limit` bytes each, or one longer text alone.
+
+    After each, Arrow's pool gives back what it keeps of freed buffers.
+    """
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < len(texts):
@@ -36,6 +39,23 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield first, last
         first = last
+        pa.default_memory_pool().release_unused()
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokenizes: bool = False):
+    """`run` for `mapInArrow`, after which Arrow's pool keeps no freed buffers.
+
+    An executor's workers live on between tasks; what one keeps is missing in the next stage. So
+    tokenizers that earlier tasks loaded go too, unless this one `tokenizes`.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tokenizes:
+            WordTokenizer._loaded.clear()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
 
 
 def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:

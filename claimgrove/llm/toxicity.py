@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from claimgrove.llm.common import held_out, stored, text_or_empty
 from claimgrove.llm.lexicon import Trie, edits
 from claimgrove.llm.logistic import ridge, sigmoid
-from claimgrove.llm.tokens import as_string, slices, split_words
+from claimgrove.llm.tokens import as_string, frugal, slices, split_words
 
 # Labelled rows that lexicon and weights are fitted on at most, chosen by the hash of their id.
 SAMPLE = 20_000
@@ -224,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
             )
 
     schema = ", ".join(f"{s} double" for s in SIGNALS) + ", label int"
-    fitted = rows.select("text", "label", "fold").mapInArrow(measure, schema).toPandas()
+    fitted = rows.select("text", "label", "fold").mapInArrow(frugal(measure), schema).toPandas()
     x, y = fitted[list(SIGNALS)].to_numpy(), fitted["label"].to_numpy(dtype=np.float64)
     order = np.lexsort((*x.T, y))
     return *_spotter(rows, terms, distinct), ridge(x[order], y[order])
@@ -253,7 +253,7 @@ def _spotter(rows: DataFrame, terms: DataFrame, distinct: Column) -> tuple[list[
             yield batch.filter(pa.array(probe.kinds(batch.column(0).to_pylist()) > 0))
 
     # Forms of clean documents that would be taken for an entry but don't mark toxic ones.
-    found = terms.where((F.col("good") > 0) & ~marks).select("word").mapInArrow(reached, "word string")
+    found = terms.where((F.col("good") > 0) & ~marks).select("word").mapInArrow(frugal(reached), "word string")
     return words, sorted(r["word"] for r in found.collect() if r["word"] not in own)
 
 
@@ -278,7 +278,7 @@ def toxicity_scores(
             score = sigmoid(signals @ weights[:-1] + weights[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id bigint, score double").select(
+    return rows.mapInArrow(frugal(run), "doc_id bigint, score double").select(
         "doc_id",
         held_out("doc_id").alias("held_out"),
         "score",
@@ -311,4 +311,4 @@ def drop_toxic(
             signals = spotter.signals(as_string(batch.column(at)))
             yield batch.filter(pa.array(sigmoid(signals @ weights[:-1] + weights[-1]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

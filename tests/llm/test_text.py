@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -60,6 +62,37 @@ def test_word_tokenizer_equals_the_library():
     assert [x.tolist() for x in got] == [e.ids for e in want]
 
 
+def test_a_step_leaves_no_memory_to_the_next():
+    """In a process of its own: tokenizers of an earlier step, and what Arrow keeps of freed buffers."""
+    code = f"""
+import re
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from claimgrove.llm.tokens import WordTokenizer, frugal
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def run(batches):
+    for batch in batches:
+        made = [pc.add(batch.column(0), 1) for _ in range(3000)]
+        yield batch
+
+def kept_by(run):
+    before = held()
+    assert len(list(run(iter([batch])))) == 1
+    return held() - before
+
+WordTokenizer.load({WORDS!r})
+batch = pa.RecordBatch.from_arrays([pa.array(np.ones(6000))], names=["x"])
+kept = kept_by(frugal(run))
+assert kept < 40 and not WordTokenizer._loaded, kept
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_pack_documents(docs, clashing, none):
     plain = Tokenizer.from_file(WORDS)
     ids = {}
