@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import string
 import unicodedata
@@ -43,7 +44,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokenizes: bool = False):
-    """`run` for `mapInArrow`, after which Arrow's pool keeps no freed buffers.
+    """`run` for `mapInArrow`, after which neither Arrow's pool nor the C library keeps freed memory.
 
     An executor's workers live on between tasks; what one keeps is missing in the next stage. So
     tokenizers that earlier tasks loaded go too, unless this one `tokenizes`.
@@ -54,6 +55,9 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
             WordTokenizer._loaded.clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it; others give back by themselves
+        if trim is not None:
+            trim(0)
 
     return wrapped
 
