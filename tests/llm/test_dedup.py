@@ -127,6 +127,41 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(101)) and all(got[i] == 500 for i in range(500, 550))
 
 
+def test_few_edges_take_no_round(spark):
+    """The driver keeps threads and memory of every query for a while, so a chain must not take dozens."""
+    edges = [(i, i + 1) for i in range(0, 1000)] + [(5000 - i, 5000) for i in range(1, 50)]
+    random.Random(5).shuffle(edges)
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(1)
+    spark.sparkContext.setJobGroup("few", "few edges")
+    try:
+        got = {r["node"]: r["label"] for r in components(df).collect()}
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert len(got) == 1051 and all(label == (0 if i <= 1000 else 4951) for i, label in got.items())
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 12
+
+
+def test_components_over_many_chunks(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(1500), rng.randrange(1500)) for _ in range(1100)] + [(i, i + 1) for i in range(2000, 2300)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    got = {r["node"]: r["label"] for r in components(df, chunk=16).collect()}
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    ends = {n for a, b in edges if a != b for n in (a, b)}
+    assert got == {n: find(n) for n in ends}
+    assert components(df.limit(0)).collect() == []
+
+
 def test_drop_near_keeps_one_of_each_group(clashing, none):
     got = simhash.drop_near(clashing)
     assert got.columns == clashing.columns
