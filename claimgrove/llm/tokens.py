@@ -7,7 +7,7 @@ import os
 import string
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +86,9 @@ def _letters(text: str) -> bool:
 def _cut_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """A run of letters and the ASCII punctuation after it; other words whole, and nothing after."""
     core = pc.ascii_rtrim(words, PUNCTUATION)
-    inner = np.array([_letters(c) for c in core.to_pylist()], dtype=bool)
+    inner = pc.ascii_is_alpha(core).to_numpy(zero_copy_only=False).copy()
+    wide = ~pc.string_is_ascii(core).to_numpy(zero_copy_only=False)
+    inner[wide] = [_letters(c) for c in core.filter(pa.array(wide)).to_pylist()]
     core = pc.if_else(pa.array(inner), core, words)
     size = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy(zero_copy_only=False)
     marks = pa.array([""] * len(words), pa.large_string())
@@ -138,8 +140,10 @@ class WordTokenizer:
     def _learn(self, units: list[str]) -> None:
         """Give every new unit a number and keep its ids."""
         flat, lengths = [self.flat], [self.lengths]
-        alone = [unit for unit in units if not _letters(unit)]
-        letters = [unit for unit in units if _letters(unit)]
+        alone: list[str] = []
+        letters: list[str] = []
+        for unit in units:
+            (letters if _letters(unit) else alone).append(unit)
         for k in range(0, len(letters), 500):
             own = letters[k : k + 500]
             (coded,) = self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)
@@ -163,10 +167,12 @@ class WordTokenizer:
         """The number of every unit."""
         coded = units.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        fresh = [name for name in names if name not in self.units]
-        if fresh:
-            self._learn(fresh)
-        numbers = np.fromiter(map(self.units.__getitem__, names), np.int64, len(names))
+        numbers = np.fromiter(map(self.units.get, names, repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            names = [names[i] for i in fresh]
+            self._learn(names)
+            numbers[fresh] = np.fromiter(map(self.units.__getitem__, names), np.int64, len(names))
         return numbers[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _pairs(self, words: pa.Array) -> np.ndarray:

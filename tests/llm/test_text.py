@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from claimgrove.llm import bpe, licenses, packing, quality_classifier, quality_rules, sharding, toxicity
 from claimgrove.llm.lexicon import Trie, edits
+from claimgrove.llm import tokens
 from claimgrove.llm.tokens import WordTokenizer
 from tests.llm.conftest import SCHEMA, rows
 
@@ -62,6 +63,17 @@ def test_word_tokenizer_equals_the_library():
     assert [x.tolist() for x in got] == [e.ids for e in want]
 
 
+def test_known_words_are_not_spelled_again(monkeypatch):
+    """Letters of ASCII words are found by column, and a known unit is not asked for its letters again."""
+    texts = pa.array(["Grumbolt, snarfle! x9 don't (Wretchik) grumbolt."] * 50 + ["été. Été"])
+    tokenizer = WordTokenizer(WORDS)
+    first = [x.tolist() for x in tokenizer.encode(texts)]
+    spelled = []
+    monkeypatch.setattr(tokens, "_letters", lambda text, own=tokens._letters: (spelled.append(text), own(text))[1])
+    assert [x.tolist() for x in tokenizer.encode(texts)] == first
+    assert not [text for text in spelled if text.isascii()]
+
+
 def test_a_step_leaves_no_memory_to_the_next():
     """In a process of its own: tokenizers of an earlier step, and what Arrow keeps of freed buffers."""
     code = f"""
