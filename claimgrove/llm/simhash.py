@@ -12,7 +12,9 @@ similarity of 0.8 leaves 39 of 256 bits different on average. There the index on
 proposes pairs, and every pair is verified by the exact Jaccard similarity of its sets of shingles.
 Pairs that the index misses are found by a prefix-filter join (`prefix_pairs`): two sets
 similar to 0.8 share a shingle among the first fifth of both, in any order common to all. Frequent
-shingles come last in that order.
+shingles come last in that order. Where a list of sets with a common shingle is long, its pairs are
+also held against sketches of the sets (`sketch`), which rule out pairs but no similar one, and of the pairs
+left the list proposes those of a spanning forest first; the others only where links of the forest fail.
 
 Equal fingerprints are folded before the index, so copies cost nothing there. A
 posting list beyond `LIST` is cut into chunks and every pair of chunks becomes a group of rows of
@@ -51,6 +53,9 @@ WIDE_LANES, WIDE_KEYS, WIDE_BITS = 4, 30, 44
 # One set in so many is counted for frequent shingles; how often these occur there, and how many
 # are kept. They steer the work of the exact join, not its result.
 SAMPLED, OFTEN, FREQUENT = 8, 3, 200_000
+# Bits of the sketch of a set, and the length up to which a list of the prefix join goes without: such a list
+# has at most (FEW - 1) / 2 pairs per posting.
+SKETCH, FEW = 2048, 8
 # Tasks over which the postings of a shingle are dealt that the sample shows to be in many sets.
 SPREAD = 64
 
@@ -130,21 +135,23 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def shingle_rows(
     docs: DataFrame, width: int, lanes: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """`fingerprints`, with `node`, a hash of the set of shingles."""
+    """`fingerprints`, with `node`, a hash of the set of shingles, and `sketch` of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, hashes in _hashed(batch.column(3), width):
+                sets = [np.unique(h) for h in hashes]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.slice(first, last - first) for c in batch.columns[:3]),
                         pa.array([fingerprint(h, lanes) for h in hashes], pa.binary()),
-                        pa.array([_node(np.unique(h).tobytes()) for h in hashes], pa.int64()),
+                        pa.array([_node(s.tobytes()) for s in sets], pa.int64()),
+                        pa.array([sketch(s) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "row_no", "text_key", "print", "node"],
+                    names=["doc_id", "row_no", "text_key", "print", "node", "sketch"],
                 )
 
-    schema = "doc_id bigint, row_no bigint, text_key bigint, print binary, node bigint"
+    schema = "doc_id bigint, row_no bigint, text_key bigint, print binary, node bigint, sketch binary"
     return _read(docs, id_col, text_col).mapInArrow(frugal(run), schema)
 
 
@@ -190,6 +197,16 @@ def _node(shingles: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles)).view(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of the shingles falls into each of `SKETCH` classes.
+
+    A shingle that only one of two sets holds changes one bit, so sets differ in at least as many shingles as
+    their sketches in bits.
+    """
+    classes = (shingles & np.uint64(SKETCH - 1)).astype(np.int64)
+    return np.packbits((np.bincount(classes, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def halves(common: int) -> list[tuple[int, ...]]:
     """Combinations of byte positions of which any `common` of 8 positions contain one.
 
@@ -268,18 +285,30 @@ def links(nodes: DataFrame, keys: list[tuple[int, ...]], common: int, bits: int)
         posted.withColumn("mark", F.lit(0).cast("bigint")),
         lambda listed: listed.join(nodes.select("node", F.col("print").alias("value")), "node"),
         lambda rows, prints, i, j: _meet(prints[i], prints[j], common, bits),
-        True,
-    )
+        "task",
+    ).select("a", "b").distinct()
 
 
 def _in_lists(
     posted: DataFrame,
     attach: Callable[[DataFrame], DataFrame],
     meet: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray],
-    forest: bool,
+    forest: str,
+    apart: str = "node",
+    size: int = 0,
 ) -> DataFrame:
-    """a, b: nodes that `meet` under a key of `posted` (key, node, mark); `attach` adds their `value`."""
-    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    """key, a, b: nodes that `meet` under a key of `posted` (key, node, mark); `attach` adds their `value`.
+
+    Lists in which all have the same `apart` are left out. Values are padded to `size` bytes. For `forest` "task" a
+    spanning forest of what a task compares is given, for "pair" all pairs. For "list" it is a forest
+    of each group of over `SHORT` rows, with its key, and all pairs of other groups; elsewhere the key is null.
+    """
+    lists = (
+        posted.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min(apart).alias("first"), F.max(apart).alias("last"))
+        .where("first < last")
+        .select("key", "n")
+    )
     # Chunk of the node within its list, and all pairs of chunks that contain this one.
     chunks = F.ceil(F.col("n") / LIST).cast("int")
     listed = posted.join(lists, "key").withColumn("chunks", chunks)
@@ -287,7 +316,7 @@ def _in_lists(
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     paired = (
         listed.withColumn("own", own)
-        .select("key", "node", "own", "mark", every.alias("other"))
+        .select(*posted.columns, "n", "own", every.alias("other"))
     )
     paired = attach(paired).select(
         "key",
@@ -305,7 +334,7 @@ def _in_lists(
             if not len(batch):
                 continue
             rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:6]], 1)
-            values = _values(batch.column(6))
+            values = _bytes(batch.column(6), size)
             if rest is not None:
                 rows, values = np.concatenate([rest[0], rows]), np.concatenate([rest[1], values])
             begins = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1))
@@ -316,35 +345,33 @@ def _in_lists(
         if rest is not None:
             yield from _compare(*rest, meet, forest)
 
-    sorted_rows = paired.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return sorted_rows.mapInArrow(frugal(run), "a bigint, b bigint").distinct()
+    # By node too, so that lists with the same nodes give the same forest.
+    sorted_rows = paired.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    return sorted_rows.mapInArrow(frugal(run), "key bigint, a bigint, b bigint")
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    """A row of bytes per fingerprint, all of one length."""
+def _bytes(column: pa.Array, size: int = 0) -> np.ndarray:
+    """A row of bytes per value, all of one length; shorter ones than `size` end in zeros."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
+    return np.frombuffer(b"".join(v.ljust(size, b"\0") for v in values), dtype=np.uint8).reshape(len(values), -1)
 
 
-def _values(column: pa.Array) -> np.ndarray:
-    return column.to_numpy() if pa.types.is_integer(column.type) else _bytes(column)
-
-
-def _compare(rows: np.ndarray, values: np.ndarray, meet, forest: bool) -> Iterator[pa.RecordBatch]:
+def _compare(rows: np.ndarray, values: np.ndarray, meet, forest: str) -> Iterator[pa.RecordBatch]:
     """Links within whole groups of rows (key, low, high, own, node, mark), sorted by group."""
     begins = np.concatenate(([0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1))
     sizes = np.diff(np.append(begins, len(rows)))
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def taken() -> pa.RecordBatch:
+    def taken(key: int | None, spanning: bool) -> pa.RecordBatch:
         a, b = (rows[np.concatenate([f[side] for f in found] or [np.zeros(0, int)]), 4] for side in (0, 1))
         found.clear()
-        if forest:
+        if spanning:
             kept = np.array(list(_forest(a, b)), dtype=np.int64).reshape(-1, 2)
         else:
             kept = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             kept = kept[kept[:, 0] != kept[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(kept[:, side]) for side in (0, 1)], names=["a", "b"])
+        columns = [pa.array([key] * len(kept), pa.int64()), *(pa.array(kept[:, side]) for side in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b"])
 
     # Short lists: all rows against the row `lag` places further in the same group.
     group = np.repeat(np.arange(len(begins)), sizes)
@@ -357,6 +384,8 @@ def _compare(rows: np.ndarray, values: np.ndarray, meet, forest: bool) -> Iterat
         first, second = first[same], second[same]
         met = meet(rows, values, first, second)
         found.append((first[met], second[met]))
+    if forest != "task":
+        yield taken(None, False)
     for k in np.flatnonzero(sizes > SHORT):
         index = np.arange(begins[k], begins[k] + sizes[k])
         low, high = rows[begins[k], 1:3]
@@ -365,9 +394,10 @@ def _compare(rows: np.ndarray, values: np.ndarray, meet, forest: bool) -> Iterat
             i, j = np.nonzero(meet(rows, values, part[:, None], right[None, :]))
             kept = part[i] != right[j]
             found.append((part[i][kept], right[j][kept]))
-        if not forest:
-            yield taken()
-    yield taken()
+        if forest != "task":
+            yield taken(int(rows[begins[k], 0]) if forest == "list" else None, forest == "list")
+    if forest == "task":
+        yield taken(None, True)
 
 
 def _grouped(
@@ -477,19 +507,30 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.
     return shingles[:size]
 
 
-def _meet_prefix(rows: np.ndarray, labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Mask of pairs in different components whose sizes and places leave room for 0.8.
+def _meet_prefix(rows: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Mask of pairs in different components whose sizes, places and sketches leave room for 0.8.
 
     `mark` of a row is the size of its set and the place of the key in its order. Where the key is
-    the first that both have, no more than the shorter rest can be common besides.
+    the first that both have, no more than the shorter rest can be common besides. A value is the
+    label of the component (8 bytes) and the sketch; sets similar to 0.8 differ in a ninth of both sizes at most.
     """
+    parts = values.view(np.uint64)
     size, place = rows[:, 5] >> 32, rows[:, 5] & 0xFFFFFFFF
-    rest = size - place
-    return (labels[i] != labels[j]) & (9 * np.minimum(rest[i], rest[j]) >= 4 * (size[i] + size[j]))
+    rest, label = size - place, parts[:, 0]
+    kept = (label[i] != label[j]) & (9 * np.minimum(rest[i], rest[j]) >= 4 * (size[i] + size[j]))
+    at = np.nonzero(kept)
+    i, j = (np.broadcast_to(x, kept.shape)[at] for x in (i, j))
+    near = np.zeros(len(i), dtype=bool)
+    for first in range(0, len(i), 1 << 13):
+        x, y = i[first : first + (1 << 13)], j[first : first + (1 << 13)]
+        differ = np.bitwise_count(parts[x, 1:] ^ parts[y, 1:]).sum(1, dtype=np.int64)
+        near[first : first + len(x)] = 9 * differ <= size[x] + size[y]
+    kept[at] = near
+    return kept
 
 
-def prefix_pairs(texts: DataFrame, width: int, joined: DataFrame) -> DataFrame:
-    """a, b: all pairs of sets that can be similar to 0.8, save those in one component of `joined` (node, label).
+def prefix_postings(texts: DataFrame, width: int) -> DataFrame:
+    """key, node, mark: what the prefixes of all sets post, save keys that only one set holds.
 
     Postings are exchanged once by their shingle; what only one set holds proposes nothing and goes no
     further. Shingles that the sample shows to be in many sets are dealt over `SPREAD` tasks and all kept.
@@ -513,13 +554,29 @@ def prefix_pairs(texts: DataFrame, width: int, joined: DataFrame) -> DataFrame:
         )
 
     posted = over_sets(texts, width, post, "key bigint, node bigint, mark bigint, deal smallint")
-    labels = joined.select("node", "label")
-    return _in_lists(
-        stored(_met_twice(posted)),
-        lambda listed: listed.join(labels, "node", "left").withColumn("value", F.coalesce("label", "node")),
+    return stored(_met_twice(posted))
+
+
+def prefix_pairs(postings: DataFrame, nodes: DataFrame, joined: DataFrame, forest: str) -> DataFrame:
+    """key, a, b: pairs of sets that can be similar to 0.8, save those in one component of `joined` (node, label).
+
+    `nodes` (node, sketch) hold the sketches; those of lists up to `FEW` do not travel. `forest` as in `_in_lists`: with
+    "pair" these are all pairs that the postings propose.
+    """
+    labelled = postings.join(joined.select("node", "label"), "node", "left").select(
+        "key", "node", "mark", F.coalesce("label", "node").alias("label")
+    )
+    label = F.unhex(F.lpad(F.hex("label"), 16, "0"))
+    value = F.when(F.col("n") > FEW, F.concat(label, F.col("sketch"))).otherwise(label)
+    found = _in_lists(
+        labelled,
+        lambda listed: listed.join(nodes.select("node", "sketch"), "node").withColumn("value", value),
         _meet_prefix,
-        False,
+        forest,
+        "label",
+        8 + SKETCH // 8,
     )
+    return found.distinct()
 
 
 def _met_twice(posted: DataFrame) -> DataFrame:
@@ -552,14 +609,29 @@ def similar_components(texts: DataFrame, width: int, rows: DataFrame) -> DataFra
     """node, label of the nodes of `rows` (of `shingle_rows`) that links of 0.8 or more join to others.
 
     First by the links that the fingerprints propose; then all others join their components. `texts`
-    (text_key, text) are read again for the sets of shingles.
+    (text_key, text) are read again for the sets of shingles. A pair that a forest of `prefix_pairs` leaves out is
+    joined by links of that forest. Only where two ends of such a link stay apart all pairs of the list are tried.
     """
     nodes = stored(
-        rows.groupBy("node").agg(F.min("print").alias("print"), F.min("text_key").alias("text_key"))
+        rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("print", "text_key", "sketch")))
     )
     proposed = stored(links(nodes, design(8 * WIDE_LANES, WIDE_KEYS), 3, WIDE_BITS))
     near = components(similar(texts, width, nodes, proposed))
-    rest = stored(similar(texts, width, nodes, stored(prefix_pairs(texts, width, near))))
+    postings = prefix_postings(texts, width)
+    found = stored(prefix_pairs(postings, nodes, near, "list"))
+    near = _widened(near, similar(texts, width, nodes, stored(found.select("a", "b").distinct())))
+    of = [near.select(F.col("node").alias(n), F.col("label").alias("of_" + n)) for n in "ab"]
+    ends = found.where("key IS NOT NULL").join(of[0], "a", "left").join(of[1], "b", "left")
+    failed = stored(ends.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("key").distinct())
+    if failed.isEmpty():
+        return near
+    rest = prefix_pairs(postings.join(failed, "key", "left_semi"), nodes, near, "pair")
+    return _widened(near, similar(texts, width, nodes, stored(rest.select("a", "b"))))
+
+
+def _widened(near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`near` (node, label) with its components joined by the links of `pairs` (a, b)."""
+    rest = stored(pairs)
     ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     every = near.unionAll(
         ends.join(near, "node", "left_anti").select("node", F.col("node").alias("label"))
@@ -567,7 +639,7 @@ def similar_components(texts: DataFrame, width: int, rows: DataFrame) -> DataFra
     of = [every.select(F.col("node").alias(n), F.col("label").alias("of_" + n)) for n in "ab"]
     between = rest.join(of[0], "a").join(of[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     wider = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return every.join(wider, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return stored(every.join(wider, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
 
 
 def drop_near(

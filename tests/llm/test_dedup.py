@@ -196,6 +196,71 @@ def test_drop_near_misses_no_pair_at_the_similarity(spark, monkeypatch):
     assert kept == {2 * i for i in range(len(pairs))} | {2 * len(pairs)}
 
 
+def changed(rng, template, times):
+    """The template with `times` words, at least five apart, replaced: 5 * `times` shingles of five words are new."""
+    places = [6 * p + 5 for p in rng.sample(range(len(template) // 6 - 1), times)]
+    return " ".join(f"x{rng.getrandbits(48)}" if i in places else w for i, w in enumerate(template))
+
+
+def dropped_near(spark, monkeypatch, texts):
+    """Ids that stay, and the number of pairs that were verified."""
+    verified, similar = [], simhash.similar
+
+    def counted(texts, width, nodes, pairs):
+        verified.append(pairs.count())
+        return similar(texts, width, nodes, pairs)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    return {r["doc_id"] for r in simhash.drop_near(df).collect()}, sum(verified)
+
+
+def kept_by_hand(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return set(label)
+
+
+@pytest.mark.parametrize("times", [4, 2])  # most pairs are similar to 0.72 and to 0.85
+def test_large_group_of_near_copies_verifies_few_pairs(spark, monkeypatch, times):
+    monkeypatch.setattr(simhash, "WIDE_BITS", -1)  # the index proposes none
+    rng = random.Random(times)
+    template = [f"v{rng.getrandbits(48)}" for _ in range(247)]
+    texts = [changed(rng, template, times) for _ in range(200)]
+    kept, verified = dropped_near(spark, monkeypatch, texts)
+    assert kept == kept_by_hand(texts) and (len(kept) > 150 if times == 4 else kept == {0})
+    assert verified < 10 * len(texts)  # of 19 900
+
+
+@pytest.mark.parametrize("few", [8, 10**6])  # the latter without sketches, so that many links of the forests fail
+def test_drop_near_equals_brute_force_around_the_similarity(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "WIDE_BITS", -1)
+    monkeypatch.setattr(simhash, "LIST", 50)
+    rng = random.Random(11)
+    template = [f"v{rng.getrandbits(48)}" for _ in range(247)]
+    texts = [changed(rng, template, rng.choice([1, 3, 4, 5, 6])) for _ in range(120)]
+    want = kept_by_hand(texts)
+    assert 1 < len(want) < len(texts)
+    assert dropped_near(spark, monkeypatch, texts)[0] == want
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 50, 3000):
+        for own in (0, 1, 20, 2000):
+            x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[::2], rng.integers(0, 2**64, own, dtype=np.uint64)]))
+            a, b = (np.frombuffer(simhash.sketch(v), dtype=np.uint8) for v in (x, y))
+            assert len(a) == simhash.SKETCH // 8
+            assert np.bitwise_count(a ^ b).sum(dtype=int) <= len(np.setxor1d(x, y))
+
+
 def test_design_meets_in_at_most_one_position():
     triples = simhash.design(32, 100)
     assert len(triples) == 100
