@@ -9,6 +9,7 @@ null, which callers report as `precision_exceeded`.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,24 +52,33 @@ def plus(a: Column, b: Column) -> Column:
 
 def number_text(raw: Column) -> Column:
     """Literal number without thousands separators, null for other text."""
-    return F.nullif(
+    number = F.nullif(
         F.regexp_replace(F.regexp_extract(strip(raw), NUMBER, 1), ",", ""), F.lit("")
     )
+    # A text of digits and a point is its own number; it needs one pattern instead of three.
+    return F.when(raw.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?\z"), raw).otherwise(number)
 
 
 def in_cell_unit(raw: Column) -> Column:
     return F.nullif(strip(F.regexp_extract(strip(raw), NUMBER, 2)), F.lit(""))
 
 
+def twice_shown(text: Column) -> Column:
+    """Twice the digits of a literal number (see `number_text`) as an integer, null beyond 38 digits."""
+    whole = F.translate(text, ".+", "").try_cast(INTEGER)
+    return F.try_multiply(whole, F.lit(2).cast(INTEGER)).cast(INTEGER)
+
+
+def decimals_shown(text: Column) -> Column:
+    """Decimals of a literal number (see `number_text`)."""
+    return F.length(F.substring_index(F.concat(text, F.lit(".")), ".", 2)) - F.length(F.substring_index(text, ".", 1)) - 1
+
+
 def display(raw: Column) -> Column:
     """Displayed number -> struct<twice, digits>, null when it is not a number."""
 
     def parse(text: Column) -> Column:
-        whole = F.regexp_replace(text, r"[.+]", "").try_cast(INTEGER)
-        twice = F.try_multiply(whole, F.lit(2).cast(INTEGER)).cast(INTEGER)
-        return F.struct(
-            twice.alias("twice"), F.length(F.regexp_extract(text, r"\.([0-9]+)$", 1)).alias("digits")
-        )
+        return F.struct(twice_shown(text).alias("twice"), decimals_shown(text).alias("digits"))
 
     return let(
         let(number_text(raw), parse), lambda n: F.when(n["twice"].isNotNull(), n)
@@ -227,46 +237,75 @@ def normalize_amount(raw: Column, currency: Column, unit: Column) -> Column:
     )
 
 
+def decimal_text(units: Column, places: Column) -> Column:
+    """Shortest decimal text of units / 10^places, for at least one place."""
+    digits = F.abs(units).cast("string")
+    padded = F.concat(F.repeat(F.lit("0"), places + 1 - F.length(digits)), digits)
+    cut = F.length(padded) - places
+    body = F.concat(F.substring(padded, F.lit(1), cut), F.lit("."), F.substring(padded, cut + 1, places))
+    sign = F.when(units < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.rtrim(F.rtrim(body, F.lit("0")), F.lit(".")))
+
+
+def _terminating(n: int, d: int) -> str | None:
+    """Decimal text of the reduced fraction n / d, null when it does not end."""
+    digits, rest = 0, d
+    while rest % 10 == 0:
+        rest, digits = rest // 10, digits + 1
+    for factor in (2, 5):
+        while rest % factor == 0:
+            rest, digits = rest // factor, digits + 1
+    if rest != 1:
+        return None
+    while digits and (n * 10 ** (digits - 1)) % d == 0:
+        digits -= 1
+    whole = abs(n) * 10**digits // d
+    text = str(whole).rjust(digits + 1, "0")
+    cut = len(text) - digits
+    body = text[:cut] + ("." + text[cut:] if digits else "")
+    return ("-" if n < 0 else "") + body
+
+
 @F.pandas_udf(
     T.StructType(
         [T.StructField(n, T.StringType()) for n in ("decimal", "numerator", "denominator")]
     )
 )
-def _reduce(numerator: pd.Series, denominator: pd.Series) -> pd.DataFrame:
+def _reduce(numerator: pd.Series, denominator: pd.Series, long_numerator: pd.Series, long_denominator: pd.Series) -> pd.DataFrame:
     from math import gcd
 
-    def plain(n, d):
-        digits, rest = 0, d
-        while rest % 10 == 0:
-            rest, digits = rest // 10, digits + 1
-        for factor in (2, 5):
-            while rest % factor == 0:
-                rest, digits = rest // factor, digits + 1
-        if rest != 1:
-            return None
-        while digits and (n * 10 ** (digits - 1)) % d == 0:
-            digits -= 1
-        whole = abs(n) * 10**digits // d
-        text = str(whole).rjust(digits + 1, "0")
-        cut = len(text) - digits
-        body = text[:cut] + ("." + text[cut:] if digits else "")
-        return ("-" if n < 0 else "") + body
-
-    rows = []
-    for a, b in zip(numerator, denominator):
-        if a is None or b is None or int(b) == 0:
-            rows.append((None, None, None))
-            continue
-        n, d = int(a), int(b)
-        if d < 0:
-            n, d = -n, -d
-        g = gcd(n, d)
-        n, d = n // g, d // g
-        text = plain(n, d)
-        rows.append((text, None, None) if text is not None else (None, str(n), str(d)))
-    return pd.DataFrame(rows, columns=["decimal", "numerator", "denominator"], dtype="object")
+    n, d = numerator.to_numpy(), denominator.to_numpy()
+    out = np.full((3, len(n)), None, dtype=object)
+    short = np.flatnonzero((d != 0) & (np.minimum(n, d) > np.iinfo(np.int64).min))
+    a, b = np.where(d[short] < 0, -n[short], n[short]), np.abs(d[short])
+    common = np.gcd(a, b)
+    a, b = a // common, b // common
+    rest = b // (b & -b)
+    while (fives := rest % 5 == 0).any():
+        rest[fives] //= 5
+    ends = rest == 1
+    out[0, short[ends]] = [_terminating(x, y) for x, y in zip(a[ends].tolist(), b[ends].tolist())]
+    out[1, short[~ends]] = [str(x) for x in a[~ends].tolist()]
+    out[2, short[~ends]] = [str(x) for x in b[~ends].tolist()]
+    for i in np.flatnonzero(long_denominator.notna().to_numpy()):
+        x, y = int(long_numerator[i]), int(long_denominator[i])
+        if y < 0:
+            x, y = -x, -y
+        g = gcd(x, y)
+        x, y = x // g, y // g
+        text = _terminating(x, y)
+        out[:, i] = (text, None, None) if text is not None else (None, str(x), str(y))
+    return pd.DataFrame(dict(zip(("decimal", "numerator", "denominator"), out)))
 
 
 def reduce_fraction(numerator: Column, denominator: Column) -> Column:
-    """Exact decimal text, or the reduced pair when the quotient does not terminate."""
-    return _reduce(numerator.cast(INTEGER), denominator.cast(INTEGER))
+    """Exact decimal text, or the reduced pair when the quotient does not terminate.
+
+    Numbers of 64 bits are reduced many at a time, only longer ones one by one.
+    """
+    n, d = numerator.cast(INTEGER), denominator.cast(INTEGER)
+    some = n.isNotNull() & (d != 0)
+    least = F.lit(-(2**63))
+    short = (F.least(n, d) > least) & (F.greatest(n, d) < F.lit(2**63 - 1))
+    part = lambda c: F.coalesce(F.when(some & short, c.try_cast("bigint")), F.lit(0).cast("bigint"))
+    return _reduce(part(n), part(d), F.when(some & ~short, n), F.when(some & ~short, d))

@@ -20,21 +20,24 @@ def is_supported_period(c: Column) -> Column:
     text = strip(c)
     year = F.regexp_extract(
         text, f"(?i)^(?:FY{_S}*)?([0-9]{{4}})(?:년)?(?:{_S}+Q[1-4])?$", 1
-    ).try_cast("int")
+    )
+    number = lambda digits: F.nullif(digits, F.lit("")).try_cast("int")
+    year = number(year)
     span = f"^([0-9]{{4}})년?{_S}*[-–—~]{_S}*([0-9]{{4}})년?$"
-    first = F.regexp_extract(text, span, 1).try_cast("int")
-    last = F.regexp_extract(text, span, 2).try_cast("int")
+    first, last = (number(F.regexp_extract(text, span, k)) for k in (1, 2))
     days = f"^{_DAY}(?:{_S}*(?:~|–|—|to| - ){_S}*{_DAY})?$"
     start_raw = F.regexp_extract(text, days, 1)
     end_raw = F.regexp_extract(text, days, 2)
     start = _iso(start_raw)
     end = F.when(end_raw == "", start).otherwise(_iso(end_raw))
-    return F.coalesce(
+    supported = F.coalesce(
         (year > 0)
         | ((first > 0) & (first <= last))
         | ((start_raw != "") & start.isNotNull() & end.isNotNull() & (start <= end)),
         F.lit(False),
     )
+    # A bare year, the common case, needs one pattern instead of six.
+    return F.when(c.rlike(r"^[0-9]{4}\z"), c != "0000").otherwise(supported)
 
 
 def normalize_period(start: Column, end: Column) -> Column:

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from claimgrove.functions.arrays import first_reason
 from claimgrove.functions.numbers import (
     INTEGER,
+    decimal_text,
+    decimals_shown,
     display,
     number_text,
     plus,
     power10,
     reduce_fraction,
     times,
+    twice_shown,
 )
 from claimgrove.functions.periods import is_supported_period
 from claimgrove.functions.text import SPACE, axis_cues, let
@@ -71,7 +74,7 @@ def scaled_sum(cells: Column, digits: Column) -> Column:
 
 
 def check_numeric(
-    bindings: DataFrame, observations: DataFrame, doc: Sequence[str] = DOC
+    bindings: DataFrame, observations: DataFrame, doc: Sequence[str] = DOC, small_docs: bool = False
 ) -> DataFrame:
     """Verdict per binding: consistent, inconsistent, not_comparable, not_computable.
 
@@ -79,6 +82,8 @@ def check_numeric(
     tests are cross-multiplied integers, so no quotient is rounded; operands are aligned to
     the longest decimals among them, and one beyond 38 digits ends as `precision_exceeded`.
     A claim may have several bindings, each with a verdict of its own; equal ones give one.
+    With `small_docs` every observation of a document is tried for each operand: for documents
+    of few observations, whose rows the caller has dealt out by document and which then stay there.
 
     `bindings`: doc, claim_id, kind, observation_ids, reported_value, the
     dimensions, unit, reporting_period, baseline_period, quantity_kind, and the
@@ -88,184 +93,213 @@ def check_numeric(
     issue_open, notes_open.
     """
     doc = list(doc)
+    # Every step has columns of its own here, so that none is computed anew where it is mentioned twice.
     obs = observations.select(
         *doc,
         "observation_id",
-        F.lit(True).alias("found"),
         *[F.col(d).alias(f"o_{d}") for d in (*DIMENSIONS, "reporting_period")],
-        display(F.col("value_raw")).alias("v"),
-        number_text(F.col("value_raw")).isNotNull().alias("is_number"),
+        number_text(F.col("value_raw")).alias("text"),
         "value_state",
         "value_source_id",
         "issue_open",
         "notes_open",
     )
+    obs = obs.withColumns(
+        {
+            "found": F.lit(True),
+            "is_number": F.col("text").isNotNull(),
+            "twice": twice_shown(F.col("text")),
+            "decimals": decimals_shown(F.col("text")),
+        }
+    ).drop("text")
+    kind = F.col("kind")
+    temporal = kind.isin("growth", "reduction")
+    product = kind == "product_reduction"
+    periods_ok = is_supported_period(F.col("reporting_period")) & (
+        ~temporal | is_supported_period(F.col("baseline_period"))
+    )
+    same_period = F.col("baseline_period").eqNullSafe(F.col("reporting_period"))
+    period_relation = F.when(temporal, ~same_period).when(product, same_period).otherwise(F.lit(True))
+    product_ok = ~product | F.coalesce(
+        F.col("product_accepted") & (F.col("subject") != F.col("baseline_subject")), F.lit(False)
+    )
+    named = F.coalesce((F.col("unit") != "") & (F.col("metric_raw") != ""), F.lit(False))
+    quantity_ok = ((F.col("quantity_kind") == "absolute") & F.col("denominator").isNull()) | (
+        (F.col("quantity_kind") == "intensity") & (F.col("denominator") != "")
+    )
+    unit_ok = ~(F.contains(F.col("unit"), F.lit("/")) & F.col("denominator").isNull())
+    own = {
+        "n_wanted": F.size("observation_ids"),
+        "verified": F.coalesce("claim_verified", F.lit(False)),
+        "periods_ok": periods_ok,
+        "product_ok": product_ok,
+        "own_ok": period_relation & named & F.coalesce(quantity_ok, F.lit(False)) & F.coalesce(unit_ok, F.lit(False)),
+        "additive": F.coalesce("aggregation_accepted", F.lit(False)),
+    }
+    expected = [F.col(d).alias(f"e_{d}") for d in DIMENSIONS if d not in ("unit_canonical", "subject")]
+    # The bindings of one claim are told apart by a hash of all their columns.
     identity = F.to_json(F.struct(*bindings.columns), {"ignoreNullFields": "false"})
-    bindings = bindings.withColumn("__binding", F.sha2(identity, 256)).dropDuplicates(["__binding"])
-    exploded = bindings.withColumn("__n", F.size("observation_ids")).select(
-        "*", F.posexplode("observation_ids").alias("pos", "observation_id")
-    )
-    joined = exploded.join(obs, [*doc, "observation_id"], "left")
-    temporal = F.col("kind").isin("growth", "reduction")
-    expected_period = F.when(temporal & (F.col("pos") == 0), F.col("baseline_period")).otherwise(
-        F.col("reporting_period")
-    )
-    expected_subject = F.when(
-        (F.col("kind") == "product_reduction") & (F.col("pos") == 0), F.col("baseline_subject")
-    ).otherwise(F.col("subject"))
-    expected = {d: F.col(d) for d in DIMENSIONS if d not in ("unit_canonical", "subject")}
-    expected |= {"unit_canonical": F.col("unit"), "subject": expected_subject}
-    same = F.col("o_reporting_period").eqNullSafe(expected_period)
-    for name, value in expected.items():
-        same = same & F.col(f"o_{name}").eqNullSafe(value)
-    folded = joined.groupBy("__binding").agg(
-        F.first("__n").alias("n_wanted"),
+    exploded = bindings.distinct().withColumns({"__binding": F.xxhash64(identity), **own})
+    exploded = exploded.withColumn("claim", F.struct("kind", "reported_value", *own)).select(
+        *doc,
+        "claim_id",
+        "__binding",
+        "claim",
+        *expected,
+        F.col("unit").alias("e_unit_canonical"),
+        F.col("subject").alias("e_subject"),
+        F.when(product, F.col("baseline_subject")).otherwise(F.col("subject")).alias("first_subject"),
+        F.col("reporting_period").alias("e_reporting_period"),
+        F.when(temporal, F.col("baseline_period")).otherwise(F.col("reporting_period")).alias("first_period"),
+        F.posexplode_outer("observation_ids").alias("pos", "observation_id"),
+    )
+    first = F.coalesce("pos", F.lit(0)) == 0
+    exploded = exploded.withColumns(
+        {
+            "claim": F.when(first, F.col("claim")),  # once per binding
+            "e_subject": F.when(first, F.col("first_subject")).otherwise(F.col("e_subject")),
+            "e_reporting_period": F.when(first, F.col("first_period")).otherwise(F.col("e_reporting_period")),
+        }
+    ).drop("first_subject", "first_period")
+    if small_docs:
+        # A range, as an equality would be a key of the join, by which all rows are dealt out anew.
+        obs = obs.select(*[F.col(c).alias(f"o_{c}") if c in (*doc, "observation_id") else c for c in obs.columns])
+        equal = [F.col(d) == F.col(f"o_{d}") for d in doc]
+        joined = exploded.join(obs, [*equal, F.col("observation_id").between(F.col("o_observation_id"), F.col("o_observation_id"))], "left")
+    else:
+        joined = exploded.join(obs, [*doc, "observation_id"], "left")
+    same = F.lit(True)
+    for name in (*DIMENSIONS, "reporting_period"):
+        same = same & F.col(f"o_{name}").eqNullSafe(F.col(f"e_{name}"))
+    # Keys begin with the document: rows that the caller has dealt out by it are not moved again.
+    folded = joined.groupBy(*doc, "claim_id", "__binding").agg(
+        F.first("claim", ignorenulls=True).alias("claim"),
         F.count_if(F.coalesce("found", F.lit(False))).alias("n_found"),
         F.coalesce(F.bool_or("issue_open"), F.lit(False)).alias("issue_open"),
         F.coalesce(F.bool_or("notes_open"), F.lit(False)).alias("notes_open"),
         F.bool_and(
             F.coalesce((F.col("value_state") == "value") & F.col("is_number"), F.lit(False))
         ).alias("values_ok"),
-        F.bool_or(F.coalesce("is_number", F.lit(False)) & F.col("v").isNull()).alias("too_long"),
+        F.bool_or(F.coalesce("is_number", F.lit(False)) & F.col("twice").isNull()).alias("too_long"),
         F.bool_and(F.coalesce(same, F.lit(False))).alias("dimensions_ok"),
         # As many as the binding names. A distinct count would double the rows.
         F.size(F.collect_set("value_source_id")).alias("n_cells"),
         F.collect_list(
             F.when(
-                F.col("v").isNotNull(),
-                F.struct("pos", F.col("v.twice").alias("twice"), F.col("v.digits").alias("digits")),
+                F.col("twice").isNotNull(),
+                F.struct("pos", "twice", F.col("decimals").alias("digits")),
             )
         ).alias("operands"),
     )
-    claims = bindings.drop("observation_ids").withColumn("shown", display(F.col("reported_value")))
-    rows = claims.join(folded, "__binding", "left")
+    operand = lambda k: F.get(F.filter("operands", lambda o: o["pos"] == k), F.lit(0))
+    rows = folded.select(
+        *doc,
+        "claim_id",
+        "claim.*",
+        *[c for c in folded.columns if c not in (*doc, "claim_id", "__binding", "claim")],
+        number_text(F.col("claim.reported_value")).alias("text"),
+        operand(0).alias("first"),
+        operand(1).alias("second"),
+    )
+    rows = rows.withColumns({"twice": twice_shown(F.col("text")), "decimals": decimals_shown(F.col("text"))})
     longest = F.array_max(F.transform("operands", lambda o: o["digits"]))
-    rows = rows.withColumn("digits", F.greatest(longest, F.col("shown.digits")))
+    rows = rows.withColumn("digits", F.greatest(longest, F.when(F.col("twice").isNotNull(), F.col("decimals"))))
     ones = F.transform(
         "operands",
         lambda o: F.struct(o["twice"].alias("twice"), o["digits"].alias("digits"), F.lit(1).alias("n")),
     )
-    operand = lambda k: F.get(F.filter("operands", lambda o: o["pos"] == k), F.lit(0))
+    summed = (kind == "sum") & ~F.coalesce("too_long", F.lit(False))
     rows = rows.withColumns(
         {
-            "__power": power10(F.col("digits")),
-            "reported": scaled(F.col("shown"), F.col("digits")),
-            "base": scaled(operand(0), F.col("digits")),
-            "now": scaled(operand(1), F.col("digits")),
-            "total": F.when(~F.coalesce("too_long", F.lit(False)), scaled_sum(ones, F.col("digits"))),
+            "power": power10(F.col("digits")),
+            "unit_scale": times(power10(F.col("digits")), F.when(kind == "growth", F.lit(200)).otherwise(F.lit(-200))),
+            "shown_scale": power10(F.col("digits") - F.col("decimals")),
+            "first_scale": power10(F.col("digits") - F.col("first.digits")),
+            "second_scale": power10(F.col("digits") - F.col("second.digits")),
+            "total": F.when(summed, scaled_sum(ones, F.col("digits"))),
         }
     )
-    kind = F.col("kind")
-    wanted = F.coalesce("n_wanted", F.lit(0))
-    periods_ok = F.when(
-        temporal,
-        is_supported_period(F.col("baseline_period")) & is_supported_period(F.col("reporting_period")),
-    ).otherwise(is_supported_period(F.col("reporting_period")))
-    period_relation = (
-        F.when(temporal, ~F.col("baseline_period").eqNullSafe(F.col("reporting_period")))
-        .when(
-            kind == "product_reduction",
-            F.col("baseline_period").eqNullSafe(F.col("reporting_period")),
-        )
-        .otherwise(F.lit(True))
-    )
-    product = kind == "product_reduction"
-    product_ok = ~product | F.coalesce(
-        F.col("product_accepted") & (F.col("subject") != F.col("baseline_subject")), F.lit(False)
+    parts = {"shown": F.col("twice"), "first": F.col("first.twice"), "second": F.col("second.twice")}
+    rows = rows.withColumns({f"{part}_mid": times(twice, F.col(f"{part}_scale")) for part, twice in parts.items()})
+    half = lambda part: F.col(f"{part}_scale")
+    rows = rows.withColumns(
+        {
+            **{f"{part}_lo": plus(F.col(f"{part}_mid"), -half(part)) for part in parts},
+            **{f"{part}_hi": plus(F.col(f"{part}_mid"), half(part)) for part in parts},
+        }
     )
-    named = F.coalesce((F.col("unit") != "") & (F.col("metric_raw") != ""), F.lit(False))
-    quantity_ok = ((F.col("quantity_kind") == "absolute") & F.col("denominator").isNull()) | (
-        (F.col("quantity_kind") == "intensity") & (F.col("denominator") != "")
+    direct = kind.isin("comparison", "sum")
+    # growth g = 100 (c - b) / b, reduction r = 100 (b - c) / b. Both sides carry
+    # the factor 2 * 10^D, which cancels in the ratio but not in the reported value:
+    #   g <= R / (2 * 10^D)  <=>  200 * 10^D * (c - b) <= R * b   (b > 0)
+    ratio = lambda value: F.when(~F.coalesce(direct, F.lit(False)), value)
+    side = lambda b, c: times(plus(c, -b), F.col("unit_scale"))
+    corners = [(x, y) for x in ("lo", "hi") for y in ("lo", "hi")]
+    of = lambda part, x: F.col(f"{part}_{x}")
+    rows = rows.withColumns(
+        {
+            **{f"side_{x}_{y}": ratio(side(of("first", x), of("second", y))) for x, y in corners},
+            **{f"most_{x}": ratio(times(of("shown", "hi"), of("first", x))) for x in ("lo", "hi")},
+            **{f"least_{x}": ratio(times(of("shown", "lo"), of("first", x))) for x in ("lo", "hi")},
+        }
     )
-    unit_ok = ~(F.contains(F.col("unit"), F.lit("/")) & F.col("denominator").isNull())
-    dims = (
-        F.coalesce(F.col("dimensions_ok"), F.lit(False))
-        & named
-        & F.coalesce(quantity_ok, F.lit(False))
-        & F.coalesce(unit_ok, F.lit(False))
+    total = lambda x: F.when(kind == "sum", F.col(f"total.{x}")).otherwise(of("first", x))
+    positive = lambda x: of("first", x) > 0
+    rows = rows.withColumns(
+        {
+            "direct_mid": total("mid"),
+            "direct_fits": (total("lo") <= of("shown", "hi")) & (of("shown", "lo") <= total("hi")),
+            "below": F.array(
+                *[F.when(positive(x), of("side", f"{x}_{y}") <= of("most", x)).otherwise(of("side", f"{x}_{y}") >= of("most", x)) for x, y in corners]
+            ),
+            "above": F.array(
+                *[F.when(positive(x), of("side", f"{x}_{y}") >= of("least", x)).otherwise(of("side", f"{x}_{y}") <= of("least", x)) for x, y in corners]
+            ),
+        }
     )
+    known = F.forall("below", lambda t: t.isNotNull()) & F.forall(F.slice("above", 2, 3), lambda t: t.isNotNull())
+    met = lambda tests: F.exists(tests, lambda t: t)
+    overlap = F.when(direct, F.col("direct_fits")).otherwise(F.when(known, met("below") & met("above")))
     zero_base = kind.isin("growth", "reduction", "product_reduction") & (
-        (F.col("base.lo") <= 0) & (F.col("base.hi") >= 0)
+        (F.col("first_lo") <= 0) & (F.col("first_hi") >= 0)
     )
-    # A text may be no number at all, or a number too long to compute with.
-    reported_missing = number_text(F.col("reported_value")).isNull()
     gates = first_reason(
-        (F.coalesce("n_found", F.lit(0)) < wanted, "observation_missing"),
-        (~F.coalesce(F.col("claim_verified"), F.lit(False)), "claim_source_unresolved"),
+        (F.col("n_found") < F.coalesce("n_wanted", F.lit(0)), "observation_missing"),
+        (~F.col("verified"), "claim_source_unresolved"),
         (F.col("issue_open"), "source_issue_unresolved"),
         (F.col("notes_open"), "footnote_conditions_unresolved"),
         (
-            reported_missing | ~F.coalesce("values_ok", F.lit(False)),
+            # A text may be no number at all, or a number too long to compute with.
+            F.col("text").isNull() | ~F.coalesce("values_ok", F.lit(False)),
             "value_missing_or_unresolved",
         ),
-        (~periods_ok, "reporting_period_unresolved"),
-        (~product_ok, "product_comparison_unaccepted"),
-        (~period_relation | ~dims, "dimension_mismatch"),
+        (~F.col("periods_ok"), "reporting_period_unresolved"),
+        (~F.col("product_ok"), "product_comparison_unaccepted"),
+        (~F.col("own_ok") | ~F.coalesce("dimensions_ok", F.lit(False)), "dimension_mismatch"),
         (
-            (kind == "sum")
-            & (
-                ~F.coalesce(F.col("aggregation_accepted"), F.lit(False))
-                | (F.col("n_cells") != F.col("n_wanted"))
-            ),
+            (kind == "sum") & (~F.col("additive") | (F.col("n_cells") != F.col("n_wanted"))),
             "aggregation_relation_unresolved",
         ),
         (F.coalesce(zero_base, F.lit(False)), "zero_baseline_interval"),
     )
-    rep = F.col("reported")
-    direct_lo = F.when(kind == "sum", F.col("total.lo")).otherwise(F.col("base.lo"))
-    direct_mid = F.when(kind == "sum", F.col("total.mid")).otherwise(F.col("base.mid"))
-    direct_hi = F.when(kind == "sum", F.col("total.hi")).otherwise(F.col("base.hi"))
-    direct = (direct_lo <= rep["hi"]) & (rep["lo"] <= direct_hi)
-    # growth g = 100 (c - b) / b, reduction r = 100 (b - c) / b. Both sides carry
-    # the factor 2 * 10^D, which cancels in the ratio but not in `reported`:
-    #   g <= R / (2 * 10^D)  <=>  200 * 10^D * (c - b) <= R * b   (b > 0)
-    power = F.col("__power")
-    unit_scale = times(power, F.lit(200))
-    sign = F.when(kind == "growth", F.lit(1)).otherwise(F.lit(-1))
-
-    def tested(corner: Column) -> Column:
-        return F.when(corner["b"] > 0, F.struct(
-            (corner["side"] <= corner["hi"]).alias("below"), (corner["side"] >= corner["lo"]).alias("above")
-        )).otherwise(F.struct(
-            (corner["side"] >= corner["hi"]).alias("below"), (corner["side"] <= corner["lo"]).alias("above")
-        ))
-
-    def corner(b: Column, c: Column) -> Column:
-        return F.struct(
-            b.alias("b"),
-            times(times(plus(c, -b), sign), unit_scale).alias("side"),
-            times(rep["hi"], b).alias("hi"),
-            times(rep["lo"], b).alias("lo"),
-        )
-
-    def within(tests: Column) -> Column:
-        fits = F.forall(tests, lambda t: t["below"].isNotNull()) & F.forall(
-            F.slice(tests, 2, 3), lambda t: t["above"].isNotNull()
-        )
-        some = F.exists(tests, lambda t: t["below"]) & F.exists(tests, lambda t: t["above"])
-        return F.when(fits, some)
-
-    corners = [corner(F.col(f"base.{x}"), F.col(f"now.{y}")) for x in ("lo", "hi") for y in ("lo", "hi")]
-    ratio = let(F.transform(F.array(*corners), tested), within)
-    is_direct = kind.isin("comparison", "sum")
-    overlap = F.when(is_direct, direct).otherwise(ratio)
-    base_mid, now_mid = F.col("base.mid"), F.col("now.mid")
-    numerator = F.when(is_direct, direct_mid).otherwise(
-        times(times(plus(now_mid, -base_mid), sign), F.lit(100))
-    )
-    denominator = F.when(is_direct, times(power, F.lit(2))).otherwise(base_mid)
-    reason = F.coalesce(gates, F.when(overlap.isNull(), F.lit("precision_exceeded")))
-    rows = rows.withColumn("__reason", reason)
+    rows = rows.withColumn("overlap", overlap).withColumn(
+        "__reason", F.coalesce(gates, F.when(F.col("overlap").isNull(), F.lit("precision_exceeded")))
+    )
     open_ = F.col("__reason").isNull()
+    # Exact quotient, only for rows that reached a verdict; with a power of ten below it is a plain text.
+    tenths = times(F.col("direct_mid"), F.lit(5))
+    plain = F.when(open_ & direct & F.col("power").isNotNull(), decimal_text(tenths, F.col("digits") + 1))
+    rows = rows.withColumn("plain", plain)
+    divided = open_ & F.col("plain").isNull()
+    hundred = F.when(kind == "growth", F.lit(100)).otherwise(F.lit(-100))
+    change = times(plus(F.col("second_mid"), -F.col("first_mid")), hundred)
     rows = rows.withColumns(
         {
-            "__overlap": overlap,
-            # Exact quotient, only for rows that reached a verdict.
-            "__exact": reduce_fraction(
-                F.when(open_, numerator), F.when(open_, denominator)
-            ),
+            "over": F.when(divided, F.when(direct, F.col("direct_mid")).otherwise(change)),
+            "under": F.when(divided, F.when(direct, times(F.col("power"), F.lit(2))).otherwise(F.col("first_mid"))),
         }
     )
+    rows = rows.withColumn("__exact", reduce_fraction(F.col("over"), F.col("under")))
     comparable = F.col("__reason").isin(
         "reporting_period_unresolved",
         "dimension_mismatch",
@@ -275,17 +309,18 @@ def check_numeric(
     status = (
         F.when(comparable, F.lit("not_comparable"))
         .when(~open_, F.lit("not_computable"))
-        .when(F.col("__overlap"), F.lit("consistent"))
+        .when(F.col("overlap"), F.lit("consistent"))
         .otherwise(F.lit("inconsistent"))
     )
-    recurring = open_ & F.col("__exact.decimal").isNull()
+    computed = F.coalesce("plain", "__exact.decimal")
+    recurring = open_ & computed.isNull()
     return rows.select(
         *doc,
         "claim_id",
         "kind",
         status.alias("status"),
         "reported_value",
-        F.col("__exact.decimal").alias("computed"),
+        computed.alias("computed"),
         F.when(recurring, F.col("__exact.numerator")).alias("numerator"),
         F.when(recurring, F.col("__exact.denominator")).alias("denominator_exact"),
         F.coalesce(
