@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from claimgrove.functions.arrays import first_reason
 from claimgrove.functions.numbers import (
@@ -138,8 +139,10 @@ def check_numeric(
     }
     expected = [F.col(d).alias(f"e_{d}") for d in DIMENSIONS if d not in ("unit_canonical", "subject")]
     # The bindings of one claim are told apart by a hash of all their columns.
-    identity = F.to_json(F.struct(*bindings.columns), {"ignoreNullFields": "false"})
-    exploded = bindings.distinct().withColumns({"__binding": F.xxhash64(identity), **own})
+    nested = [f.name for f in bindings.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    flat = [F.col(c) for c in bindings.columns if c not in nested]
+    identity = [F.to_json(F.struct(*nested), {"ignoreNullFields": "false"}), *(x for c in flat for x in (c.isNull(), c))]
+    exploded = bindings.distinct().withColumns({"__binding": F.xxhash64(*identity), **own})
     exploded = exploded.withColumn("claim", F.struct("kind", "reported_value", *own)).select(
         *doc,
         "claim_id",
@@ -183,15 +186,15 @@ def check_numeric(
         F.bool_or(F.coalesce("is_number", F.lit(False)) & F.col("twice").isNull()).alias("too_long"),
         F.bool_and(F.coalesce(same, F.lit(False))).alias("dimensions_ok"),
         # As many as the binding names. A distinct count would double the rows.
-        F.size(F.collect_set("value_source_id")).alias("n_cells"),
         F.collect_list(
             F.when(
-                F.col("twice").isNotNull(),
-                F.struct("pos", "twice", F.col("decimals").alias("digits")),
+                F.col("found"),
+                F.struct("pos", "twice", F.col("decimals").alias("digits"), F.col("value_source_id").alias("cell")),
             )
         ).alias("operands"),
     )
-    operand = lambda k: F.get(F.filter("operands", lambda o: o["pos"] == k), F.lit(0))
+    operand = lambda k: F.get(F.filter("operands", lambda o: (o["pos"] == k) & o["twice"].isNotNull()), F.lit(0))
+    n_cells = F.size(F.array_compact(F.array_distinct(F.transform("operands", lambda o: o["cell"]))))
     rows = folded.select(
         *doc,
         "claim_id",
@@ -202,7 +205,7 @@ def check_numeric(
         operand(1).alias("second"),
     )
     rows = rows.withColumns({"twice": twice_shown(F.col("text")), "decimals": decimals_shown(F.col("text"))})
-    longest = F.array_max(F.transform("operands", lambda o: o["digits"]))
+    longest = F.array_max(F.transform("operands", lambda o: F.when(o["twice"].isNotNull(), o["digits"])))
     rows = rows.withColumn("digits", F.greatest(longest, F.when(F.col("twice").isNotNull(), F.col("decimals"))))
     ones = F.transform(
         "operands",
@@ -277,7 +280,7 @@ def check_numeric(
         (~F.col("product_ok"), "product_comparison_unaccepted"),
         (~F.col("own_ok") | ~F.coalesce("dimensions_ok", F.lit(False)), "dimension_mismatch"),
         (
-            (kind == "sum") & (~F.col("additive") | (F.col("n_cells") != F.col("n_wanted"))),
+            (kind == "sum") & (~F.col("additive") | (n_cells != F.col("n_wanted"))),
             "aggregation_relation_unresolved",
         ),
         (F.coalesce(zero_base, F.lit(False)), "zero_baseline_interval"),
